@@ -67,13 +67,33 @@ def count_where(cond: Column) -> Column:
     return F.count(F.when(cond, F.lit(1)))
 
 
-def dedupe_casefold(values: Column) -> Column:
-    """Distinct strings by lower case, keeping the first spelling and the order."""
-    values = F.filter(values, lambda v: F.length(v) > 0)
-    folded = F.transform(values, F.lower)
-    return F.transform(
-        F.array_distinct(folded), lambda v: F.element_at(values, F.array_position(folded, v).cast("int"))
-    )
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    Inside a lambda an outer expression is evaluated again for every element; bound as a lambda
+    variable it is not.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def dedupe_casefold(values: Column, limit: int | None = None) -> Column:
+    """The first distinct strings by lower case, keeping the first spelling and the order."""
+
+    def pick(pair: Column) -> Column:
+        kept = F.array_distinct(pair["folded"])
+        if limit is not None:
+            kept = F.slice(kept, 1, limit)
+        return F.transform(
+            kept,
+            lambda v: F.element_at(pair["values"], F.array_position(pair["folded"], v).cast("int")),
+        )
+
+    def fold(kept: Column) -> Column:
+        return let(
+            F.struct(kept.alias("values"), F.transform(kept, lambda v: F.lower(v)).alias("folded")), pick
+        )
+
+    return let(F.filter(values, lambda v: F.length(v) > 0), fold)
 
 
 def sorted_join(values: Column, sep: str = ",") -> Column:

@@ -6,6 +6,8 @@ import importlib
 
 FAMILIES = [
     "scoring_queries",
+    "log_queries",
+    "text_queries",
 ]
 
 
