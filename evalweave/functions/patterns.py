@@ -11,8 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evalweave.functions.expr import let
-
 # Phrases that must not reach user-visible text.
 PRIVATE_LEAK_PATTERNS = [
     r"\bbenchmark training example\b",
@@ -90,25 +88,30 @@ def tokens(text: Column) -> Column:
     return F.transform(found, F.lower)
 
 
-def has_content(gram: Column) -> Column:
-    """False for an n-gram made of stop words only."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.exists(gram, lambda t: ~F.array_contains(stop, t))
+def _gram_pattern(n: int) -> str:
+    """Over tokens joined by one space: every n-gram as group 1, but those of stop words only."""
+    stop = "(?:" + "|".join(STOPWORDS) + ")"
+    follows = "{" + str(n - 1) + "}"
+    return rf"(?:^| )(?!{stop}(?: {stop}){follows}(?: |$))(?=(\S+(?: \S+){follows})(?: |$))"
 
 
 def content_grams(toks: Column, n: int) -> Column:
-    """n-grams with a content word, in order, joined by one space; repeats are kept."""
+    """n-grams with a content word, in order, joined by one space; repeats are kept.
+
+    One look-ahead pattern over the joined tokens yields all overlapping n-grams in one pass,
+    without a lambda per token.
+    """
     if n <= 0:
         raise ValueError("n must be positive")
-    none = F.array().cast("array<string>")
+    return F.regexp_extract_all(F.array_join(toks, " "), F.lit(_gram_pattern(n)), F.lit(1))
 
-    def of(t: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(t) - F.lit(n - 1))
-        cut = F.transform(starts, lambda i: F.slice(t, i, n))
-        kept = F.transform(F.filter(cut, has_content), lambda g: F.array_join(g, " "))
-        return F.when(F.size(t) >= n, kept).otherwise(none)
 
-    return let(toks, of)
+def text_content_grams(text: Column, n: int) -> Column:
+    """``content_grams`` straight from a text."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN_PATTERN), F.lit(0))
+    if n <= 0:
+        raise ValueError("n must be positive")
+    return F.regexp_extract_all(F.lower(F.array_join(found, " ")), F.lit(_gram_pattern(n)), F.lit(1))
 
 
 def literals(text: Column) -> Column:

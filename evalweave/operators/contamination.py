@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from evalweave.functions.expr import id_part
 from evalweave.functions.joins import join_sized
-from evalweave.functions.patterns import content_grams, tokens
+from evalweave.functions.patterns import content_grams, text_content_grams, tokens
 from evalweave.functions.scan import DEFAULT_BLOCK, blocked_scan
 
 CELL = ["pack_id", "task_id", "mode"]
@@ -24,7 +24,7 @@ CELL = ["pack_id", "task_id", "mode"]
 
 def text_grams(df: DataFrame, keys: Sequence[str], n: int, *, text: str = "text") -> DataFrame:
     """Distinct content n-grams of each text."""
-    grams = F.array_distinct(content_grams(tokens(F.col(text)), n))
+    grams = F.array_distinct(text_content_grams(F.col(text), n))
     return df.select(*keys, F.explode(grams).alias("gram"))
 
 
@@ -40,10 +40,10 @@ def chunk_grams(
     """
     if n <= 0:
         raise ValueError("n must be positive")
-    toks = chunks.select(*group, F.col(pos).cast("long").alias("pos"), tokens(F.col("text")).alias("toks"))
-    inner = toks.select(*group, F.explode(F.array_distinct(content_grams(F.col("toks"), n))).alias("gram"))
+    inner = text_grams(chunks, group, n)
     if n == 1:
         return inner.distinct()
+    toks = chunks.select(*group, F.col(pos).cast("long").alias("pos"), tokens(F.col("text")).alias("toks"))
     ends = toks.filter(F.size("toks") > 0).select(
         *group,
         "pos",
@@ -89,7 +89,7 @@ def contamination_rows(
     packs = train_chunks.select("pack_id").distinct()
     known = join_sized(cells, packs, ["pack_id"], "left_semi")
 
-    every = content_grams(tokens(F.col("text")), n)
+    every = text_content_grams(F.col("text"), n)
     exploded = known.select("seq", "pack_id", "task_id", F.explode(every).alias("gram"))
     shared = (
         join_sized(exploded, train, ["pack_id", "gram"], "left_semi")

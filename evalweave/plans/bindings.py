@@ -17,6 +17,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table for CPU-heavy text work: spread over the cores when its scan has too few splits.
+
+    A large table has more splits than cores and is read as it is; only a small one, which is
+    cheap to move, is repartitioned.
+    """
+    df = table(spark, sf, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _k() -> F.Column:
     return F.get_json_object("props", "$.k").cast("int")
 

@@ -8,6 +8,7 @@ FAMILIES = [
     "scoring_queries",
     "log_queries",
     "text_queries",
+    "split_queries",
 ]
 
 

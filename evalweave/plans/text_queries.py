@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evalweave.functions.patterns import content_grams, pattern_hits, tokens
+from evalweave.functions.patterns import pattern_hits, text_content_grams
 from evalweave.operators import contamination as C
 from evalweave.operators import responses as R
 from evalweave.operators import text as T
@@ -31,7 +31,7 @@ def query(name, sql=None):
       CASE WHEN {LEAK_SQL[1].format(t='text')} THEN 'p1' END) AS hits
     FROM documents WHERE {LEAK_SQL[0].format(t='text')} OR {LEAK_SQL[1].format(t='text')}""")
 def _(spark, sf):
-    docs = B.table(spark, sf, "documents").withColumn("found", pattern_hits(F.col("text"), LEAKS))
+    docs = B.wide_table(spark, sf, "documents").withColumn("found", pattern_hits(F.col("text"), LEAKS))
     named = F.transform("found", lambda p: F.when(p == F.lit(LEAKS[0]), "p0").otherwise("p1"))
     return docs.filter(F.size("found") > 0).select("doc_id", F.array_join(named, " && ").alias("hits"))
 
@@ -60,15 +60,6 @@ TOK = r"'[A-Za-z][A-Za-z0-9_+-]*|[0-9]+(?:\.[0-9]+)?|[\x{4e00}-\x{9fff}]'"
 STOP = "['a','an','and','are','as','be','by','for','from','in','is','it','of','on','or','that','the','this','to','with']"
 
 
-def gram_sql(text: str, n: int = 3) -> str:
-    """List of content n-grams of a SQL text, repeats kept."""
-    toks = f"list_transform(regexp_extract_all({text}, {TOK}), lambda t: lower(t))"
-    return (
-        f"list_transform(list_filter(list_transform(range(1, len({toks}) - {n - 2}), lambda i: ({toks})[i:i + {n - 1}]),"
-        f" lambda g: len(list_filter(g, lambda t: NOT list_contains({STOP}, t))) > 0), lambda g: array_to_string(g, ' '))"
-    )
-
-
 # Tokens first, in a CTE of their own, so that they are computed once per text.
 def grams_of(source: str, keys: str, text: str, n: int = 3) -> str:
     return f"""(SELECT {keys}, list_transform(list_filter(list_transform(range(1, len(toks) - {n - 2}),
@@ -82,7 +73,7 @@ def grams_of(source: str, keys: str, text: str, n: int = 3) -> str:
       (SELECT item_id, unnest(grams) AS gram FROM {grams_of('benchmark', 'item_id', 'text')}) GROUP BY ALL""")
 def _(spark, sf):
     items = B.table(spark, sf, "benchmark")
-    every = items.select("item_id", F.explode(content_grams(tokens(F.col("text")), 3)).alias("gram"))
+    every = items.select("item_id", F.explode(text_content_grams(F.col("text"), 3)).alias("gram"))
     return every.groupBy("item_id", "gram").agg(F.count("*").alias("n"))
 
 
@@ -90,12 +81,12 @@ def _(spark, sf):
     SELECT doc_id, count(DISTINCT gram) AS n FROM
       (SELECT doc_id, unnest(grams) AS gram FROM {grams_of('documents', 'doc_id', 'text')}) GROUP BY ALL""")
 def _(spark, sf):
-    docs = B.table(spark, sf, "documents")
+    docs = B.wide_table(spark, sf, "documents")
     return C.text_grams(docs, ["doc_id"], 3).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 def contamination_inputs(spark, sf):
-    docs = B.table(spark, sf, "documents").select(
+    docs = B.wide_table(spark, sf, "documents").select(
         F.col("source").alias("pack_id"),
         (F.col("doc_id") % 5).cast("string").alias("task_id"),
         F.concat(F.lit("m"), (F.col("doc_id") % 3).cast("string")).alias("mode"),
@@ -192,7 +183,7 @@ LITERAL_SQL = [
 
 
 def literal_inputs(spark, sf):
-    docs = B.table(spark, sf, "documents")
+    docs = B.wide_table(spark, sf, "documents")
     train = docs.filter(F.col("doc_id") % 3 == 0).select(
         F.col("source").alias("pack_id"),
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("example_id"),
@@ -255,7 +246,7 @@ _KINDS = [
     for kind, text, pattern, group, least in _KINDS
 ))
 def _(spark, sf):
-    docs = B.table(spark, sf, "documents")
+    docs = B.wide_table(spark, sf, "documents")
     return tidy(T.evidence_inventory(docs, keys=["doc_id"]))
 
 
@@ -267,7 +258,7 @@ def _(spark, sf):
       md5(CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || chr(10) || chr(10) || '[TRUNCATED after 500 chars]' ELSE text END) AS evidence_md5
     FROM documents""")
 def _(spark, sf):
-    docs = B.table(spark, sf, "documents").withColumn("s", T.text_stats("text"))
+    docs = B.wide_table(spark, sf, "documents").withColumn("s", T.text_stats("text"))
     return docs.select(
         "doc_id", "s.*",
         F.md5(T.truncate_preview("text", 500)).alias("preview_md5"),
@@ -313,7 +304,7 @@ SECTION_SQL = f"""
 
 @query("E10_section_rules", "WITH " + SECTION_SQL + " SELECT * FROM sections")
 def _(spark, sf):
-    docs = B.table(spark, sf, "documents")
+    docs = B.wide_table(spark, sf, "documents")
     return docs.select("doc_id", T.section_rule_counts(skill_md()).alias("s")).select("doc_id", "s.*")
 
 
@@ -322,7 +313,7 @@ def _(spark, sf):
     SELECT doc_id, md5(CASE WHEN instr(t, '</think>' || chr(10) || chr(10)) > 0
       THEN substr(t, instr(t, '</think>' || chr(10) || chr(10)) + 10) ELSE t END) AS text_md5 FROM t""")
 def _(spark, sf):
-    docs = B.table(spark, sf, "documents")
+    docs = B.wide_table(spark, sf, "documents")
     t = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("plan" + T.REASONING_END), F.col("text"))).otherwise(F.col("text"))
     return docs.select("doc_id", F.md5(T.strip_reasoning(t)).alias("text_md5"))
 
@@ -378,7 +369,7 @@ def _(spark, sf):
 
 
 def slide_rows(spark, sf):
-    docs = B.table(spark, sf, "documents")
+    docs = B.wide_table(spark, sf, "documents")
     n = F.col("doc_id")
     body = F.regexp_replace(F.col("text"), "\n", "\n\nSlide 2: **next**\n")
     return docs.select(
@@ -402,7 +393,7 @@ def slide_rows(spark, sf):
       md5(string_agg(trim(regexp_replace(regexp_replace(line, '[*_`]+', '', 'g'), '\s+', ' ', 'g')), chr(10) ORDER BY p)) AS page_md5
     FROM g GROUP BY ALL""")
 def _(spark, sf):
-    tasks = B.table(spark, sf, "documents").filter(F.col("doc_id") % 7 < 6).select(
+    tasks = B.wide_table(spark, sf, "documents").filter(F.col("doc_id") % 7 < 6).select(
         F.col("source").alias("pack_id"), (F.col("doc_id") % 7).cast("string").alias("task_id")
     )
     pages = T.export_pages(slide_rows(spark, sf), tasks, modes=["m0", "m1"])
