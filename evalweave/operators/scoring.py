@@ -417,3 +417,35 @@ def numeric_summary(values: DataFrame, value: str, *, by: Sequence[str]) -> Data
         F.percentile(v, 0.5).alias("p50"),
         F.max(v).alias("max"),
     )
+
+
+def expected_for_groups(expected: DataFrame, groups: DataFrame, sources: Sequence[str]) -> DataFrame:
+    """the expected matrix of each report group, by the group's inferred source.
+
+    ``expected`` carries ``source``; ``groups`` has group columns and ``source``. A group without
+    a source takes the packs of all ``sources``. An equi-join on ``source``.
+    """
+    own = F.when(F.col("source").isNull(), lit_list(list(sources))).otherwise(F.array("source"))
+    wide = groups.withColumn("source", F.explode(own))
+    return wide.join(expected, "source").drop("source").distinct()
+
+
+def file_report(rows: DataFrame, *, baseline_mode: str, expected: DataFrame | None = None) -> dict[str, DataFrame]:
+    """the reports of F5-F8 per file and evaluator, as one table each.
+
+    ``rows`` carry ``path``; ``expected`` carries ``path, evaluator_kind`` and the cell columns.
+    """
+    by = ["path", "evaluator_kind"]
+    rows = rows.withColumn("evaluator_kind", label("evaluator_kind"))
+    deltas = paired_deltas(rows, baseline_mode=baseline_mode, expected=expected, by=by)
+    out = {
+        "status_counts": status_counts(rows, by=["path"]),
+        "mode_scores": mode_scores(rows, by=by),
+        "paired_deltas": deltas,
+        "negative_transfer": negative_transfer(deltas, by=by),
+    }
+    if expected is not None:
+        per_file = expected.select("path", *CELL).distinct()
+        cells = coverage_cells(rows, per_file, require_finite=False, by=["path"])
+        out["coverage"] = coverage_summary(cells, by=["path"])
+    return out

@@ -9,6 +9,7 @@ FAMILIES = [
     "log_queries",
     "text_queries",
     "split_queries",
+    "rollup_queries",
 ]
 
 
