@@ -43,10 +43,11 @@ def rule_support(rule: Column) -> Column:
 
 def artifact_metrics(skills: DataFrame) -> DataFrame:
     """one metric row per skill row. ``report`` is the cross-example report as JSON text."""
-    report = F.try_parse_json("report")
+    report = F.col("report_v")  # parsed once, in a column of its own
     rules = _items(report, "candidate_rules")
     return (
         skills.withColumn("s", section_rule_counts("skill_md"))
+        .withColumn("report_v", F.try_parse_json("report"))
         .select(
             "pack_id", "mode", "status", "seq",
             F.length(F.coalesce("skill_md", F.lit(""))).cast("long").alias("skill_char_length"),
@@ -101,13 +102,14 @@ def consistency_rows(rows: DataFrame) -> DataFrame:
     ``rows``: ``pack_id, mode, status, seq, judge_report`` (JSON text), ``matched_literal_count``,
     ``has_literal_leakage``.
     """
-    report = F.try_parse_json("judge_report")
+    report = F.col("report_v")
     out = rows.filter(F.col("status") == "success").withColumn("mode", label("mode"))
+    out = out.withColumn("report_v", F.try_parse_json("judge_report"))
     recorded = F.try_variant_get(report, "$.parse_error", "string")
     out = out.withColumn(
         "errors", F.coalesce(consistency_errors(report, recorded), F.array(F.lit("judge_report_must_be_object")))
     )
-    return out.withColumns({f: field_number(report, f) for f in CONSISTENCY_SCORES})
+    return out.withColumns({f: field_number(report, f) for f in CONSISTENCY_SCORES}).drop("report_v")
 
 
 def invalid_consistency_rows(checked: DataFrame) -> DataFrame:

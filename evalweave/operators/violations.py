@@ -26,6 +26,32 @@ def violation(df: DataFrame, rule_id: str, entity, detail="", severity: str = "e
     )
 
 
+def rule_rows(df: DataFrame, entity, rules) -> DataFrame:
+    """Many rules over one table in one pass.
+
+    ``rules``: ``(rule_id, severity, condition, detail)``; a row yields one violation for each
+    condition that holds. Rules that read the same joined row share one join this way.
+    """
+    entity = F.col(entity) if isinstance(entity, str) else entity
+    hits = []
+    for rule_id, severity, cond, detail in rules:
+        detail = F.lit(detail) if isinstance(detail, str) else detail
+        hits.append(
+            F.when(
+                F.coalesce(cond, F.lit(False)),
+                F.struct(
+                    F.lit(rule_id).alias("rule_id"),
+                    F.lit(severity).alias("severity"),
+                    F.coalesce(detail.cast("string"), F.lit("")).alias("detail"),
+                ),
+            )
+        )
+    found = df.select(
+        F.coalesce(entity.cast("string"), F.lit("")).alias("entity_id"), F.explode(F.array_compact(F.array(*hits))).alias("v")
+    )
+    return found.select("v.rule_id", "v.severity", "entity_id", "v.detail")
+
+
 def union_all(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), tables)
 

@@ -10,6 +10,7 @@ FAMILIES = [
     "text_queries",
     "split_queries",
     "rollup_queries",
+    "thread_queries",
 ]
 
 
