@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.functions.expr import count_where, id_part, label, ratio
+from evalweave.functions.expr import count_where, id_part, label, let, ratio
 from evalweave.operators.responses import CONSISTENCY_SCORES, consistency_errors, field_number
 from evalweave.operators.scoring import numeric_summary
 from evalweave.operators.text import section_rule_counts
@@ -102,14 +102,14 @@ def consistency_rows(rows: DataFrame) -> DataFrame:
     ``rows``: ``pack_id, mode, status, seq, judge_report`` (JSON text), ``matched_literal_count``,
     ``has_literal_leakage``.
     """
-    report = F.col("report_v")
+    def check(report: Column) -> Column:
+        recorded = F.try_variant_get(report, "$.parse_error", "string")
+        errors = F.coalesce(consistency_errors(report, recorded), F.array(F.lit("judge_report_must_be_object")))
+        return F.struct(errors.alias("errors"), *[field_number(report, f).alias(f) for f in CONSISTENCY_SCORES])
+
+    # Bound as a variable, the report is parsed once even where a filter on `errors` is pushed down.
     out = rows.filter(F.col("status") == "success").withColumn("mode", label("mode"))
-    out = out.withColumn("report_v", F.try_parse_json("judge_report"))
-    recorded = F.try_variant_get(report, "$.parse_error", "string")
-    out = out.withColumn(
-        "errors", F.coalesce(consistency_errors(report, recorded), F.array(F.lit("judge_report_must_be_object")))
-    )
-    return out.withColumns({f: field_number(report, f) for f in CONSISTENCY_SCORES}).drop("report_v")
+    return out.withColumn("c", let(F.try_parse_json("judge_report"), check)).select("*", "c.*").drop("c")
 
 
 def invalid_consistency_rows(checked: DataFrame) -> DataFrame:

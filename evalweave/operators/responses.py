@@ -39,18 +39,27 @@ def _parsed(candidate: Column) -> Column:
     return F.coalesce(strict_json(candidate), strict_json(_braces(candidate)))
 
 
+_KINDS = {
+    "BIGINT": "int",
+    "DECIMAL": "number",
+    "DOUBLE": "number",
+    "FLOAT": "number",
+    "BOOLEAN": "bool",
+    "STRING": "string",
+    "ARRAY": "list",
+    "OBJECT": "object",
+    "VOID": "null",
+}
+
+
 def kind(value: Column) -> Column:
-    """JSON type of a VARIANT: ``int, number, bool, string, list, object, null``; null if absent."""
-    t = F.schema_of_variant(value)
-    return (
-        F.when(t == "BIGINT", "int")
-        .when(t.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "number")
-        .when(t == "BOOLEAN", "bool")
-        .when(t == "STRING", "string")
-        .when(t.startswith("ARRAY"), "list")
-        .when(t.startswith("OBJECT"), "object")
-        .when(t == "VOID", "null")
-    )
+    """JSON type of a VARIANT: ``int, number, bool, string, list, object, null``; null if absent.
+
+    The type name is read once and looked up; a chain of conditions would read it once per branch.
+    """
+    head = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    names = F.create_map(*[x for k, v in _KINDS.items() for x in (F.lit(k), F.lit(v))])
+    return F.try_element_at(names, head)
 
 
 def field(value: Column, name: str) -> Column:
