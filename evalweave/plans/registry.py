@@ -11,6 +11,7 @@ FAMILIES = [
     "split_queries",
     "rollup_queries",
     "thread_queries",
+    "gate_queries",
 ]
 
 
