@@ -12,6 +12,7 @@ FAMILIES = [
     "rollup_queries",
     "thread_queries",
     "gate_queries",
+    "source_queries",
 ]
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -74,10 +75,10 @@ def upsert_stream(log: DataFrame, view_path: str, checkpoint: str, *, keys: Sequ
 
 def current_view(spark: SparkSession, view_path: str, *, before: int | None = None, buckets=None) -> DataFrame | None:
     """The newest version of each bucket; ``None`` while nothing has been written."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(view_path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    try:
+        rows = spark.read.parquet(view_path)
+    except AnalysisException:  # the folder does not exist yet
         return None
-    rows = spark.read.parquet(view_path)
     if before is not None:
         rows = rows.filter(F.col("version") < before)
     if buckets is not None:
