@@ -104,8 +104,12 @@ def consistency_rows(rows: DataFrame) -> DataFrame:
     """
     def check(report: Column) -> Column:
         recorded = F.try_variant_get(report, "$.parse_error", "string")
-        errors = F.coalesce(consistency_errors(report, recorded), F.array(F.lit("judge_report_must_be_object")))
-        return F.struct(errors.alias("errors"), *[field_number(report, f).alias(f) for f in CONSISTENCY_SCORES])
+
+        def with_errors(n: Column) -> Column:
+            errors = F.coalesce(consistency_errors(report, recorded, n), F.array(F.lit("judge_report_must_be_object")))
+            return F.struct(errors.alias("errors"), *[n[f].alias(f) for f in CONSISTENCY_SCORES])
+
+        return let(F.struct(*[field_number(report, f).alias(f) for f in CONSISTENCY_SCORES]), with_errors)
 
     # Bound as a variable, the report is parsed once even where a filter on `errors` is pushed down.
     out = rows.filter(F.col("status") == "success").withColumn("mode", label("mode"))

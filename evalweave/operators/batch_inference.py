@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,23 +26,24 @@ def run_jobs(jobs: DataFrame, call: Callable[[str], dict[str, Any]], *, concurre
     executors only repeat calls that were not yet logged.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import time
+    columns = [line.strip().split() for line in SCHEMA.split(",")]
+    arrow = pa.schema([(n, pa.float64() if t == "double" else pa.string()) for n, t in columns])
 
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for job_id, sha, prompt in zip(pdf["job_id"], pdf["prompt_sha256"], pdf["prompt"], strict=True):
+            for job in batch.to_pylist():
                 start = time.monotonic()
-                row: dict[str, Any] = {"job_id": job_id, "prompt_sha256": sha, "error": None}
+                row: dict[str, Any] = {"job_id": job["job_id"], "prompt_sha256": job["prompt_sha256"]}
                 try:
-                    result = call(prompt)
+                    result = call(job["prompt"])
                     row.update({f: result.get(f) for f in RESULT_FIELDS})
                 except Exception as exc:  # noqa: BLE001 - one failed call is one row
                     row["error"] = f"{type(exc).__name__}: {exc}"[:500]
                 row["duration_seconds"] = round(time.monotonic() - start, 3)
                 out.append(row)
-            yield pd.DataFrame(out, columns=["job_id", "prompt_sha256", *RESULT_FIELDS, "error", "duration_seconds"])
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     keys = ["job_id", "prompt_sha256"]
     # Hash on the whole key, so that a job with many prompts does not end up in one partition.
-    return jobs.select(*keys, "prompt").repartition(concurrency, *[F.col(k) for k in keys]).mapInPandas(run, SCHEMA)
+    return jobs.select(*keys, "prompt").repartition(concurrency, *[F.col(k) for k in keys]).mapInArrow(run, SCHEMA)

@@ -142,11 +142,15 @@ def task_rules(t: FlowTables) -> list[DataFrame]:
     seen = _visible(t)
     train, held = F.col("role") == "train", F.col("role") == "heldout"
 
-    def overlap(keys: list[str], rule_id: str) -> DataFrame:
-        both = seen.dropna(subset=keys).groupBy("pack_id", *keys).agg(F.max(train).alias("t"), F.max(held).alias("h"))
-        return violation(both.filter("t and h"), rule_id, "pack_id", F.concat_ws("/", *keys))
-
-    out = [overlap(["ref"], "H2_ids_overlap"), overlap(["source", "source_task_id"], "H2_source_tasks_overlap")]
+    # Both overlap rules from one aggregation: a visible task counts under its id and its source pair.
+    pair = F.when(F.col("source").isNotNull() & F.col("source_task_id").isNotNull(), F.concat_ws("/", "source", "source_task_id"))
+    names = F.array_compact(F.array(
+        F.struct(F.lit("H2_ids_overlap").alias("rule_id"), F.col("ref").alias("name")),
+        F.when(pair.isNotNull(), F.struct(F.lit("H2_source_tasks_overlap").alias("rule_id"), pair.alias("name"))),
+    ))
+    sides = seen.select("pack_id", train.alias("t"), held.alias("h"), F.explode(names).alias("n")).groupBy("pack_id", "n.rule_id", "n.name")
+    both_roles = sides.agg(F.max("t").alias("t"), F.max("h").alias("h")).filter("t and h")
+    out = [both_roles.select("rule_id", F.lit("error").alias("severity"), F.coalesce("pack_id", F.lit("")).alias("entity_id"), F.col("name").alias("detail"))]
 
     known = t.packs.select("pack_id", "split_id").join(t.splits.select("split_id").distinct(), "split_id")
     keys = ["pack_id", "role", "source", "source_task_id"]
@@ -169,38 +173,49 @@ def task_rules(t: FlowTables) -> list[DataFrame]:
         .join(has_private, "pack_id", "left_semi")
         .join(has_pack, "pack_id", "left_semi")
     )
-    uneven = both.filter(F.col("v_found").isNull() | F.col("p_found").isNull())
-    out.append(violation(uneven.select("pack_id", "role").distinct(), "H2_private_refs_differ", "pack_id", F.col("role")))
     # A pair with a missing part counts as no pair at all on either side.
     pair = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.concat_ws("/", a, b))
-    moved = both.filter(F.col("p_found").isNotNull() & ~pair("p_source", "p_id").eqNullSafe(pair("source", "source_task_id")))
-    out.append(violation(moved, "H2_private_source_id", "pack_id", F.concat_ws(".", "role", "ref")))
+    uneven = F.col("v_found").isNull() | F.col("p_found").isNull()
+    moved = F.col("p_found").isNotNull() & ~pair("p_source", "p_id").eqNullSafe(pair("source", "source_task_id"))
+    out.append(
+        rule_rows(
+            both,
+            "pack_id",
+            [
+                ("H2_private_refs_differ", "error", uneven, F.col("role")),
+                ("H2_private_source_id", "error", moved, F.concat_ws(".", "role", "ref")),
+            ],
+        ).distinct()
+    )
     return out
 
 
 def output_rules(t: FlowTables) -> list[DataFrame]:
-    """Frozen outputs: present, clean, and equal to their job and to the latest log row."""
+    """Frozen outputs: present, clean, and equal to their job and to the latest log row.
+
+    Examples meet jobs, split tasks and log in one chain of joins; all rules read that one row.
+    """
     entity = F.concat_ws("/", F.col("pack_id"), F.col("example_id"))
-    ex = t.examples.withColumn("is_gen", F.coalesce(F.col("output_status") == "generated", F.lit(False)))
-    ex = ex.withColumn("is_text", F.col("is_gen") & has_text("output"))
-    leaks = pattern_hits(F.col("output"), t.patterns)
+    joined = t.examples.withColumn("is_gen", F.coalesce(F.col("output_status") == "generated", F.lit(False)))
+    joined = joined.withColumn("is_text", F.col("is_gen") & has_text("output"))
+    joined = joined.withColumn("leaks", pattern_hits(F.col("output"), t.patterns))  # scanned once
+    leaks = F.col("leaks")
     rules = [
         ("H2_not_frozen", "error", ~F.col("is_gen"), F.coalesce("output_status", F.lit(""))),
         ("H2_output_empty", "error", F.col("is_gen") & ~F.col("is_text"), ""),
         ("H2_output_leaks", "error", F.col("is_text") & (F.size(leaks) > 0), F.array_join(leaks, " | ")),
     ]
-    has_job = F.col("is_text") & (id_part("job_id") != "")
+    frozen = F.col("is_text") & (id_part("job_id") != "")
     if t.jobs is not None or t.log is not None:
         rules.append(("H2_no_job_id", "error", F.col("is_text") & (id_part("job_id") == ""), ""))
-    out = [rule_rows(ex, entity, rules)]
-    frozen = ex.filter(has_job).drop("is_gen", "is_text")
     own = ["pack_id", "example_id", "source", "source_task_id"]
     template = F.col("prompt_template_version")
+    out = []
 
     if t.jobs is not None:
         fields = [*own, "prompt_sha256", "prompt_template_version", "prompt", "material_budget_chars"]
         j = t.jobs.select("job_id", F.lit(True).alias("j_found"), *[F.col(c).alias(f"j_{c}") for c in fields]).dropDuplicates(["job_id"])
-        joined = frozen.drop("output").join(j, "job_id", "left")
+        joined = joined.join(j, "job_id", "left")
         split_of = t.packs.select("pack_id", "split_id").dropDuplicates(["pack_id"])
         in_split = t.split_tasks.filter(F.col("role") == "train").select(
             "split_id", "source", F.col("source_id").cast("string").alias("source_task_id"), F.lit(True).alias("t_found")
@@ -210,23 +225,25 @@ def output_rules(t: FlowTables) -> list[DataFrame]:
             joined = joined.join(t.replayed.select("example_id", F.col("prompt").alias("r_prompt")).dropDuplicates(["example_id"]), "example_id", "left")
         else:
             joined = joined.withColumn("r_prompt", F.lit(None).cast("string"))
-        found = F.col("j_found").isNotNull()
+        found = frozen & F.col("j_found").isNotNull()
         text = found & has_text("j_prompt")
-        current = text & F.col("t_found").isNotNull() & F.col("j_prompt_template_version").eqNullSafe(F.lit(t.template_version))
+        is_current = F.col("j_prompt_template_version").eqNullSafe(F.lit(t.template_version))
+        current = text & F.col("t_found").isNotNull() & is_current
         budget = F.coalesce(F.col("j_material_budget_chars"), F.lit(1))
-        prompt_leaks = pattern_hits(F.col("j_prompt"), t.patterns)
-        out.append(rule_rows(joined, entity, [
-            ("H2_job_missing", "error", ~found, F.col("job_id")),
+        joined = joined.withColumn("prompt_leaks", pattern_hits(F.col("j_prompt"), t.patterns))
+        prompt_leaks = F.col("prompt_leaks")
+        rules += [
+            ("H2_job_missing", "error", frozen & F.col("j_found").isNull(), F.col("job_id")),
             *[(f"H2_job_{c}", "error", found & _differs(c, f"j_{c}"), "") for c in own],
             ("H2_job_prompt_sha256", "error", found & (id_part("prompt_sha256") != "") & _differs("prompt_sha256", "j_prompt_sha256"), ""),
             ("H2_job_template", "error", found & (id_part(template) != "") & _differs("prompt_template_version", "j_prompt_template_version"), ""),
             ("H2_job_prompt_empty", "error", found & ~has_text("j_prompt"), ""),
             ("H2_job_budget", "error", current & (budget <= 0), ""),
             ("H2_job_prompt_replay", "error", current & F.col("r_prompt").isNotNull() & _differs("j_prompt", "r_prompt"), ""),
-            ("H2_job_not_replayed", "warning", text & F.col("t_found").isNotNull() & ~F.col("j_prompt_template_version").eqNullSafe(F.lit(t.template_version)), F.col("j_prompt_template_version")),
+            ("H2_job_not_replayed", "warning", text & F.col("t_found").isNotNull() & ~is_current, F.col("j_prompt_template_version")),
             ("H2_job_sha_of_prompt", "error", text & ~F.col("j_prompt_sha256").eqNullSafe(F.sha2("j_prompt", 256)), ""),
             ("H2_job_prompt_leaks", "error", text & (F.size(prompt_leaks) > 0), F.array_join(prompt_leaks, " | ")),
-        ]))
+        ]
         used = t.examples.filter(id_part("job_id") != "").select("job_id").distinct()
         orphans = t.jobs.select("job_id").dropna().distinct().join(used, "job_id", "left_anti")
         out.append(violation(orphans, "H2_orphan_job", "job_id", "", "warning"))
@@ -236,19 +253,19 @@ def output_rules(t: FlowTables) -> list[DataFrame]:
         latest = latest_rows(t.log).select(
             "job_id", "prompt_sha256", F.lit(True).alias("g_found"), *[F.col(c).alias(f"g_{c}") for c in fields]
         )
-        joined = frozen.join(latest, ["job_id", "prompt_sha256"], "left")
+        joined = joined.join(latest, ["job_id", "prompt_sha256"], "left")
         sha = id_part("prompt_sha256") != ""
-        found = sha & F.col("g_found").isNotNull()
-        out.append(rule_rows(joined, entity, [
-            ("H2_no_prompt_sha256", "error", ~sha, ""),
-            ("H2_log_missing", "error", sha & F.col("g_found").isNull(), F.col("job_id")),
+        found = frozen & sha & F.col("g_found").isNotNull()
+        rules += [
+            ("H2_no_prompt_sha256", "error", frozen & ~sha, ""),
+            ("H2_log_missing", "error", frozen & sha & F.col("g_found").isNull(), F.col("job_id")),
             *[(f"H2_log_{c}", "error", found & _differs(c, f"g_{c}"), "") for c in own],
             ("H2_log_template", "error", found & (id_part(template) != "") & _differs("prompt_template_version", "g_prompt_template_version"), ""),
             ("H2_log_status", "error", found & ~F.col("g_status").eqNullSafe(F.lit("success")), F.col("g_status")),
             ("H2_log_finish", "error", found & ~F.col("g_finish_reason").eqNullSafe(F.lit("stop")), F.col("g_finish_reason")),
             ("H2_log_text", "error", found & _differs("output", "g_desired_output"), ""),
-        ]))
-    return out
+        ]
+    return [rule_rows(joined, entity, rules), *out]
 
 
 def private_rules(t: FlowTables) -> list[DataFrame]:

@@ -72,8 +72,8 @@ def field_kind(value: Column, name: str) -> Column:
 
 def field_number(value: Column, name: str) -> Column:
     """A JSON number (not a bool, not a digit string) as double."""
-    ok = field_kind(value, name).isin("int", "number")
-    return F.when(ok, F.try_variant_get(value, f"$.{name}", "double"))
+    is_number = F.schema_of_variant(field(value, name)).rlike("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    return F.when(is_number, F.try_variant_get(value, f"$.{name}", "double"))
 
 
 def parse_object(df: DataFrame, text: str = "text") -> DataFrame:
@@ -187,12 +187,16 @@ def grounding_reports(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def consistency_errors(report: Column, parse_error: Column) -> Column:
-    """All faults of a self-consistency report, sorted and distinct."""
+def consistency_errors(report: Column, parse_error: Column, scores: Column | None = None) -> Column:
+    """All faults of a self-consistency report, sorted and distinct.
+
+    ``scores`` is a struct of the numeric fields when the caller has it already.
+    """
     if_object = kind(report) == "object"
     parts = [parse_error]
     for f in CONSISTENCY_SCORES:
-        parts.append(F.when(_out_of(field_number(report, f), 0, 10), f"{f}_must_be_number_0_to_10"))
+        number = field_number(report, f) if scores is None else scores[f]
+        parts.append(F.when(_out_of(number, 0, 10), f"{f}_must_be_number_0_to_10"))
     for f in CONSISTENCY_LISTS:
         parts.append(F.when(field_kind(report, f) != "list", f"{f}_must_be_list"))
     parts.append(F.when(field_kind(report, "rationale") != "string", "rationale_must_be_string"))

@@ -32,10 +32,10 @@ def _k() -> F.Column:
     return F.get_json_object("props", "$.k").cast("int")
 
 
-def eval_row(spark: SparkSession, sf: str) -> DataFrame:
+def eval_row(spark: SparkSession, sf: str, *, wide: bool = False) -> DataFrame:
     k = _k()
     ok = k % 10 != 0
-    return table(spark, sf, "events").select(
+    return (wide_table if wide else table)(spark, sf, "events").select(
         F.col("user_id").cast("string").alias("pack_id"),
         (F.col("event_id") % 4).cast("string").alias("task_id"),
         F.when(F.col("event_type") == "view", "prompt_only").otherwise(F.col("event_type")).alias("mode"),

@@ -29,7 +29,7 @@ def query(name, sql=None):
 
 
 def raw_eval_rows(spark, sf):
-    e = B.table(spark, sf, "events").withColumn("k", B._k())
+    e = B.wide_table(spark, sf, "events").withColumn("k", B._k())
     k = F.col("k")
     raw = F.concat(
         F.lit('{"schema_version":'), F.when(k % 31 == 0, '"old/v0"').otherwise('"heldout-eval/v1"'),
@@ -74,7 +74,7 @@ def _(spark, sf):
         WHEN k % 5 = 1 AND k % 7 = 0 THEN 'missing required field: error' WHEN k % 5 = 2 THEN 'missing required field: leak_matches'
         WHEN k % 5 = 4 THEN 'unsupported generated output status: odd' END AS d FROM e) WHERE d IS NOT NULL""")
 def _(spark, sf):
-    e = B.table(spark, sf, "events").withColumn("k", B._k())
+    e = B.wide_table(spark, sf, "events").withColumn("k", B._k())
     k = F.col("k")
     five = [F.lit(x) for x in ("success", "error", "rejected_private_leak", "rejected_incomplete_generation", "odd")]
     raw = F.concat(

@@ -257,7 +257,7 @@ def _(spark, sf):
 
 
 def consistency_input(spark, sf):
-    e = B.eval_row(spark, sf)
+    e = B.eval_row(spark, sf, wide=True)
     k = F.col("k")
     first = F.when(k % 7 == 0, "12").when(k % 7 == 1, "true").otherwise((k % 11).cast("string"))
     rest = F.concat(*[F.concat(F.lit(f',"{f}":'), ((k + i) % 11).cast("string")) for i, f in enumerate(A.CONSISTENCY_SCORES[1:])])

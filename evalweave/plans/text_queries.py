@@ -320,7 +320,7 @@ def _(spark, sf):
 
 def responses(spark, sf):
     """Judge answers written from the events: bare, fenced, wrapped in words, and broken ones."""
-    e = B.table(spark, sf, "events").withColumn("k", B._k())
+    e = B.wide_table(spark, sf, "events").withColumn("k", B._k())
     k = F.col("k")
     score = (
         F.when(k % 10 == 3, "true").when(k % 10 == 4, F.concat(F.lit('"'), (k % 12).cast("string"), F.lit('"')))
@@ -355,7 +355,7 @@ def _(spark, sf):
     SELECT event_id, CASE k % 4 WHEN 0 THEN CAST(k % 10 AS DOUBLE) WHEN 1 THEN CAST(k % 10 AS DOUBLE) + 0.5 END AS overall_score,
       CASE WHEN k % 5 = 4 AND k % 4 = 3 THEN 'no_json_object_found' END AS parse_error FROM e""")
 def _(spark, sf):
-    e = B.table(spark, sf, "events").withColumn("k", B._k())
+    e = B.wide_table(spark, sf, "events").withColumn("k", B._k())
     k = F.col("k")
     n = (k % 10).cast("string")
     value = (

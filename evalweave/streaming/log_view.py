@@ -27,11 +27,16 @@ def read_log_stream(
     return reader.load(path)
 
 
-def latest_view(log: DataFrame, columns: Sequence[str], *, keys: Sequence[str] = KEY) -> DataFrame:
-    """Latest ``columns`` per key. Works on a stream (update or complete mode) and on a batch."""
+def _keyed(log: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
+    """Rows with every key part present."""
     for k in keys:
         log = log.filter(F.coalesce(F.col(k).cast("string"), F.lit("")) != "")
-    agg = log.groupBy(*keys).agg(
+    return log
+
+
+def latest_view(log: DataFrame, columns: Sequence[str], *, keys: Sequence[str] = KEY) -> DataFrame:
+    """Latest ``columns`` per key. Works on a stream (update or complete mode) and on a batch."""
+    agg = _keyed(log, keys).groupBy(*keys).agg(
         F.max_by(F.struct(*columns), "seq").alias("latest"), F.max("seq").alias("seq"), F.count("*").alias("n_rows")
     )
     return agg.select(*keys, "seq", "n_rows", "latest.*")
@@ -66,7 +71,7 @@ def upsert_stream(log: DataFrame, view_path: str, checkpoint: str, *, keys: Sequ
         )
 
     return (
-        log.writeStream.foreachBatch(merge)
+        _keyed(log, keys).writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
