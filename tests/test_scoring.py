@@ -97,3 +97,17 @@ def test_expected_matrix_of_groups_follows_their_source(spark, rows):
     groups = spark.createDataFrame([("j1", "A"), ("j2", None)], "judge_model string, source string")
     out = S.expected_for_groups(want, groups, ["A", "B"])
     assert rows(out, "judge_model", "pack_id") == [("j1", "p"), ("j2", "p"), ("j2", "q")]
+
+
+def test_median_equals_the_sorted_middle_on_skewed_and_tied_groups(spark, rows):
+    import random
+    import statistics
+
+    rng = random.Random(11)
+    groups = {
+        "ties": [3.0] * 4000 + [5.0] * 10, "wide": [rng.uniform(-1e6, 1e6) for _ in range(9001)], "even": [rng.gauss(0, 1) for _ in range(5000)],
+        "one": [7.5], "two": [1.0, 2.0], "split": [0.0] * 500 + [1.0] * 500, "ints": [float(rng.randint(0, 9)) for _ in range(3000)],
+    }
+    df = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs] + [("none", None)], "g string, v double")
+    got = {g: m for g, m in rows(S.numeric_summary(df, "v", by=["g"]), "g", "p50")}
+    assert got == {**{g: statistics.median(xs) for g, xs in groups.items()}, "none": None}
