@@ -243,17 +243,10 @@ def source_domain_coverage(rows: DataFrame) -> DataFrame:
 
 def frozen_summary(packs: DataFrame, examples: DataFrame, heldout: DataFrame) -> DataFrame:
     """H8: packs, train examples, heldout tasks and frozen examples, in one row."""
-    one = F.lit(0).alias("g")
     frozen = F.coalesce((F.col("output_status") == "generated") & has_text("output"), F.lit(False))
-    parts = [
-        packs.agg(F.count("*").alias("packs")).select(one, "*"),
-        examples.agg(F.count("*").alias("train_examples"), count_where(frozen).alias("frozen_train_examples")).select(one, "*"),
-        heldout.agg(F.count("*").alias("heldout_tasks")).select(one, "*"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, "g")
-    return out.drop("g")
+    counts = examples.agg(F.count("*").alias("train_examples"), count_where(frozen).alias("frozen_train_examples"))
+    rows = lambda df: df.agg(F.count("*")).scalar()
+    return counts.select(rows(packs).alias("packs"), "*", rows(heldout).alias("heldout_tasks"))
 
 
 def job_log_differences(jobs: DataFrame, log: DataFrame) -> DataFrame:
@@ -323,9 +316,7 @@ def cleaning_status(
     (``packs, train_examples, heldout_tasks, generation_jobs``) to totals; ``subset`` holds the
     faults of an optional subset pack, which only warn unless it is required."""
     summary = frozen_summary(packs, examples, heldout)
-    n_jobs = jobs.agg(F.count("*").alias("generation_jobs"))
-    one = F.lit(0).alias("g")
-    summary = summary.select(one, "*").join(n_jobs.select(one, "*"), "g").drop("g")
+    summary = summary.withColumn("generation_jobs", jobs.agg(F.count("*")).scalar())
     out = [flow, expectation_faults(summary, expected), frozen_faults(summary), job_log_differences(jobs, log)]
     if required_audits is not None:
         out.append(audit_file_faults(*required_audits))

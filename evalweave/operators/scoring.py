@@ -315,8 +315,7 @@ def paired_deltas(
         if by:
             per_mode = per_mode.join(universe, list(by), "left")
         else:
-            one = universe.withColumn("__g", F.lit(0))
-            per_mode = per_mode.withColumn("__g", F.lit(0)).join(one, "__g", "left").drop("__g")
+            per_mode = per_mode.withColumn("expected_pairs", F.coalesce(universe.scalar(), F.lit(0)))
     else:
         modes = expected.select(*by, "mode").distinct().withColumn("in_matrix", F.lit(True))
         per_mode = per_mode.join(modes, [*by, "mode"], "left").filter(

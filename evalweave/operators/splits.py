@@ -119,8 +119,7 @@ def group_selection_summary(
     agg = sizes.agg(F.count("*").alias("total_groups"), count_where(F.col("size") >= need).alias("eligible_groups"))
     top = sizes.orderBy(F.desc("size")).limit(largest).agg(F.sort_array(F.collect_list("size"), asc=False).alias("largest_group_sizes"))
     chosen = F.least(F.col("eligible_groups"), F.lit(max_groups))
-    one = F.lit(0).alias("g")
-    return agg.select(one, "*").join(top.select(one, "*"), "g").select(
+    return agg.select("*", top.scalar().alias("largest_group_sizes")).select(
         "total_groups",
         "eligible_groups",
         chosen.alias("selected_groups"),
