@@ -101,7 +101,8 @@ def contamination_rows(
     sizes = known.select(
         *CELL, "seq", F.size(F.array_distinct(every)).cast("long").alias("candidate_grams")
     )
-    suspicious = matches.groupBy("seq").agg(F.count("*").alias("suspicious"))
+    # One narrow row per candidate with a match, read twice below.
+    suspicious = matches.groupBy("seq").agg(F.count("*").alias("suspicious")).persist()
     train_n = train.groupBy("pack_id").agg(F.count("*").alias("train_grams"))
     heldout_n = heldout.groupBy("pack_id", "task_id").agg(F.count("*").alias("heldout_grams"))
     rows = (
@@ -115,9 +116,11 @@ def contamination_rows(
         )
     )
     base = (
-        rows.filter(F.col("mode") == baseline_mode)
+        known.filter(F.col("mode") == baseline_mode)
+        .select("pack_id", "task_id", "seq")
+        .join(suspicious, "seq", "left")
         .groupBy("pack_id", "task_id")
-        .agg(F.max_by("suspicious", "seq").alias("baseline_suspicious"))
+        .agg(F.max_by(F.coalesce("suspicious", F.lit(0)), "seq").alias("baseline_suspicious"))
     )
     rows = rows.join(base, ["pack_id", "task_id"], "left").withColumn(
         "excess", F.col("suspicious") - F.col("baseline_suspicious")

@@ -46,9 +46,10 @@ def rule_rows(df: DataFrame, entity, rules) -> DataFrame:
                 ),
             )
         )
+    # A plain array stays in generated code; the nulls of rules that hold back fall to the filter.
     found = df.select(
-        F.coalesce(entity.cast("string"), F.lit("")).alias("entity_id"), F.explode(F.array_compact(F.array(*hits))).alias("v")
-    )
+        F.coalesce(entity.cast("string"), F.lit("")).alias("entity_id"), F.explode(F.array(*hits)).alias("v")
+    ).filter(F.col("v").isNotNull())
     return found.select("v.rule_id", "v.severity", "entity_id", "v.detail")
 
 
