@@ -7,7 +7,7 @@ of windows, as deep as the window, is that of (word, offset). Three rounds settl
 the smallest document of its class in that order:
 
 1. words that an earlier document holds: all their suffixes are old, which settles repetitive text;
-2. of the other suffixes, those whose minimizer (least hash of 16 bytes within the window) occurs in
+2. of the other suffixes, those whose minimizer (least hash of 24 bytes within the window) occurs in
    two documents; equal windows have equal minimizers, so no other suffix can be old;
 3. the classes of the remaining suffixes themselves.
 
@@ -29,7 +29,7 @@ WINDOW = 50
 TRIGGER = 8  # bytes that a rolling hash sees
 PHRASE_BITS = 6  # a trigger every 64 bytes on average
 LONGEST = 4096
-MINIMIZER = 16
+MINIMIZER = 24  # a multiple of eight
 YOUNGEST = (1 << 63) - 1
 
 
@@ -84,8 +84,10 @@ class Parse:
 
     def minimizers(self, at: np.ndarray) -> np.ndarray:
         """Least hash of ``MINIMIZER`` bytes within each window."""
-        n = len(self.words) - 8
-        grams = C.mix(self.words[:n] * C.C1 ^ C.mix(self.words[8 : n + 8] + C.C3))
+        n = len(self.words) - MINIMIZER + 8
+        grams = np.zeros(n, np.uint64)
+        for offset in range(0, MINIMIZER, 8):
+            grams = C.mix(grams * C.C1 ^ (self.words[offset : offset + n] + C.C3))
         span, width = self.window - MINIMIZER + 1, 1
         least = grams
         while 2 * width <= span:
@@ -145,8 +147,8 @@ def strip_repeats(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", w
     A null or empty text has no bytes. Ids are integers; a null id is the smallest. Rows that share
     an id are no smaller than each other, so they keep their common strings.
     """
-    if window < 2 * MINIMIZER:
-        raise ValueError(f"windows have {2 * MINIMIZER} bytes at least")
+    if not MINIMIZER <= window <= 64:
+        raise ValueError(f"windows have {MINIMIZER} to 64 bytes")
     spark = docs.sparkSession
     chunks = C.chunked(docs, text, doc)
     buckets = C.bucket_count(chunks)
