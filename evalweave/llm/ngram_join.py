@@ -135,9 +135,14 @@ def _prefixes(sets: DataFrame) -> DataFrame:
             grams = [np.frombuffer(g, "<i8")[:u] for g, u in zip(batch.column("grams").to_pylist(), useful.tolist())]
             at = pa.array(np.repeat(np.arange(len(grams)), [len(g) for g in grams]))
             gram = pa.array(np.concatenate(grams) if grams else np.zeros(0, "<i8"), pa.int64())
-            yield pa.RecordBatch.from_arrays([gram, batch.column("doc").take(at), batch.column("n").take(at)], ["gram", "doc", "n"])
+            # Shingles of one document alone are rarer than all others, so they stand before them.
+            alone = np.asarray(batch.column("n")) - np.array([len(g) // 8 for g in batch.column("grams").to_pylist()], np.int64)
+            place = np.concatenate([np.arange(len(g)) + a for g, a in zip(grams, alone.tolist())]) if grams else alone
+            yield pa.RecordBatch.from_arrays(
+                [gram, batch.column("doc").take(at), batch.column("n").take(at), pa.array(place.astype(np.int64), pa.int64())], ["gram", "doc", "n", "place"]
+            )
 
-    return sets.select("doc", "n", "grams", "useful").mapInArrow(run, "gram long, doc long, n long")
+    return sets.select("doc", "n", "grams", "useful").mapInArrow(run, "gram long, doc long, n long, place long")
 
 
 def _tested(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -167,15 +172,30 @@ def _tested(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _fitting(num: int, den: int):
-    """Sizes that allow a link."""
-    return (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
+    """Whether sizes, and the places of a first common shingle, allow a link.
 
+    If two sets first meet at those places of the common order, what follows bounds their overlap.
+    A pair that links passes at its first common shingle.
+    """
+    sizes = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
+    most = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    return sizes & (most * (num + den) >= (F.col("n_a") + F.col("n_b")) * num)
+
+
+def _pivots(rows: DataFrame, largest: bool, single: bool, num: int, den: int) -> DataFrame:
+    """Pairs of each document with a pivot of its shingle: linear in the size of the group.
 
-def _pivots(rows: DataFrame, first: str) -> DataFrame:
-    """Pairs of each document with one pivot of its shingle: linear in the size of the group."""
-    pick = F.min(F.struct(F.col(first).alias("order"), "doc", "n"))
-    pivot = rows.groupBy("gram").agg(pick.alias("p"), F.count("*").alias("held")).where("held > 1").select("gram", F.col("p.doc").alias("a"), F.col("p.n").alias("n_a"))
-    return rows.join(pivot, "gram").select("a", F.col("doc").alias("b"), "n_a", F.col("n").alias("n_b")).where("a <> b")
+    The pivot is the smallest or largest set. With ``single``, each document keeps one of its pivots.
+    """
+    order = -F.col("n") if largest else F.col("n")
+    pick = F.min(F.struct(order.alias("order"), "doc", "n", "place"))
+    pivot = rows.groupBy("gram").agg(pick.alias("p"), F.count("*").alias("held")).where("held > 1")
+    pivot = pivot.select("gram", F.col("p.doc").alias("a"), F.col("p.n").alias("n_a"), F.col("p.place").alias("place_a"))
+    met = rows.join(pivot, "gram").select("a", F.col("doc").alias("b"), "n_a", F.col("n").alias("n_b"), "place_a", F.col("place").alias("place_b"))
+    met = met.where((F.col("a") != F.col("b")) & _fitting(num, den))
+    if not single:
+        return met
+    return met.groupBy("b").agg(F.min(F.struct((-F.col("n_a") if largest else F.col("n_a")).alias("order"), "a")).alias("p")).select("p.a", "b")
 
 
 def similarity_classes(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", percent: int = 75) -> DataFrame:
@@ -203,18 +223,14 @@ def similarity_classes(docs: DataFrame, *, text: str = "text", doc: str = "doc_i
     classes = written(classes, "set-classes", codec="uncompressed")
     release(spark)
     rows = written(_prefixes(classes), "prefixes")
-    links = written(_tested(_pivots(rows, "n").where(_fitting(num, den)), classes, num, den), "links")
-    release(spark)
-    labels = written(components(links), "labels")
-    labelled = _labelled(rows, labels)
-    open_rows = _open(labelled)
-    # A second pivot per shingle, from another end of the order, before single pairs.
-    second = written(_tested(_pivots(open_rows, "far").where(_fitting(num, den)), classes, num, den), "links")
-    links = written(links.unionByName(second), "links")
-    labels = written(components(links), "labels")
-    open_rows = written(_open(_labelled(rows, labels)), "open")
-    release(spark)
-    left, right = (open_rows.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "label")]) for s in ("a", "b"))
+    # First one pivot for each document, then, where groups stay apart, another and all of them.
+    links, open_rows = None, rows
+    for largest, single in ((False, True), (True, True), (False, False)):
+        found = written(_tested(_pivots(open_rows, largest, single, num, den), classes, num, den), "links")
+        links = found if links is None else links.unionByName(found)
+        open_rows = written(_open(_labelled(rows, components(links))), "open")
+        release(spark)
+    left, right = (open_rows.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "place", "label")]) for s in ("a", "b"))
     rest = left.join(right, "gram").where((F.col("label_a") < F.col("label_b")) & _fitting(num, den))
     third = written(_tested(rest.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")), classes, num, den), "links")
     release(spark)
@@ -229,14 +245,14 @@ def similarity_classes(docs: DataFrame, *, text: str = "text", doc: str = "doc_i
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select(
-        "gram", "doc", "n", F.coalesce("component", "doc").alias("label")
+        "gram", "doc", "n", "place", F.coalesce("component", "doc").alias("label")
     )
 
 
 def _open(labelled: DataFrame) -> DataFrame:
     """Rows of the shingles whose documents are not all connected yet."""
     mixed = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
-    return labelled.join(mixed, "gram").withColumn("far", -F.col("n"))
+    return labelled.join(mixed, "gram")
 
 
 def one_per_group(docs: DataFrame, *, text: str = "text", doc: str = "doc_id", percent: int = 75) -> DataFrame:
