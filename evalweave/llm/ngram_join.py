@@ -225,7 +225,7 @@ def similarity_classes(docs: DataFrame, *, text: str = "text", doc: str = "doc_i
     rows = written(_prefixes(classes), "prefixes")
     # First one pivot for each document, then, where groups stay apart, another and all of them.
     links, open_rows = None, rows
-    for largest, single in ((False, True), (True, True), (False, False)):
+    for largest, single in ((False, True), (True, True), (False, False), (True, False)):
         found = written(_tested(_pivots(open_rows, largest, single, num, den), classes, num, den), "links")
         links = found if links is None else links.unionByName(found)
         open_rows = written(_open(_labelled(rows, components(links))), "open")
