@@ -90,7 +90,7 @@ def _utf8(n: int) -> bytes:
 def _grid(samples: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Samples as (time, frame) with frames in falling length, padded with zeros, and the lengths."""
     sizes = np.array([len(s) for s in samples])
-    grid = np.zeros((int(sizes.max()), len(samples)), np.int32)
+    grid = np.zeros((max(int(sizes.max()), LPC_ORDER), len(samples)), np.int32)
     for f, s in enumerate(samples):
         grid[: len(s), f] = s
     return grid, sizes
@@ -488,7 +488,7 @@ def _decode_batch(streams: Sequence[bytes], part: list) -> list[np.ndarray]:
     lpc = kind >= 32
     order = np.where(lpc, kind - 31, kind - 8)
     at = body + 8
-    samples = np.zeros((int(sizes.max()), len(part)), np.int32)
+    samples = np.zeros((max(int(sizes.max()), LPC_ORDER), len(part)), np.int32)
     for j in range(LPC_ORDER):
         warm = order > j
         samples[j, warm] = _signed(_field(words, (at + 8 * j)[warm], 8), 8)
