@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,11 +58,12 @@ def pieces(docs: DataFrame, *, tokenizer: str, end_id: int, text: str = "text",
     return out.withColumnRenamed("doc", "doc_id")
 
 
-def pack(docs: DataFrame, **options) -> DataFrame:
+def pack(docs: DataFrame, *, derive: dict[str, Column] | None = None, **options) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset`` (always 0), read from the written sequences.
 
     The sequences are written once, sorted by length within each file, so a reader of one length
-    skips the rest. Ids run from 0 without gaps, shortest length first, in file order.
+    skips the rest. Ids run from 0 without gaps, shortest length first, in file order. With ``derive``,
+    columns computed from ``ids`` take its place.
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "sequences")
@@ -71,6 +72,8 @@ def pack(docs: DataFrame, **options) -> DataFrame:
     stored = spark.read.schema(found.schema).parquet(path).select(
         "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")
     )
+    if derive:
+        stored = stored.withColumns(derive).drop("ids")
     # One row per file and length; running totals of lengths, and of the files within a length.
     runs = stored.groupBy("length", "__file").agg(F.count("*").alias("__n"), F.min("__row").alias("__low"))
     lengths = runs.groupBy("length").agg(F.sum("__n").alias("__total"))
@@ -92,8 +95,8 @@ def _path(name: str) -> str:
 
 def packed_digest(docs: DataFrame) -> DataFrame:
     """The packing of the registered query and of the pipeline, with checksums in place of ids."""
-    packed = pack(docs, tokenizer=_path("word_bpe_49k.json"), end_id=2)
-    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    packed = pack(docs, derive={"ids_crc32": F.crc32("ids")}, tokenizer=_path("word_bpe_49k.json"), end_id=2)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op7_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
