@@ -10,8 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The white space that counts when text is stripped: ASCII blanks plus the ideographic space.
-BLANKS = " \t\n\r\f\v　"
+# The white space that counts when text is stripped, as Unicode has it.
+BLANKS = " \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 def col(c: str | Column) -> Column:

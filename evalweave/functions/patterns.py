@@ -69,6 +69,10 @@ EVIDENCE_PATTERNS = {
 CJK = r"[一-鿿]"
 
 
+# Letter case, classes such as ``\\s`` and line ends (only the line feed) as Unicode text needs them.
+UNICODE = "(?iUd)"
+
+
 def pattern_hits(text: Column, patterns: Sequence[str] = PRIVATE_LEAK_PATTERNS) -> Column:
     """The patterns found in ``text``, in list order, case-insensitive.
 
@@ -76,9 +80,9 @@ def pattern_hits(text: Column, patterns: Sequence[str] = PRIVATE_LEAK_PATTERNS)
     """
     text = F.coalesce(text, F.lit(""))
     each = F.array_compact(
-        F.array(*[F.when(text.rlike("(?iu)" + p), F.lit(p)) for p in patterns])
+        F.array(*[F.when(text.rlike(UNICODE + p), F.lit(p)) for p in patterns])
     )
-    any_hit = text.rlike("(?iu)" + "|".join(f"(?:{p})" for p in patterns))
+    any_hit = text.rlike(UNICODE + "|".join(f"(?:{p})" for p in patterns))
     return F.when(any_hit, each).otherwise(F.array().cast("array<string>"))
 
 

@@ -55,30 +55,15 @@ def support_violations(support: DataFrame, entity: Column) -> DataFrame:
 # -- G2 ---------------------------------------------------------------------------------------
 
 
-def leave_one_out(examples: DataFrame, *, min_examples: int = 3, list_up_to: int = 64) -> DataFrame:
-    """One fold per validation example of packs with at least ``min_examples``.
+def leave_one_out(examples: DataFrame, *, min_examples: int = 3) -> DataFrame:
+    """The training side of every fold, one row per fold and remaining example.
 
-    ``others`` lists the remaining examples in order. It is written out for packs of up to
-    ``list_up_to`` examples; a larger pack would need one list per example, quadratic in its size,
-    so there ``others`` is null and the fold means "the pack without ``example_id``", which
-    ``fold_members`` reads off with one equi-join for the folds one asks for.
+    Packs with at least ``min_examples`` have one fold per example. The rows of a large pack are
+    spread over tasks, so no list of it is ever held.
     """
-    sizes = examples.groupBy("pack_id").agg(F.count("*").alias("n_examples")).filter(F.col("n_examples") >= min_examples)
-    kept = examples.join(sizes, "pack_id")
-    lists = (
-        kept.filter(F.col("n_examples") <= list_up_to)
-        .groupBy("pack_id")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "example_id"))).alias("members"))
-    )
-    own = F.col("example_id")
-    others = F.transform(F.filter("members", lambda m: m["example_id"] != own), lambda m: m["example_id"])
-    return kept.join(lists, "pack_id", "left").select("pack_id", "example_id", "pos", "n_examples", others.alias("others"))
-
-
-def fold_members(folds: DataFrame, examples: DataFrame) -> DataFrame:
-    """The training side of given folds as rows, for packs too large to list."""
-    wanted = folds.select("pack_id", F.col("example_id").alias("validation_example_id"))
-    joined = wanted.join(examples, "pack_id")
+    sizes = examples.groupBy("pack_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min_examples).select("pack_id")
+    folds = examples.join(sizes, "pack_id", "left_semi").select("pack_id", F.col("example_id").alias("validation_example_id"))
+    joined = folds.join(examples.select("pack_id", "pos", "example_id"), "pack_id")
     return joined.filter(F.col("example_id") != F.col("validation_example_id"))
 
 
@@ -260,13 +245,13 @@ def _described(label_key: str):
     return line
 
 
-# Report fields of a signature context, in order, with their length limits.
+# Report fields of a signature context, in order.
 SIGNATURE_PARTS = {
-    "stable_features": (_feature_line, 8),
-    "candidate_rules": (_rule_line, 8),
-    "optional_features": (_feature_line, 8),
-    "conflicts": (_described("feature"), 4),
-    "outliers": (_described("example_id"), 4),
+    "stable_features": _feature_line,
+    "candidate_rules": _rule_line,
+    "optional_features": _feature_line,
+    "conflicts": _described("feature"),
+    "outliers": _described("example_id"),
 }
 
 
@@ -275,18 +260,21 @@ def _latest_with(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.join(newest, [*keys, "seq"], "left_semi")
 
 
-def signature_items(skills: DataFrame) -> DataFrame:
+def signature_items(skills: DataFrame, *, limits: dict[str, int] | None = None) -> DataFrame:
     """Items of the compact signature context per ``(pack, mode)``: ``part, rank, line``.
 
-    The last row of a key that has any item counts. ``skills``: ``pack_id, mode, seq, report``.
+    The last row of a key that has any item counts. ``skills``: ``pack_id, mode, seq, report``. Lists are
+    full unless ``limits`` names a length for their part.
     """
     rows = skills.filter((id_part("pack_id") != "") & (id_part("mode") != "")).select(
         "pack_id", "mode", "seq", F.try_parse_json("report").alias("r")
     )
     parts = []
-    for name, (line, limit) in SIGNATURE_PARTS.items():
+    for name, line in SIGNATURE_PARTS.items():
         items = F.try_variant_get(F.col("r"), f"$.{name}", "array<variant>")
-        lines = F.slice(F.array_compact(F.transform(items, line)), 1, limit)
+        lines = F.array_compact(F.transform(items, line))
+        if limits and name in limits:
+            lines = F.slice(lines, 1, limits[name])
         parts.append(F.struct(F.lit(name).alias("part"), F.coalesce(lines, F.array().cast("array<string>")).alias("lines")))
     made = rows.select("pack_id", "mode", "seq", F.array(*parts).alias("parts")).filter(F.exists("parts", lambda p: F.size(p["lines"]) > 0))
     last = _latest_with(made, ["pack_id", "mode"])
@@ -299,7 +287,7 @@ DETAIL_SECTIONS = ["basic_attributes", "content_features", "structure_features"]
 PRESERVE_SLOT = "example-specific preservation constraints"  # fixed value
 
 
-def anchor_slots(skills: DataFrame, *, max_slots: int = 12, max_styles: int = 6) -> DataFrame:
+def anchor_slots(skills: DataFrame, *, max_slots: int | None = None, max_styles: int | None = None) -> DataFrame:
     """Detail and style slots per ``(pack, mode)`` from key names of the feature reports.
 
     Key names are taken in document order, written with blanks and deduplicated without regard to
@@ -374,4 +362,4 @@ def first_call_model(models: str | Column) -> Column:
 
 def fold_counts(folds: DataFrame) -> DataFrame:
     """Folds per pack."""
-    return folds.groupBy("pack_id").agg(F.count("*").alias("folds"), count_where(F.col("others").isNull()).alias("by_reference"))
+    return folds.groupBy("pack_id").agg(F.count_distinct("validation_example_id").alias("folds"))

@@ -68,12 +68,14 @@ def group_sizes(tasks: DataFrame, *, keys: Sequence[str] = GROUP) -> DataFrame:
     return tasks.groupBy(*keys).agg(F.count("*").alias("size"))
 
 
-def selected_groups(sizes: DataFrame, *, minimum: int, max_groups: int, keys: Sequence[str] = GROUP) -> DataFrame:
+def selected_groups(sizes: DataFrame, *, minimum: int, max_groups: int | None, keys: Sequence[str] = GROUP) -> DataFrame:
     """The ``max_groups`` largest groups with enough members, ranked; ties by key.
 
     The order and limit are a distributed top-k. The rank window then sees at most ``max_groups``
-    rows.
+    rows. Without ``max_groups`` all eligible groups count, and none is ranked.
     """
+    if max_groups is None:
+        return sizes.filter(F.col("size") >= minimum).withColumn("group_rank", F.lit(None).cast("int"))
     order = [F.desc("size"), *[F.asc(k) for k in keys]]
     top = sizes.filter(F.col("size") >= minimum).orderBy(*order).limit(max_groups)
     return top.withColumn("group_rank", F.row_number().over(W.orderBy(*order)))
@@ -84,7 +86,7 @@ def few_shot_split(
     *,
     train_size: int,
     heldout_size: int,
-    max_groups: int,
+    max_groups: int | None,
     seed: int = 7,
     prefix: str = "tasks",
     keys: Sequence[str] = GROUP,
@@ -96,8 +98,7 @@ def few_shot_split(
     """
     need = train_size + heldout_size
     groups = selected_groups(group_sizes(tasks, keys=keys), minimum=need, max_groups=max_groups, keys=keys)
-    # At most `max_groups` rows, so the side is bounded by a parameter.
-    members = tasks.join(F.broadcast(groups) if max_groups <= 100_000 else groups, list(keys))
+    members = tasks.join(groups, list(keys))
     draw = F.md5(F.concat(F.lit(str(seed)), F.lit(":"), F.col("source_id").cast("string")))
     order = W.partitionBy(*keys).orderBy(draw, F.col("source_id"))
     picked = members.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= need)

@@ -48,6 +48,19 @@ def _children(node: Column) -> Column:
     return F.concat(F.coalesce(as_members, none), F.coalesce(as_items, none))
 
 
+def _nesting(text: Column) -> Column:
+    """Levels of brackets and braces in a JSON text, those inside strings left out."""
+    bare = F.regexp_replace(text, r'"(?:[^"\\\\]++|\\\\.)*+"', "")
+    signs = F.regexp_extract_all(bare, F.lit(r"[\[{\]}]"), F.lit(0))
+
+    def step(acc: Column, sign: Column) -> Column:
+        now = acc["now"] + F.when(sign.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(signs, zero, step, lambda acc: acc["most"])
+
+
 def private_key_paths(
     df: DataFrame,
     payload: str,
@@ -55,13 +68,16 @@ def private_key_paths(
     *,
     private_keys: Sequence[str] = PRIVATE_KEYS,
     prefix: str = PRIVATE_PREFIX,
-    depth: int = 8,
+    depth: int | None = None,
 ) -> DataFrame:
     """One row per private key found in the JSON text ``payload``, with its path.
 
-    ``depth`` levels are walked. A document that is nested deeper gives a row with
+    All levels are walked; their number is measured by one aggregate over the brackets of the
+    payloads. Where ``depth`` is given, a document that is nested deeper gives a row with
     ``path = '<deeper than N levels>'``, so nothing is passed over in silence.
     """
+    if depth is None:
+        depth = max(1, df.agg(F.max(_nesting(F.coalesce(col(payload), F.lit("")))).alias("d")).first().d or 0)
     root = F.struct(
         F.lit("$").alias("path"), F.lit("").alias("key"), F.try_parse_json(col(payload)).alias("value")
     )
@@ -170,12 +186,12 @@ def literal_leakage(
 
 
 def evidence_inventory(
-    tasks: DataFrame, *, keys: Sequence[str], text: str = "text", max_items: int = 40, max_text_chars: int | None = None
+    tasks: DataFrame, *, keys: Sequence[str], text: str = "text", max_items: int | None = None, max_text_chars: int | None = None
 ) -> DataFrame:
     """Concrete facts per task as ``(kind, rank, value)``, first spelling kept, in order.
 
-    The whole text is read unless the caller gives ``max_text_chars``; ``max_items`` is the length
-    of each list.
+    The whole text is read unless the caller gives ``max_text_chars``; ``max_items`` bounds
+    the length of each list, which is full without it.
     """
     body = F.coalesce(col(text), F.lit(""))
     if max_text_chars is not None:
@@ -183,7 +199,7 @@ def evidence_inventory(
 
     def values(kind: str) -> Column:
         pattern, group = EVIDENCE_PATTERNS[kind]
-        found = F.regexp_extract_all(body, F.lit(pattern), F.lit(group))
+        found = F.regexp_extract_all(body, F.lit("(?Ud)" + pattern), F.lit(group))
         if kind != "number":
             found = F.transform(found, strip)
         if kind == "capitalised":

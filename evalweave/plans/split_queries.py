@@ -202,9 +202,17 @@ def _(spark, sf):
     return P.material_context(materials(spark, sf), max_chars=BUDGET)
 
 
+def pack_tasks(spark, sf):
+    """Splits of all groups large enough; a thousand documents make groups of their own, so packs grow with the data."""
+    tasks = grouped(spark, sf)
+    block = F.floor(F.col("source_id").cast("bigint") / 1000).cast("string")
+    tasks = tasks.withColumn("domain1", F.when(F.col("domain1") != "unknown", F.concat_ws(".", "domain1", block)).otherwise("unknown"))
+    return X.few_shot_split(tasks, train_size=3, heldout_size=2, max_groups=None)
+
+
 def split_inputs(spark, sf):
     """Split tasks with private columns, as packs need them."""
-    return split_tasks(spark, sf).select(
+    return pack_tasks(spark, sf).select(
         "split_id", "role", "pos", F.lit("docs").alias("source"), "source_id",
         F.to_json(F.struct("domain1", "domain2")).alias("domain"), "task_input",
         F.to_json(F.struct(F.col("domain2").alias("items"))).alias("supervision"),
@@ -212,7 +220,10 @@ def split_inputs(spark, sf):
     )
 
 
-_PACKS = _GROUPED + r""",
+_ALL_GROUPS = _GROUPED.replace("source END AS domain1", "source || '.' || (doc_id // 1000) END AS domain1").replace(
+    " ORDER BY size DESC, domain1, domain2, lang LIMIT 12", ""
+)
+_PACKS = _ALL_GROUPS + r""",
     pk AS (SELECT *, trim(regexp_replace(regexp_replace(split_id, '[^A-Za-z0-9._-]+', '_', 'g'), '_+', '_', 'g'), '_') AS pack_id FROM st),
     pt AS (SELECT *, pack_id || '::' || role || '::' || pos AS task_ref FROM pk)"""
 
@@ -286,12 +297,12 @@ def pack_examples(spark, sf):
     p = P.public_examples(split_inputs(spark, sf))
     n = F.col("source_task_id").cast("bigint")
     return p.withColumn("output_status", F.when(n % 5 == 0, "needs_generation").otherwise("generated")).withColumn(
-        "output", F.when(n % 7 == 0, " ").otherwise(F.substring("task_input", 1, 40))
+        "output", F.when(n % 7 == 0, " ").otherwise(F.col("task_input"))
     )
 
 
 _EX = """,
-    ex AS (SELECT *, CASE WHEN CAST(source_id AS BIGINT) % 7 = 0 THEN ' ' ELSE substr(task_input, 1, 40) END AS output FROM pt
+    ex AS (SELECT *, CASE WHEN CAST(source_id AS BIGINT) % 7 = 0 THEN ' ' ELSE task_input END AS output FROM pt
       WHERE role = 'train'),
     us AS (SELECT * FROM ex WHERE CAST(source_id AS BIGINT) % 5 <> 0 AND trim(output, ' ' || chr(10)) <> '')"""
 
@@ -302,10 +313,10 @@ def _(spark, sf):
 
 
 @query("C8_select_packs", f"""
-    WITH {_PACKS} {_EX} SELECT pack_id, min(group_rank) AS seq FROM pt
+    WITH {_PACKS} {_EX} SELECT pack_id, min(CAST(source_id AS BIGINT)) AS seq FROM pt
     WHERE pack_id IN (SELECT pack_id FROM us GROUP BY 1 HAVING count(*) >= 2) GROUP BY 1 ORDER BY 2 LIMIT 6""")
 def _(spark, sf):
-    packs = split_tasks(spark, sf).groupBy(slug("split_id").alias("pack_id")).agg(F.min("group_rank").alias("seq"))
+    packs = pack_tasks(spark, sf).groupBy(slug("split_id").alias("pack_id")).agg(F.min(F.col("source_id").cast("bigint")).alias("seq"))
     return tidy(P.select_packs(packs, pack_examples(spark, sf), min_usable=2, limit=6))
 
 

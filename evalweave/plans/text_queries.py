@@ -242,7 +242,7 @@ _KINDS = [
       (SELECT doc_id, min(p) AS p, arg_min(v, p) AS v FROM
         (SELECT doc_id, generate_subscripts(ms, 1) AS p, trim(unnest(ms), ' ' || chr(10) || chr(9)) AS v FROM
           (SELECT doc_id, regexp_extract_all({text}, '{pattern}', {group}) AS ms FROM documents))
-        WHERE length(v) >= {least} GROUP BY doc_id, lower(v)) QUALIFY rank <= 40"""
+        WHERE length(v) >= {least} GROUP BY doc_id, lower(v)) """
     for kind, text, pattern, group, least in _KINDS
 ))
 def _(spark, sf):

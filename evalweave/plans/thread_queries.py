@@ -156,15 +156,14 @@ def _(spark, sf):
 @query("G2_leave_one_out", """
     WITH e AS (SELECT CAST(conv_id AS VARCHAR) AS pack_id, conv_id || '-' || turn AS example_id, turn AS pos FROM conversations),
     p AS (SELECT pack_id, count(*) AS n FROM e GROUP BY 1 HAVING count(*) >= 3)
-    SELECT e.pack_id, e.example_id, e.pos, p.n AS n_examples,
-      (SELECT string_agg(o.example_id, ',' ORDER BY o.pos) FROM e o WHERE o.pack_id = e.pack_id AND o.example_id <> e.example_id) AS others
-    FROM e JOIN p USING (pack_id)""")
+    SELECT e.pack_id, v.example_id AS validation_example_id, e.pos, e.example_id
+    FROM e JOIN p USING (pack_id) JOIN e v USING (pack_id) WHERE v.example_id <> e.example_id""")
 def _(spark, sf):
     c = B.table(spark, sf, "conversations").select(
         F.col("conv_id").cast("string").alias("pack_id"),
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("example_id"), F.col("turn").alias("pos"),
     )
-    return G.leave_one_out(c).withColumn("others", F.array_join("others", ","))
+    return G.leave_one_out(c)
 
 
 def lesson_rows(spark, sf):
@@ -236,7 +235,7 @@ def context_rows(spark, sf):
     UNION ALL SELECT CAST(p AS VARCHAR), 'm', 'candidate_rules', 1, CASE n % 3 WHEN 0 THEN 'r ' || n || ' (support=4)' WHEN 1 THEN 'r' || n || ' (support=2)' ELSE 'plain' END FROM l
     UNION ALL SELECT CAST(p AS VARCHAR), 'm', 'conflicts', 1, 'g: why ' || n FROM l""")
 def _(spark, sf):
-    return tidy(G.signature_items(context_rows(spark, sf)))
+    return tidy(G.signature_items(context_rows(spark, sf), limits={"stable_features": 8, "candidate_rules": 8, "conflicts": 4}))
 
 
 @query("G5_anchor_context", """

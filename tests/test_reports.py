@@ -124,11 +124,11 @@ def test_lessons_forms_and_ids(spark, rows):
         assert r.memory_id == hashlib.sha256(json.dumps(payload, ensure_ascii=False, sort_keys=True).encode()).hexdigest()[:24]
 
 
-def test_large_packs_are_folded_by_reference(spark, rows):
-    ex = spark.createDataFrame([("big", str(i), i) for i in range(9)] + [("s", str(i), i) for i in range(3)] + [("tiny", "0", 0)], "pack_id string, example_id string, pos long")
-    folds = G.leave_one_out(ex, list_up_to=5)
-    assert rows(G.fold_counts(folds), "pack_id", "folds", "by_reference") == [("big", 9, 9), ("s", 3, 0)]
-    assert G.fold_members(folds.filter("pack_id = 'big' and example_id = '4'"), ex).count() == 8
+def test_folds_of_all_packs_whatever_their_size(spark, rows):
+    ex = spark.createDataFrame([("big", str(i), i) for i in range(90)] + [("s", str(i), i) for i in range(3)] + [("tiny", "0", 0)], "pack_id string, example_id string, pos long")
+    folds = G.leave_one_out(ex)
+    assert rows(G.fold_counts(folds), "pack_id", "folds") == [("big", 90), ("s", 3)]
+    assert folds.filter("pack_id = 'big' and validation_example_id = '4'").count() == 89 and folds.count() == 90 * 89 + 6
 
 
 def test_schema_first_fault_and_absent_versus_null(spark, rows):

@@ -120,3 +120,22 @@ def test_private_keys_with_paths_and_overflow(spark, rows):
 
 def test_token_pattern_is_the_published_one(spark):
     assert one(spark, "GPT-4o costs 3.50 USD_x", lambda t: text_content_grams(t, 1)) == ["gpt-4o", "costs", "3.50", "usd_x"]
+
+
+def test_unicode_blanks_hide_nothing(spark):
+    from evalweave.functions import expr, patterns
+
+    texts = ["private\u00a0rubric", "private\u3000rubric", "隐藏\u2028评分标准", "plain", "\u00a0\u2003"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = df.select(F.size(patterns.pattern_hits(F.col("t"))).alias("n"), expr.has_text("t").alias("h")).collect()
+    assert [r.n > 0 for r in got] == [True, True, True, False, False] and [r.h for r in got] == [True] * 4 + [False]
+
+
+def test_private_keys_at_any_depth(spark, rows):
+    deep = '{"rubric": 1}'
+    for i in range(12):
+        deep = '{"k%d": %s}' % (i, deep)
+    df = spark.createDataFrame([(1, deep)], "id int, j string")
+    keys = ["rubric"]
+    got = T.private_key_paths(df, "j", ["id"], private_keys=keys).collect()
+    assert [r.path.endswith("rubric") for r in got] == [True]
