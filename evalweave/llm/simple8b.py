@@ -12,6 +12,8 @@ import numpy as np
 # Fixed values of the format: values per word and bits per value, for selectors 1 to 14.
 COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 WIDTHS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
+# Bits of each 16-bit number, one at least.
+NARROW = np.array([max(1, v.bit_length()) for v in range(1 << 16)], np.int8)
 
 
 def pack(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -20,12 +22,15 @@ def pack(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if n == 0:
         return np.zeros(0, "<u8"), np.zeros(len(ends), np.int64)
     ids = ids.astype(np.uint64)
-    owner = np.searchsorted(ends, np.arange(n), "right").astype(np.int32)
-    width = np.ones(n, np.int8)
+    owner = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0))
     top = int(ids.max()).bit_length()
-    for b in range(1, top):
-        width += ids >= np.uint64(1 << b)
-    best, widest = np.ones(n, np.int64), width.copy()
+    if top <= 16:
+        width = NARROW[ids.astype(np.uint16)]
+    else:
+        width = np.ones(n, np.int8)
+        for b in range(1, top):
+            width += ids >= np.uint64(1 << b)
+    best, widest = np.ones(n, np.int8), width.copy()
     for count in range(2, min(60, n) + 1):
         last = n - count + 1
         widest = np.maximum(widest[:last], width[count - 1 :])
@@ -34,13 +39,13 @@ def pack(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         fits = (widest <= WIDTHS[np.flatnonzero(COUNTS == count)[0]]) & (owner[:last] == owner[count - 1 :])
         if not fits.any():
             break  # wider words hold fewer values, so no larger count fits either
-        best[:last][fits] = count
+        np.maximum(best[:last], fits.view(np.int8) * np.int8(count), out=best[:last])
     follow, starts, at = (np.arange(n) + best).tolist(), [], 0
     while at < n:
         starts.append(at)
         at = follow[at]
     first = np.array(starts)
-    held = best[first]
+    held = best[first].astype(np.int64)
     words = np.zeros(len(first), "<u8")
     for selector in range(1, 15):
         mine = np.flatnonzero(held == COUNTS[selector])
