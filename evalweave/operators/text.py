@@ -1,12 +1,15 @@
 """Per-document text operators.
 
 All of them are row-local expressions over whole texts: lines, matches and pages stay inside the
-row until the final explode, so none of these operators shuffles documents.
+row until the final explode, so none of these operators shuffles documents but E7, which joins a
+text once to its candidates.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,6 +119,11 @@ def train_literals(examples: DataFrame, *, by: Sequence[str] = ("pack_id",)) ->
     return out.filter(F.length("literal") >= 3).distinct()
 
 
+def _windows(body: Column, size: int) -> Column:
+    # An empty match in front of every character yields all windows in one linear pass.
+    return F.array_distinct(F.regexp_extract_all(body, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
 def literal_matches(
     texts: DataFrame,
     train: DataFrame,
@@ -127,29 +135,24 @@ def literal_matches(
     """Literals of the same pack that occur in a text as substrings.
 
     Comparing every literal with every text of a pack would emit all pairs of a hot pack. Instead
-    each literal is keyed by its first characters (6, or 3 when shorter) and each text by its
-    distinct character windows; the equi-join leaves few pairs and ``contains`` decides.
+    each literal is keyed by one of its character windows (6 long, or 3 when it is shorter): the one
+    that fewest literals of its pack hold, so that a common beginning such as a scheme or an id
+    prefix keys none of them. The windows of a text travel without it; texts are joined once, by
+    ``keys``, to the candidates that are left, and ``contains`` decides.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-
-    def windows(size: int) -> Column:
-        # An empty match in front of every character yields all windows in one linear pass.
-        return F.array_distinct(F.regexp_extract_all(body, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
-
-    head = F.when(F.length("literal") >= _LONG, F.substring("literal", 1, _LONG)).otherwise(
-        F.substring("literal", 1, _SHORT)
-    )
-    short = F.length("literal") < _LONG
     wide = [*dict.fromkeys([*keys, *by])]
-    heads = train.withColumn("head", head).withColumn("short", short)
-    exploded = texts.select(
-        *wide,
-        F.col(text).alias("__text"),
-        F.explode(F.concat(windows(_LONG), windows(_SHORT))).alias("head"),
-    )
-    hits = join_sized(exploded, heads, [*by, "head"])
-    fits = F.col("short") == (F.length("head") < _LONG)
-    return hits.filter(fits & F.contains("__text", F.col("literal"))).select(*wide, "literal")
+    size = F.when(F.length("literal") >= _LONG, _windows(F.col("literal"), _LONG)).otherwise(_windows(F.col("literal"), _SHORT))
+    held = train.select(*by, "literal").distinct().withColumn("window", F.explode(size))
+    spread = held.groupBy(*by, "window").agg(F.count("*").alias("n"))
+    rarest = held.join(spread, [*by, "window"]).groupBy(*by, "literal").agg(F.min(F.struct("n", "window")).alias("rarest"))
+    heads = rarest.select(*by, "literal", F.col("rarest.window").alias("window"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    exploded = texts.select(*wide, F.explode(F.concat(_windows(body, _LONG), _windows(body, _SHORT))).alias("window"))
+    hits = join_sized(exploded, heads, [*by, "window"]).select(*wide, "literal").distinct().alias("h")
+    bodies = texts.select(*wide, F.col(text).alias("__text")).alias("t")
+    same = [F.col(f"t.{k}").eqNullSafe(F.col(f"h.{k}")) for k in wide]
+    joined = bodies.join(hits, reduce(and_, [*same, F.contains("t.__text", "h.literal")]))
+    return joined.select(*[F.col(f"h.{k}") for k in wide], "literal")
 
 
 def literal_leakage(

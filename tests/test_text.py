@@ -83,6 +83,23 @@ def test_literal_matches_equal_brute_force(spark, rows):
     assert sorted(rows(T.literal_matches(df, train, keys=["id"]), "id", "literal")) == want
 
 
+def test_common_heads_key_no_literals(spark, rows):
+    lits = [f"https://host.example/item/{i:05d}" for i in range(3000)] + [f"pack::train::{i:05d}" for i in range(3000)]
+    train = spark.createDataFrame([("p", x) for x in lits], "pack_id string, literal string")
+    body = "https://host.example/item/00017 pack::train::02999 https://host.example/item/ pack::train::"
+    df = spark.createDataFrame([(i, "p", body) for i in range(50)] + [(50, "p", None)], "id long, pack_id string, haystack string")
+    got = rows(T.literal_matches(df, train, keys=["id"]), "id", "literal")
+    assert sorted(got) == sorted((i, x) for i in range(50) for x in (lits[17], lits[5999]))
+
+
+def test_repeated_and_null_keys_keep_each_text(spark, rows):
+    train = spark.createDataFrame([("p", "abcdefg"), ("p", "xyz")], "pack_id string, literal string")
+    texts = [(1, "p", "..abcdefg"), (1, "p", "abcdefg xyz"), (None, "p", "xyz"), (2, None, "xyz")]
+    df = spark.createDataFrame(texts, "id long, pack_id string, haystack string")
+    got = rows(T.literal_matches(df, train, keys=["id"]), "id", "literal")
+    assert sorted(got, key=str) == sorted([(1, "abcdefg"), (1, "abcdefg"), (1, "xyz"), (None, "xyz")], key=str)
+
+
 def test_section_counts(spark):
     md = "# S\n- x\n## Required Rules:\n- a\n* [ ] b\ntext\n1. c\n### Optional rules\n2) d\n## Do not generalize\n+ e\n## Notes\n- f"
     assert tuple(one(spark, md, T.section_rule_counts)) == (3, 1, 1)
