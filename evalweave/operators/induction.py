@@ -17,17 +17,22 @@ def rule_support(votes: DataFrame, totals: DataFrame | None = None, *, total_exa
     """G1: support of each rule: distinct supporters minus distinct contradictors, over the total.
 
     ``votes``: rule keys, ``example_id``, ``vote`` (``supported`` or ``contradicted``). ``totals``:
-    rule keys and ``total``. Votes are first reduced to one row per rule and example, so a rule
-    with most of the votes still spreads over its examples.
+    rule keys and ``total``. Without totals, the total is the number of the rule's examples in
+    ``votes``, where a null vote marks an example that was seen and did not vote; rules without any
+    vote are left out. Votes are first reduced to one row per rule and example, so a rule with most
+    of the votes still spreads over its examples.
     """
     per_example = votes.groupBy(*by, "example_id").agg(
         F.max(F.when(F.col("vote") == "supported", 1).otherwise(0)).alias("s"),
         F.max(F.when(F.col("vote") == "contradicted", 1).otherwise(0)).alias("c"),
     )
-    agg = per_example.groupBy(*by).agg(F.sum("s").alias("supporters"), F.sum("c").alias("contradictors"))
+    agg = per_example.groupBy(*by).agg(
+        F.sum("s").alias("supporters"), F.sum("c").alias("contradictors"), F.count("*").alias("total")
+    )
+    agg = agg.filter(F.col("supporters") + F.col("contradictors") > 0)
     if totals is not None:
-        agg = agg.join(totals.select(*by, "total"), list(by))
-    else:
+        agg = agg.drop("total").join(totals.select(*by, "total"), list(by))
+    elif total_examples is not None:
         agg = agg.withColumn("total", F.lit(total_examples).cast("long"))
     return agg.withColumn("effective", F.greatest(F.lit(0), F.col("supporters") - F.col("contradictors")))
 
