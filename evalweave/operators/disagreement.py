@@ -175,8 +175,10 @@ def taxonomy_violations(packets: DataFrame, annotations: DataFrame) -> DataFrame
     for h in HASHES:
         rules.append(violation(p.filter(~hexed(h)), "F20_packet_hash", key, h))
         rules.append(violation(a.filter(~hexed(h)), "F20_annotation_hash", key, h))
-    pn = p.groupBy(*CELL).agg(F.count("*").alias("np"), *[F.first(h).alias(f"p_{h}") for h in HASHES])
-    an = a.groupBy(*CELL).agg(F.count("*").alias("na"), *[F.first(h).alias(f"a_{h}") for h in HASHES])
+    pn = p.groupBy(*CELL).agg(F.count("*").alias("np"), F.max(F.struct(*HASHES)).alias("row"))
+    pn = pn.select(*CELL, "np", *[F.col(f"row.{h}").alias(f"p_{h}") for h in HASHES])
+    an = a.groupBy(*CELL).agg(F.count("*").alias("na"), F.max(F.struct(*HASHES)).alias("row"))
+    an = an.select(*CELL, "na", *[F.col(f"row.{h}").alias(f"a_{h}") for h in HASHES])
     both = pn.join(an, CELL, "full_outer").na.fill(0, ["np", "na"])
     same = F.lit(True)
     for h in HASHES:
