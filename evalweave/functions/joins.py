@@ -1,4 +1,4 @@
-"""Joins whose strategy depends on a measured size."""
+"""Joins whose strategy depends on a measured size, and lookups with one row per key."""
 
 from __future__ import annotations
 
@@ -40,3 +40,9 @@ def sized(small: DataFrame) -> DataFrame:
 
 def join_sized(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     return big.join(sized(small), list(keys), how)
+
+
+def one_row(df: DataFrame, *keys: str) -> DataFrame:
+    """One row per key. Of rows that share it the greatest by value stays, whatever the partitioning."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("__row")).select(*keys, *[f"__row.{c}" for c in rest])

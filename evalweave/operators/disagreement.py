@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalweave.functions.expr import has_text, id_part
+from evalweave.functions.joins import one_row
 from evalweave.operators.text import text_stats, truncate_preview
 from evalweave.operators.violations import union_all, violation
 
@@ -121,9 +122,8 @@ def with_context(
     """
     key = ["pack_id", "task_id"]
     if tasks is not None:
-        packets = packets.join(
-            tasks.select(*key, "source", truncate_preview("task_input", max_chars).alias("task_input")), key, "left"
-        )
+        shown = tasks.select(*key, "source", truncate_preview("task_input", max_chars).alias("task_input"))
+        packets = packets.join(one_row(shown, *key), key, "left")
     if private is not None:
         packets = packets.join(private.select(*key, "supervision", "judge"), key, "left")
     if skills is not None and skill_mode is not None:

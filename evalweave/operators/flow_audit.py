@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalweave.functions.expr import has_text, id_part, lit_list
+from evalweave.functions.joins import one_row
 from evalweave.functions.patterns import PRIVATE_LEAK_PATTERNS, pattern_hits
 from evalweave.operators.genlog import latest_rows
 from evalweave.operators.packs import TEMPLATE_VERSION
@@ -91,12 +92,6 @@ def table_rules(t: FlowTables) -> list[DataFrame]:
     return out
 
 
-def _one_row(df: DataFrame, *keys: str) -> DataFrame:
-    """One row per key. Of rows that share it the greatest by value stays, whatever the partitioning."""
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("__row")).select(*keys, *[f"__row.{c}" for c in rest])
-
-
 def pack_rules(t: FlowTables) -> list[DataFrame]:
     """Pack against its split and its private row, and the input boundary."""
     s = t.splits.select(
@@ -105,7 +100,7 @@ def pack_rules(t: FlowTables) -> list[DataFrame]:
     p = t.private_rows.filter(id_part("pack_id") != "").select(
         "pack_id", F.lit(True).alias("p_found"), F.col("split_id").alias("p_split"), F.col("source").alias("p_source")
     )
-    s, p = _one_row(s, "split_id"), _one_row(p, "pack_id")
+    s, p = one_row(s, "split_id"), one_row(p, "pack_id")
     joined = t.packs.join(s, "split_id", "left").join(p, "pack_id", "left")
     found, private = F.col("s_found").isNotNull(), F.col("p_found").isNotNull()
     use, forbid = F.col("can_use"), F.col("must_not_use")
@@ -172,10 +167,10 @@ def task_rules(t: FlowTables) -> list[DataFrame]:
         "pack_id", "role", F.col("task_ref").alias("ref"), F.lit(True).alias("p_found"),
         F.col("source").alias("p_source"), F.col("source_task_id").alias("p_id"),
     )
-    refs = _one_row(refs, "pack_id", "role", "ref")
+    refs = one_row(refs, "pack_id", "role", "ref")
     has_private = t.private_rows.select("pack_id").distinct()
     has_pack = t.packs.select("pack_id").distinct()
-    shown = _one_row(seen, "pack_id", "role", "ref").withColumn("v_found", F.lit(True))
+    shown = one_row(seen, "pack_id", "role", "ref").withColumn("v_found", F.lit(True))
     both = (
         shown.join(refs, ["pack_id", "role", "ref"], "full_outer")
         .join(has_private, "pack_id", "left_semi")
@@ -223,14 +218,14 @@ def output_rules(t: FlowTables) -> list[DataFrame]:
     if t.jobs is not None:
         fields = [*own, "prompt_sha256", "prompt_template_version", "prompt", "material_budget_chars"]
         j = t.jobs.select("job_id", F.lit(True).alias("j_found"), *[F.col(c).alias(f"j_{c}") for c in fields])
-        joined = joined.join(_one_row(j, "job_id"), "job_id", "left")
-        split_of = _one_row(t.packs.select("pack_id", "split_id"), "pack_id")
+        joined = joined.join(one_row(j, "job_id"), "job_id", "left")
+        split_of = one_row(t.packs.select("pack_id", "split_id"), "pack_id")
         in_split = t.split_tasks.filter(F.col("role") == "train").select(
             "split_id", "source", F.col("source_id").cast("string").alias("source_task_id"), F.lit(True).alias("t_found")
         ).distinct()
         joined = joined.join(split_of, "pack_id", "left").join(in_split, ["split_id", "source", "source_task_id"], "left")
         if t.replayed is not None:
-            replayed = _one_row(t.replayed.select("example_id", F.col("prompt").alias("r_prompt")), "example_id")
+            replayed = one_row(t.replayed.select("example_id", F.col("prompt").alias("r_prompt")), "example_id")
             joined = joined.join(replayed, "example_id", "left")
         else:
             joined = joined.withColumn("r_prompt", F.lit(None).cast("string"))

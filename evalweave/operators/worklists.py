@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalweave.functions.expr import count_where, has_text, id_part, label
+from evalweave.functions.joins import one_row
 from evalweave.operators.responses import kind
 from evalweave.operators.text import truncate_evidence
 
@@ -219,7 +220,7 @@ def audit_worklist(
     to its status for missing criteria.
     """
     p = private.select("pack_id", F.col("task_ref").alias("example_id"), "n_criteria", F.lit(True).alias("has_private"))
-    joined = examples.join(p, ["pack_id", "example_id"], "left")
+    joined = examples.join(one_row(p, "pack_id", "example_id"), ["pack_id", "example_id"], "left")
     state = (
         F.when(F.col("output_status").isNull(), "missing_desired_output")
         .when(F.col("output_status") != "generated", "desired_output_not_generated")
@@ -321,7 +322,7 @@ def eval_worklist(
     needed = mapped(F.col("mode"), skill_of_mode)
     joined = (
         todo.withColumn("skill_mode", needed)
-        .join(p, ["pack_id", "task_id"], "left")
+        .join(one_row(p, "pack_id", "task_id"), ["pack_id", "task_id"], "left")
         .join(s, ["pack_id", "skill_mode"], "left")
     )
     checks = {

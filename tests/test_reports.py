@@ -277,3 +277,12 @@ def test_prompt_rendering_and_resume_metadata(spark, rows):
                                  "pack_id string, task_id string, mode string, status string, judge_model string, metadata_json string, seq long")
     want = spark.createDataFrame([cell], "pack_id string, task_id string, mode string")
     assert rows(L.compatible_success(runs, want, judge_model="j", metadata={"a": 1, "b": None}), "seq") == [(0,), (3,)]
+
+
+def test_repeated_private_rows_do_not_multiply_worklists(spark, rows):
+    examples = spark.createDataFrame(
+        [("p", "e", "s", "generated", "text")], "pack_id string, example_id string, source string, output_status string, output string"
+    )
+    private = spark.createDataFrame([("p", "e", 0), ("p", "e", 2), ("p", "e", 1)], "pack_id string, task_ref string, n_criteria int")
+    got = L.audit_worklist(examples, private, scored_sources={"s": "missing"})
+    assert rows(got, "example_id", "n_criteria", "state") == [("e", 2, "job")]
