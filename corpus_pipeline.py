@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeats of boilerplate lines (operator 1); ``n_chars`` counts what is left."""
-    out = line_dedup.strip_boilerplate(docs.select(COLUMNS))
+    """Texts without repeats of boilerplate lines of any length (operator 1); ``n_chars`` counts what is left."""
+    out = line_dedup.strip_boilerplate(docs.select(COLUMNS), min_chars=1)
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", changed).select(COLUMNS)
 

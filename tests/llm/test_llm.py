@@ -67,6 +67,14 @@ def test_lines_stay_once_and_short_lines_stay(spark):
     assert line_dedup.strip_boilerplate(frame(spark, [])).collect() == []
 
 
+def test_pipeline_treats_lines_of_any_length(spark):
+    texts = [(i, f"own text of document number {i}\n Read more\t\n}}\n\n") for i in range(1, 8)] + [(8, None), (9, "}"), (10, "\n \n")]
+    docs = frame(spark, texts).select(corpus_pipeline.COLUMNS)
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, SMALL).collect()}
+    assert got[1] == texts[0][1] and all(got[i] == f"own text of document number {i}\n\n" for i in range(2, 8))
+    assert got[8] is None and got[9] == "" and got[10] == "\n \n"
+
+
 # ---- quality ----------------------------------------------------------------------------------
 
 
