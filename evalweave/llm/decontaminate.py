@@ -2,7 +2,8 @@
 
 A text within e edits of a test item holds at least one of the item's e + 1 pieces unchanged. Every
 position of every document is looked up among the pieces' leading bytes, hits are compared in full,
-and Myers' bit-parallel algorithm finds the edit distance around the hits that remain. The
+places around them that hold too few of the item's trigrams are left out, and Myers' bit-parallel
+algorithm finds the edit distance in the places that remain. The
 benchmark is broadcast in blocks of bounded size, and each block meets all documents.
 """
 
@@ -11,6 +12,8 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,7 @@ from evalweave.llm.tokens import slices
 SLICE_BYTES = 2 << 20
 STEP = 1 << 20
 GRAM = 12
+GRAMS = (GRAM, 8, 4, 2, 1)  # a piece is looked up by the longest of these that it holds
 FILTER_BITS = 22
 BLOCK_BYTES = 8 << 20
 LOWER = np.arange(256, dtype=np.uint8)
@@ -41,9 +45,9 @@ def normalised(raw: bytes) -> tuple[bytes, np.ndarray]:
     return np.where(blank, np.uint8(32), data)[keep].tobytes(), np.flatnonzero(keep)
 
 
-def budget(length: int, rate: float, least_piece: int) -> int:
+def budget(length: int, rate: float, least_piece: int = 1) -> int:
     """Edits allowed for an item: a share of its length, but pieces of ``least_piece`` bytes at least."""
-    return max(0, min(int(length * rate), length // least_piece - 1))
+    return max(0, min(int(length * Fraction(str(rate))), length // least_piece - 1))
 
 
 def piece_bounds(length: int, errors: int) -> list[tuple[int, int]]:
@@ -76,14 +80,54 @@ def myers(pattern: bytes, text: bytes) -> list[int]:
     return out
 
 
-def _grams(data: np.ndarray) -> np.ndarray:
-    """A hash of the ``GRAM`` bytes from each position; ``data`` has GRAM bytes to spare."""
-    n = len(data) - GRAM + 1
-    word = lambda at: np.ndarray(n, "<u8", data, at, (1,))
-    mixed = word(0) * np.uint64(0x9E3779B97F4A7C15) ^ (word(GRAM - 8) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(7))
+def _grams(data: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` bytes (one of ``GRAMS``) from each position that has them."""
+    n = len(data) - size + 1
+    word = lambda at: np.ndarray(n, f"<u{min(size, 8)}", data, at, (1,)).astype(np.uint64)
+    mixed = word(0) * np.uint64(0x9E3779B97F4A7C15) ^ (word(max(0, size - 8)) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(7))
     return (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def _trigrams(text: bytes) -> np.ndarray:
+    data = np.frombuffer(text, np.uint8).astype(np.int32)
+    return data[:-2] << 16 | data[1:-1] << 8 | data[2:]
+
+
+@lru_cache(4096)
+def _gram_counts(pattern: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct trigrams of an item, sorted, and how often it holds each."""
+    return np.unique(_trigrams(pattern), return_counts=True)
+
+
+@dataclass
+class Index:
+    """Pieces by the hash of their first ``size`` bytes."""
+
+    size: int
+    grams: np.ndarray  # sorted, distinct
+    pieces: list[list[tuple[int, int, int]]]  # per gram: item, start, end
+    seen: np.ndarray
+
+    @classmethod
+    def of(cls, size: int, texts: list[bytes], pieces: list[tuple[int, int, int]]) -> Index:
+        by_gram = defaultdict(list)
+        for i, a, b in pieces:
+            by_gram[int(_grams(np.frombuffer(texts[i][a : a + size], np.uint8), size)[0])].append((i, a, b))
+        grams = np.array(sorted(by_gram), np.uint64)
+        seen = np.zeros(1 << FILTER_BITS, bool)
+        seen[(grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+        return cls(size, grams, [by_gram[g] for g in grams.tolist()], seen)
+
+    def hits(self, data: np.ndarray) -> Iterator[tuple[list[int], list[int]]]:
+        """Places in ``data`` that hold a gram, and the gram's number, in steps."""
+        for at in range(0, max(0, len(data) - self.size + 1), STEP):
+            hashes = _grams(data[at : at + STEP + self.size - 1], self.size)
+            near = np.flatnonzero(self.seen[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+            rank = np.minimum(np.searchsorted(self.grams, hashes[near]), len(self.grams) - 1)
+            same = self.grams[rank] == hashes[near]
+            yield near[same] + at, rank[same]
+
+
 @dataclass
 class Items:
     """Test items ready for matching."""
@@ -91,31 +135,29 @@ class Items:
     ids: list
     texts: list[bytes]
     errors: list[int]
-    grams: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted, distinct
-    pieces: list[list[tuple[int, int, int]]] = field(default_factory=list)  # per gram: item, start, end
-    seen: np.ndarray = field(default_factory=lambda: np.zeros(1 << FILTER_BITS, bool))
+    indexes: list[Index] = field(default_factory=list)
     short: list[int] = field(default_factory=list)
 
     @classmethod
     def of(cls, rows: list[tuple], rate: float) -> Items:
         """Null and blank items are left out."""
+        if not 0 <= rate < 1:
+            raise ValueError(f"rate {rate}: a share of the item's length, at least 0 and less than 1")
         out = cls([], [], [])
         for ident, text in rows:
             norm = normalised((text or "").encode())[0].strip()
             if norm:
                 out.ids.append(ident)
                 out.texts.append(norm)
-                out.errors.append(budget(len(norm), rate, GRAM))
-        by_gram = defaultdict(list)
+                out.errors.append(budget(len(norm), rate))
+        by_size = defaultdict(list)
         for i, (text, errors) in enumerate(zip(out.texts, out.errors)):
-            if len(text) < GRAM:
+            if len(text) < GRAM and not errors:
                 out.short.append(i)
                 continue
             for a, b in piece_bounds(len(text), errors):
-                by_gram[int(_grams(np.frombuffer(text[a : a + GRAM], np.uint8))[0])].append((i, a, b))
-        out.grams = np.array(sorted(by_gram), np.uint64)
-        out.pieces = [by_gram[g] for g in out.grams.tolist()]
-        out.seen[(out.grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+                by_size[next(g for g in GRAMS if g <= b - a)].append((i, a, b))
+        out.indexes = [Index.of(size, out.texts, pieces) for size, pieces in by_size.items()]
         return out
 
     def places(self, text: bytes) -> dict[int, list[int]]:
@@ -129,42 +171,41 @@ class Items:
         return found
 
     def search(self, texts: list[bytes]) -> list[dict[int, list[int]]]:
-        """``places`` of all texts, by one scan of their bytes in steps."""
+        """``places`` of all texts, by a scan of their bytes in steps for each size of gram."""
         out = [self.places(t) if self.short else defaultdict(list) for t in texts]
-        if not len(self.grams):
+        if not self.indexes:
             return out
         gap = bytes(GRAM)
         data = np.frombuffer(gap.join(texts) + gap, np.uint8)
         sizes = np.array([len(t) + GRAM for t in texts])
         starts = np.cumsum(sizes) - sizes
-        for at in range(0, max(0, len(data) - GRAM + 1), STEP):
-            hashes = _grams(data[at : at + STEP + GRAM - 1])
-            near = np.flatnonzero(self.seen[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-            rank = np.minimum(np.searchsorted(self.grams, hashes[near]), len(self.grams) - 1)
-            same = self.grams[rank] == hashes[near]
-            hits, ranks = near[same] + at, rank[same]
-            docs = np.searchsorted(starts, hits, "right") - 1
-            for d, place, r in zip(docs.tolist(), (hits - starts[docs]).tolist(), ranks.tolist()):
-                for i, a, b in self.pieces[r]:
-                    if texts[d].startswith(self.texts[i][a:b], place):
-                        out[d][i].append(place - a)
+        for index in self.indexes:
+            for hits, ranks in index.hits(data):
+                docs = np.searchsorted(starts, hits, "right") - 1
+                for d, place, r in zip(docs.tolist(), (hits - starts[docs]).tolist(), ranks.tolist()):
+                    for i, a, b in index.pieces[r]:
+                        if texts[d].startswith(self.texts[i][a:b], place):
+                            out[d][i].append(place - a)
         return out
 
     def matches(self, text: bytes, places: dict[int, list[int]]) -> list[tuple[int, int, int, int]]:
         """Per item within its budget: item, distance, start and end of the best match (the first of equals)."""
         out = []
+        codes = _trigrams(text)
         for i, diagonals in places.items():
             pattern, errors = self.texts[i], self.errors[i]
+            grams, counts = _gram_counts(pattern)
             best = None
             for low, high in _runs(sorted(set(diagonals)), 2 * errors + 1):
-                window = max(0, low - errors)
-                part = text[window : high + len(pattern) + errors]
-                distances = myers(pattern, part)
-                least = min(distances)
-                if least <= errors and (best is None or least < best[0]):
-                    end = distances.index(least)
-                    back = myers(pattern[::-1], part[: end + 1][::-1][: len(pattern) + errors])
-                    best = (least, window + end - back.index(min(back)), window + end + 1)
+                window, stop = max(0, low - errors), min(len(text), high + len(pattern) + errors)
+                for first, last in _likely(codes, window, stop, grams, counts, len(pattern), errors):
+                    part = text[first:last]
+                    distances = myers(pattern, part)
+                    least = min(distances)
+                    if least <= errors and (best is None or least < best[0]):
+                        end = distances.index(least)
+                        back = myers(pattern[::-1], part[: end + 1][::-1][: len(pattern) + errors])
+                        best = (least, first + end - back.index(min(back)), first + end + 1)
                 if best and best[0] == 0:
                     break
             if best:
@@ -172,6 +213,35 @@ class Items:
         return out
 
 
+def _likely(codes: np.ndarray, start: int, stop: int, grams: np.ndarray, counts: np.ndarray, length: int, errors: int) -> Iterator[tuple[int, int]]:
+    """The parts of a text's bytes ``start`` to ``stop`` that hold trigrams enough for a match.
+
+    An edit spoils three trigrams of the item at most; all others occur in the match, which has
+    ``length`` + ``errors`` bytes at most and so lies in one of the windows of twice that size.
+    """
+    need = length - 2 - 3 * errors
+    if need <= 0:
+        yield start, stop
+        return
+    window = codes[start : max(start, stop - 2)]
+    rank = np.minimum(np.searchsorted(grams, window), len(grams) - 1)
+    rank[grams[rank] != window] = len(grams)
+    step, open_at, until = length + errors, None, 0
+    for at in range(0, stop - start, step):
+        held = np.zeros(len(grams) + 1, bool)
+        held[rank[at : at + 2 * step - 2]] = True
+        if counts[held[:-1]].sum() >= need:
+            if open_at is not None and at > until:
+                yield start + open_at, start + until
+                open_at = None
+            open_at = at if open_at is None else open_at
+            until = min(at + 2 * step, stop - start)
+        if at + 2 * step >= stop - start:
+            break
+    if open_at is not None:
+        yield start + open_at, start + until
+
+
 def _runs(values: list[int], gap: int) -> Iterator[tuple[int, int]]:
     """First and last of each run of sorted values whose steps are at most ``gap``."""
     first = last = values[0]
@@ -199,8 +269,8 @@ def find_leaks(
     """One row per document and test item within its edit budget: ``doc_id, item_id, distance, start, stop``.
 
     Texts compare as UTF-8 bytes with A-Z lower-cased and runs of ASCII white space (and zero bytes)
-    as one space. An item of n bytes allows ``rate`` * n edits, fewer if its pieces would be shorter than
-    ``GRAM`` bytes; items of fewer bytes match exactly. ``start`` and ``stop`` are bytes of the document's
+    as one space. An item of n bytes allows ``rate`` * n edits, rounded down; ``rate`` is less than 1.
+    ``start`` and ``stop`` are bytes of the document's
     text around the best match, the first of equals. Items that repeat are reported each; null,
     empty and blank texts match nothing. A null document id stays null. Repeated documents give
     repeated rows.

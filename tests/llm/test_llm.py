@@ -139,6 +139,38 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rate, share", [(0.1, (1, 10)), (0.3, (3, 10)), (0.0, (0, 1))])
+def test_leaks_up_to_the_stated_rate(spark, rate, share):
+    """Against a bound taken from the rate alone, with edits on both sides of it, in items of 3 bytes and more."""
+    rng = np.random.default_rng(7)
+    prose = lambda n: " ".join(rng.choice(WORDS, n))
+    items = [(prose(60)[:n].strip() + "z").rjust(n, "q")[:n] for n in (3, 9, 10, 11, 12, 20, 23, 40, 95, 233)]
+
+    def edited(item, edits):
+        out = list(item)
+        for k, at in enumerate(sorted({int(x) for x in np.linspace(1, len(item) - 2, edits)}, reverse=True)):
+            out[at : at + 1] = [["#"], [], ["#", out[at]]][k % 3]
+        return "".join(out)
+
+    texts = []
+    for item in items:
+        most = len(item) * share[0] // share[1]
+        texts += [f"{prose(20)} {edited(item, e)} {prose(20)}" for e in (most - 1, most, most + 1) if e >= 0]
+    texts += [prose(400), " ".join([items[-1][:12]] * 300), ""]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(frame(spark, list(enumerate(texts))), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), rate=rate).collect()}
+    want = {}
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            least = min(edit_distance_inside(item.encode(), text.encode()))
+            if least <= len(item) * share[0] // share[1]:
+                want[d, i] = least
+    assert {k: r.distance for k, r in got.items()} == want
+    for (d, i), r in got.items():
+        assert edit_distance_inside(items[i].encode(), texts[d][r.start : r.stop].encode())[-1] == r.distance
+    with pytest.raises(ValueError):
+        decontaminate.Items.of([], 1.0)
+
+
 # ---- prefix-free parsing ----------------------------------------------------------------------
 
 
