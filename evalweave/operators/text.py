@@ -53,7 +53,7 @@ def _children(node: Column) -> Column:
 
 def _nesting(text: Column) -> Column:
     """Levels of brackets and braces in a JSON text, those inside strings left out."""
-    bare = F.regexp_replace(text, r'"(?:[^"\\\\]++|\\\\.)*+"', "")
+    bare = F.regexp_replace(text, r'"(?:[^"\\]++|\\.)*+"', "")
     signs = F.regexp_extract_all(bare, F.lit(r"[\[{\]}]"), F.lit(0))
 
     def step(acc: Column, sign: Column) -> Column:

@@ -156,3 +156,17 @@ def test_private_keys_at_any_depth(spark, rows):
     keys = ["rubric"]
     got = T.private_key_paths(df, "j", ["id"], private_keys=keys).collect()
     assert [r.path.endswith("rubric") for r in got] == [True]
+
+
+def test_depth_is_measured_past_escapes(spark, rows):
+    cases = []
+    for depth in range(4, 13):
+        for k, escaped in enumerate([r"l1\nl2", r"say \"{\" or \"", "back\\\\", r"\\\" [{", r"{"]):
+            deep = '{"judge":1}'
+            for i in range(depth - 1):
+                deep = '{"x%d":"%s","y":%s}' % (i, escaped, deep)
+            cases.append((depth * 10 + k, deep))
+    df = spark.createDataFrame(cases, "id int, j string")
+    assert {r.id // 10 == r.d for r in df.select("id", T._nesting(F.col("j")).alias("d")).collect()} == {True}
+    want = [(i, "$" + ".y" * (i // 10 - 1) + ".judge") for i, _ in cases]
+    assert rows(T.private_key_paths(df, "j", ["id"]), "id", "path") == sorted(want, key=lambda t: [(False, str(x)) for x in t])
