@@ -1,15 +1,15 @@
-"""Removal of repeated byte strings by prefix-free parsing.
+"""Removal of repeated byte strings by prefix-free parsing and hash classes of windows.
 
 Triggers of a rolling hash cut every text into phrases, so equal stretches of text parse alike. A
-phrase with the bytes that follow it, up to the window, is a word of the dictionary; the sequence of
-words is the parse. All windows that start in a phrase are suffixes of its word, so the corpus order
-of windows, as deep as the window, is that of (word, offset). Three rounds settle, for each suffix,
-the smallest document of its class in that order:
-
-1. words that an earlier document holds: all their suffixes are old, which settles repetitive text;
-2. of the other suffixes, those whose minimizer (least hash of 24 bytes within the window) occurs in
-   two documents; equal windows have equal minimizers, so no other suffix can be old;
-3. the classes of the remaining suffixes themselves.
+phrase with the bytes that follow it, up to the window, is a word of the dictionary. Every window
+starts in one phrase and lies in its word. No suffix array is built and nothing is put in corpus
+order: only equality of windows counts, and equal hashes stand for it. Three rounds find the smallest document
+of each class:
+
+1. words (96-bit hashes) that an earlier document holds: all their windows are old, which settles repetitive text;
+2. of the other windows, those whose minimizer (least 64-bit hash of 24 bytes within the window) occurs in
+   two documents; equal windows have equal minimizers, so no other window can be old;
+3. the remaining windows themselves (96-bit hashes of their bytes).
 
 In every round a chunk of documents sends each of its keys once, so highly repetitive text is cheap.
 """
