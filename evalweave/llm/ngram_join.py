@@ -2,8 +2,8 @@
 
 Sizes bound what must be compared. A shingle of one document alone can add to no overlap, so a
 document with too few shared shingles links with nothing. Of the others, one per distinct set goes
-on; documents that link must meet in one of their rarest shingles. Candidates are tested by a blocked
-product of the sparse document by shingle incidence, which accumulates exact overlap counts. Among
+on; documents that link must meet in one of their rarest shingles. Each candidate pair is tested by
+a merge of its two whole shingle lists, which gives the exact overlap. Among
 the documents that meet in a shingle, first each is tested with one pivot; only pairs that are
 not connected then are tested pair by pair.
 """
@@ -148,8 +148,8 @@ def _prefixes(sets: DataFrame) -> DataFrame:
 def _tested(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs ``(a, b)`` that link, by overlap counts of their sets.
 
-    Each batch is a block of the incidence product: entries (pair, shingle) of both sides that
-    coincide add one to the pair's overlap.
+    Both shingle lists of a pair come with it; entries (pair, shingle) of both sides that coincide after
+    a sort add one to the pair's overlap.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
