@@ -42,8 +42,10 @@ def pieces(docs: DataFrame, *, tokenizer: str, end_id: int, text: str = "text",
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 rows: tuple[list, ...] = ([], [], [], [], [])
-                for at, ids in enumerate(code.encode(part.column("text").to_pylist())):
-                    ids += end
+                flat, stops = code.encode_column(part.column("text"))
+                raw, begin = flat.tobytes(), 0
+                for at, stop in enumerate((4 * stops).tolist()):
+                    ids, begin = raw[begin:stop] + end, stop
                     n, start = len(ids) // 4, 0
                     for size in decomposition(n, longest):
                         for column, value in zip(rows, (at, n, start, size, ids[4 * start : 4 * (start + size)])):

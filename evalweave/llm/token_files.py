@@ -23,7 +23,7 @@ from evalweave.llm.scratch import documents, scratch_path
 from evalweave.llm.tokens import encoder, slices
 
 # Text bytes per block; a longer document is a block of its own.
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 2 << 20
 
 
 def write_ids(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 0, text: str = "text", doc: str = "doc_id") -> None:
@@ -37,12 +37,11 @@ def write_ids(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 0, te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part, block = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = end_id.to_bytes(4, "little")
         for batch in batches:
             for rows in slices(batch, "text", BLOCK_BYTES):
-                coded = [ids + end for ids in code.encode(rows.column("text").to_pylist())]
-                ends = np.cumsum([len(c) // 4 for c in coded])
-                words, word_ends = simple8b.pack(np.frombuffer(b"".join(coded), "<u4"), ends)
+                ids, ends = code.encode_column(rows.column("text"))
+                ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, rows.num_rows + 1)
+                words, word_ends = simple8b.pack(ids, ends)
                 lists = pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows.column("doc"))
                 binary = [pa.array([x], pa.binary()) for x in (ends.astype("<u4").tobytes(), word_ends.astype("<u4").tobytes(), words.tobytes())]
                 yield pa.RecordBatch.from_arrays(

@@ -2,9 +2,10 @@
 
 Byte-level and word-level BPE never let a token cross from a visible character to a following blank,
 nor from a letter to a following comma or full stop. So a text may be cut there: its ids are the ids
-of its pieces, one after the other. Pieces repeat, and most of them come from a cache; the tokenizer
-sees the others. Texts in which such a cut could matter (two blanks in a row, other white space,
-control characters, a special token's string) go to the tokenizer whole.
+of its pieces, one after the other. A batch of texts is cut and its pieces are counted by Arrow, so
+Python meets each distinct piece of a batch once; most of those come from a cache, the tokenizer sees
+the others. Texts in which such a cut could matter (two blanks in a row, other white space, control
+characters, a special token's string) go to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -15,24 +16,32 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-
-# Controls, white space other than space and line feed, and combining marks that could join a blank.
-IRREGULAR = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0\u0300-\u036f\u1680\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
-BLANK_RUNS = ("  ", "\n\n", " \n", "\n ")
+import pyarrow.compute as pc
+
+# Controls, white space other than space and line feed, combining marks that could join a blank, and
+# runs of blanks.
+IRREGULAR = (
+    r"[\x00-\x09\x0b-\x1f\x7f-\x{a0}\x{300}-\x{36f}\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]"
+    r"|[ \n][ \n]"
+)
 # A comma or full stop behind anything but a letter or digit belongs to the piece before it.
-SYMBOL_STOP = re.compile(r"[.,](?<![^\W_][.,])")
+SYMBOL_STOP = r"(?:^|[^\pL\pN])[.,]"
 CUT = "\x01"
 # A sign that is a token of its own between pieces, and how to put it there: for tokenizers that keep
 # line feeds, and for those that drop white space. The encoder tries them on each tokenizer.
 SEPARATORS = [("\n", "\n"), ("7", " 7 ")]
 JOINT = 2000
-CACHE_ENTRIES = 1_500_000
+# Bytes of each of the cache's two halves, and what an entry takes besides its characters and ids.
+CACHE_BYTES = 32 << 20
+ENTRY_BYTES = 180
 
 
 class WordEncoder:
     """``encode(texts)`` gives the ids of each text as little-endian unsigned 32-bit bytes.
 
-    The cache holds at most ``CACHE_ENTRIES`` pieces and starts anew when it is full.
+    Pieces met lately stay in a cache of two halves of ``CACHE_BYTES`` each: when the newer half is full
+    it becomes the older one, whose pieces are dropped unless they are met again. Pieces over a
+    thousandth of a half are never kept.
     """
 
     def __init__(self, path: str):
@@ -40,9 +49,12 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "|".join([IRREGULAR, *(re.escape(t) for t in special)])
         self.separator = next((c for c in SEPARATORS if self._separates(*c)), None)
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
 
     def _separates(self, sign: str, between: str) -> bool:
         """Whether pieces joined with ``between`` keep their ids, with one id for ``sign`` between them."""
@@ -50,8 +62,14 @@ class WordEncoder:
         parts = [" abc", ",", " d", " Ef-g", "1", "."]
         return len(mark) == 4 and self.direct([between.join(parts)])[0] == mark.join(self.direct(parts))
 
-    def learn(self, words: list[str]) -> None:
-        """Adds pieces to the cache. Many pieces go to the tokenizer as one text, with separators."""
+    def direct(self, texts: Sequence[str]) -> list[bytes]:
+        """The tokenizer's own ids, without cutting."""
+        coded = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in coded]
+
+    def _fresh(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of pieces by the tokenizer. Many pieces go to it as one text, with separators."""
+        out: dict[str, bytes] = {}
         joint: list[str] = []
         if self.separator:
             sign, between = self.separator
@@ -63,42 +81,87 @@ class WordEncoder:
             cuts = np.flatnonzero(np.frombuffer(raw, "<u4") == mark)
             if len(cuts) == len(part) - 1:
                 bounds = zip(part, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)])
-                self.cache.update((w, raw[a:b]) for w, a, b in bounds)
-        rest = [w for w in words if w not in self.cache]
-        self.cache.update(zip(rest, self.direct(rest)))
-
-    def direct(self, texts: Sequence[str]) -> list[bytes]:
-        """The tokenizer's own ids, without cutting."""
-        coded = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in coded]
-
-    def pieces(self, text: str) -> list[str] | None:
-        if IRREGULAR.search(text) or any(r in text for r in BLANK_RUNS) or any(s in text for s in self.special):
-            return None
-        cut = text.replace(" ", CUT + " ").replace("\n", CUT + "\n")
-        if not SYMBOL_STOP.search(text):
-            cut = cut.replace(",", CUT + ",").replace(".", CUT + ".")
-        return cut.split(CUT)
+                out.update((w, raw[a:b]) for w, a, b in bounds)
+        rest = [w for w in words if w not in out]
+        out.update(zip(rest, self.direct(rest)))
+        return out
+
+    def _keep(self, entries: dict[str, bytes]) -> None:
+        for word, ids in entries.items():
+            size = len(word) + len(ids) + ENTRY_BYTES
+            if size * 1000 > CACHE_BYTES:
+                continue
+            self.held += size
+            if self.held > CACHE_BYTES:
+                self.old, self.new, self.held = self.new, {}, size
+            self.new[word] = ids
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        new, old = self.new, self.old
+        found = [new.get(w) for w in words]
+        again: dict[str, bytes] = {}
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        for i in missing:
+            if (ids := old.get(words[i])) is not None:
+                again[words[i]] = found[i] = ids
+        fresh = self._fresh([words[i] for i in missing if found[i] is None])
+        for i in missing:
+            if found[i] is None:
+                found[i] = fresh[words[i]]
+        self._keep(again | fresh)
+        return found
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other (unsigned 32-bit), and each text's end in them.
+
+        A null or empty text has no ids.
+        """
+        text = pc.fill_null(column, "")
+        whole = pc.match_substring_regex(text, self.whole)
+        cut = pc.if_else(whole, "", text)
+        for blank in (" ", "\n"):
+            cut = pc.replace_substring(cut, blank, CUT + blank)
+        stops = cut
+        for stop in (",", "."):
+            stops = pc.replace_substring(stops, stop, CUT + stop)
+        lists = pc.split_pattern(pc.if_else(pc.match_substring_regex(text, SYMBOL_STOP), cut, stops), CUT)
+        pieces = lists.flatten().dictionary_encode()
+        words = pieces.dictionary.to_pylist()
+        known = dict(zip(filled := [w for w in words if w], self._ids(filled)))
+        known[""] = b""
+        ids = [known[w] for w in words]
+        table = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        at = pieces.indices.to_numpy()
+        each = sizes[at]
+        stop = np.concatenate([[0], np.cumsum(each)])
+        flat = table[np.arange(stop[-1]) + np.repeat(starts[at] - stop[:-1], each)]
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        ends = stop[offsets - offsets[0]][1:]
+        rows = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        if len(rows):
+            parts = np.split(flat, ends[:-1])
+            for row, raw in zip(rows.tolist(), self.direct(text.take(pa.array(rows)).to_pylist())):
+                parts[row] = np.frombuffer(raw, "<u4")
+            flat, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+        return flat, ends
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        """A null or empty text has no ids."""
-        cut = [self.pieces(t) if t else [] for t in texts]
-        fresh = {p for ps in cut if ps for p in ps if p not in self.cache}
-        if len(self.cache) + len(fresh) > CACHE_ENTRIES:
-            self.cache.clear()
-            fresh = {p for ps in cut if ps for p in ps}
-        fresh.discard("")
-        self.learn(list(fresh))
-        self.cache[""] = b""
-        get = self.cache.__getitem__
-        return [self.direct([t])[0] if ps is None else b"".join(map(get, ps)) for t, ps in zip(texts, cut)]
+        """The ids of each text; a null or empty one has none."""
+        if not texts:
+            return []
+        flat, ends = self.encode_column(pa.array(texts, pa.string()))
+        raw, stops = flat.tobytes(), (4 * ends).tolist()
+        return [raw[a:b] for a, b in zip([0, *stops[:-1]], stops)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """The worker's encoder of a tokenizer file; it lives as long as the Python worker."""
+    """The worker's encoder of a tokenizer file; it and its bounded cache live as long as the Python worker."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
@@ -106,8 +169,6 @@ def encoder(path: str) -> WordEncoder:
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose ``column`` holds at most ``most_bytes`` bytes, or one row."""
-    import pyarrow.compute as pc
-
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     ends = np.cumsum(sizes)
     at = 0
