@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["line_dedup", "quality_knn", "decontaminate", "prefix_free", "ngram_join", "token_files", "packing", "url_filter", "preferences", "flac_column"]
+MODULES = ["line_dedup", "quality_knn", "decontaminate", "prefix_free", "ngram_join", "token_files", "packing", "url_filter", "preferences", "flac_column", "conversation_repair", "html_text", "token_alignment"]
 
 
 def all_queries() -> dict:
