@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from evalweave.llm.packing import _path
 from evalweave.llm.scratch import documents, written
-from evalweave.llm.tokens import encoder, slices
+from evalweave.llm.tokens import SIGNS, encoder, slices
 
 # Text bytes per chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
@@ -35,14 +35,8 @@ PAIR_BASE = 1 << 20
 
 
 def byte_level_bytes(tokenizer) -> list[bytes]:
-    """Bytes of each id of a byte-level vocabulary.
-
-    Its entries write a byte as the Latin-1 sign of its number where that sign is visible, and the
-    others, in ascending order, as signs from 256 on.
-    """
-    visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    hidden = [b for b in range(256) if b not in visible]
-    byte_of = {chr(b): b for b in visible} | {chr(256 + n): b for n, b in enumerate(hidden)}
+    """Bytes of each id of a byte-level vocabulary."""
+    byte_of = {chr(sign): byte for byte, sign in SIGNS.items()}
     added = tokenizer.get_added_tokens_decoder()
     entries = (tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size()))
     return [e.encode() if i in added else bytes(byte_of[c] for c in e or "") for i, e in enumerate(entries)]

@@ -31,8 +31,16 @@ CUT = "\x01"
 # line feeds, and for those that drop white space. The encoder tries them on each tokenizer.
 SEPARATORS = [("\n", "\n"), ("7", " 7 ")]
 JOINT = 2000
+# A word that is one unit before the merges of either kind of tokenizer, whatever stands around it.
+LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+# Signs that byte-level vocabularies write bytes with: visible Latin-1 ones are themselves, the others
+# follow from 256 on.
+VISIBLE = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+SIGNS = {b: b for b in VISIBLE} | {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in VISIBLE)}
+# How words are written for the tokenizer's model: as they are, or in lower case without the blank.
+WRITINGS = [lambda words: words, lambda words: [w.strip(" ").lower() for w in words]]
 # Bytes of each of the cache's two halves, and what an entry takes besides its characters and ids.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 64 << 20
 ENTRY_BYTES = 180
 
 
@@ -52,6 +60,8 @@ class WordEncoder:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = "|".join([IRREGULAR, *(re.escape(t) for t in special)])
         self.separator = next((c for c in SEPARATORS if self._separates(*c)), None)
+        words = [" abc", "Ef", " x", "unlikelyword", " Élan", "fiancée"]
+        self.writing = next((w for w in WRITINGS if self._merged(words, w) == self.direct(words)), None)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.held = 0
@@ -62,14 +72,23 @@ class WordEncoder:
         parts = [" abc", ",", " d", " Ef-g", "1", "."]
         return len(mark) == 4 and self.direct([between.join(parts)])[0] == mark.join(self.direct(parts))
 
+    def _merged(self, words: list[str], writing) -> list[bytes]:
+        """Ids of words (``LETTERS``) by the tokenizer's model alone."""
+        signs = "\n".join(writing(words)).encode().decode("latin-1").translate(SIGNS)
+        merge = self.tokenizer.model.tokenize
+        return [array("I", [t.id for t in merge(w)]).tobytes() for w in signs.split(chr(SIGNS[10]))]
+
     def direct(self, texts: Sequence[str]) -> list[bytes]:
         """The tokenizer's own ids, without cutting."""
         coded = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in coded]
 
     def _fresh(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of pieces by the tokenizer. Many pieces go to it as one text, with separators."""
+        """Ids of pieces by the tokenizer: words by its model, other pieces many to a text, with separators."""
         out: dict[str, bytes] = {}
+        if self.writing and (plain := list(filter(LETTERS.fullmatch, words))):
+            out.update(zip(plain, self._merged(plain, self.writing)))
+            words = [w for w in words if w not in out]
         joint: list[str] = []
         if self.separator:
             sign, between = self.separator
