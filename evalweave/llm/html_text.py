@@ -25,6 +25,7 @@ from evalweave.llm.tokens import slices
 from evalweave.llm.url_filter import host_and_path
 
 SLICE_BYTES = 4 << 20
+SALTS = 16
 
 # Names of HTML elements, roles, and words in classes and ids, by what they mean here.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -359,7 +360,10 @@ def extract(pages: DataFrame, *, url: str = "url", source: str = "html", page: s
                 columns = [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
-    joined = named.join(templates, "host", "left").select("page_id", "url", "html", "common", "most")
+    # A hot host's pages are dealt over SALTS keys, each with the host's templates.
+    salted = named.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.lit(SALTS)).cast("int"))
+    templates = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = salted.join(templates, ["host", "salt"], "left").select("page_id", "url", "html", "common", "most")
     return joined.mapInArrow(run, f"page_id {key}, url string, text string, n_chars long")
 
 

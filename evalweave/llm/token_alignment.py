@@ -30,6 +30,8 @@ from evalweave.llm.tokens import SIGNS, encoder, slices
 
 # Text bytes per chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
+# Text bytes that are aligned at once.
+ALIGN_BYTES = 1 << 19
 # An id pair is one number: A's id times this, plus B's id.
 PAIR_BASE = 1 << 20
 
@@ -116,13 +118,13 @@ def _links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def align_texts(pair: TokenPair, texts: pa.Array) -> dict:
-    """Per text ``n_a, n_b, n_groups, n_links, groups`` (their texts), and per link the id pair, text by text."""
+    """Per text ``n_a, n_b, n_groups, n_links, hashes`` (of the groups' text), and per link the id pair, text by text."""
     column = pc.fill_null(texts, "")
     flat, stops = pair.a.encode_column(pc.binary_join_element_wise(pa.scalar(" "), column, pa.scalar("")))
     plain = column.to_pylist()
     coded = pair.b.encode(plain, num_threads=1)
     bounds = [0, *stops.tolist()]
-    a_parts, b_parts, sizes = [], [], []
+    a_parts, b_parts = [], []
     a_of, b_of = pair.a_bytes.__getitem__, pair.b_bytes.__getitem__
     for row, (text, b_ids) in enumerate(zip(plain, coded)):
         a_ids = flat[bounds[row] : bounds[row + 1]]
@@ -151,7 +153,7 @@ def align_texts(pair: TokenPair, texts: pa.Array) -> dict:
         "n_b": n_b,
         "n_groups": np.diff(at),
         "n_links": np.diff(np.searchsorted(left, np.concatenate([[0], np.cumsum(n_a)]))),
-        "groups": [";".join(groups[s:e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist())],
+        "hashes": [hashlib.sha256(";".join(groups[s:e]).encode()).hexdigest() if e > s else "" for s, e in zip(at[:-1].tolist(), at[1:].tolist())],
         "pairs": a_ids[left] * PAIR_BASE + b_ids[right],
     }
 
@@ -168,12 +170,16 @@ def _chunks(docs: DataFrame, a: str, b: str, text: str, doc: str) -> DataFrame:
             for part in slices(batch, "text", CHUNK_BYTES):
                 if not part.num_rows:
                     continue
-                found = align_texts(pair, part.column("text"))
+                found: dict[str, list] = {c: [] for c in (*counts, "hashes", "pairs")}
+                for texts in slices(part, "text", ALIGN_BYTES):
+                    for name, values in align_texts(pair, texts.column("text")).items():
+                        found[name].append(values)
+                hashes = [h for some in found.pop("hashes") for h in some]
+                found = {name: np.concatenate(values) for name, values in found.items()}
                 pairs, links = np.unique(found["pairs"], return_inverse=True)
                 owner = np.repeat(np.arange(part.num_rows), found["n_links"])
                 held = np.unique(owner * max(1, len(pairs)) + links)
                 holders = np.bincount(held % max(1, len(pairs)), minlength=len(pairs))
-                hashes = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in found["groups"]]
                 lists = [part.column("doc"), *(pa.array(found[c], pa.int64()) for c in counts), pa.array(hashes, pa.string())]
                 lists += [pa.array(pairs, pa.int64()), pa.array(holders, pa.int64())]
                 columns = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
