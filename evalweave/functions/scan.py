@@ -7,7 +7,7 @@ block totals (one row per block) are scanned in their turn, and an equi-join add
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -16,11 +16,6 @@ from pyspark.sql import functions as F
 DEFAULT_BLOCK = 4096
 
 
-def _with_offset(df, blocks, group, blk, totals):
-    keys = [*group, blk]
-    return df.join(blocks.select(*keys, *totals), keys, "left")
-
-
 def blocked_scan(
     df: DataFrame,
     group: Sequence[str],
@@ -30,26 +25,31 @@ def blocked_scan(
     *,
     block: int = DEFAULT_BLOCK,
 ) -> DataFrame:
-    """Add ``out``: the sum of ``value`` over the earlier rows of the group (exclusive).
+    """Add ``out``: the sum of ``value`` over the earlier rows of the group (exclusive)."""
+    return blocked_scans(df, group, pos, {out: value}, block=block)
+
+
+def blocked_scans(
+    df: DataFrame, group: Sequence[str], pos: str, values: Mapping[str, Column], *, block: int = DEFAULT_BLOCK
+) -> DataFrame:
+    """Add, per name of ``values``, the sum of its column over the earlier rows of the group (exclusive).
 
     ``pos`` is an integer that is unique within the group; it may have gaps. ``block`` is the
     width of a block in units of ``pos``, which bounds the rows of a block. A group whose
     positions span N blocks sends N small rows to the second scan.
     """
-    blk, val, inner, outer = "__blk", "__val", "__inner", "__outer"
-    keyed = df.withColumn(blk, F.floor(F.col(pos) / F.lit(block)).cast("long")).withColumn(
-        val, F.coalesce(value, F.lit(0)).cast("long")
+    blk = "__blk"
+    val = {out: f"__val_{i}" for i, out in enumerate(values)}
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    keyed = df.withColumn(blk, F.floor(F.col(pos) / F.lit(block)).cast("long")).withColumns(
+        {val[out]: zero(value).cast("long") for out, value in values.items()}
     )
     before = (W.unboundedPreceding, -1)
     in_block = W.partitionBy(*group, blk).orderBy(pos).rowsBetween(*before)
-    totals = keyed.groupBy(*group, blk).agg(F.sum(val).alias(val))
+    totals = keyed.groupBy(*group, blk).agg(*[F.sum(v).alias(v) for v in val.values()])
     across = W.partitionBy(*group).orderBy(blk).rowsBetween(*before)
-    offsets = totals.select(
-        *group, blk, F.coalesce(F.sum(val).over(across), F.lit(0)).alias(outer)
-    )
-    scanned = keyed.withColumn(inner, F.coalesce(F.sum(val).over(in_block), F.lit(0)))
-    return (
-        _with_offset(scanned, offsets, group, blk, [outer])
-        .withColumn(out, (F.col(inner) + F.col(outer)).cast("long"))
-        .drop(blk, val, inner, outer)
-    )
+    offsets = totals.select(*group, blk, *[zero(F.sum(v).over(across)).alias(f"{v}_outer") for v in val.values()])
+    scanned = keyed.withColumns({f"{v}_inner": zero(F.sum(v).over(in_block)) for v in val.values()})
+    joined = scanned.join(offsets, [*group, blk], "left")
+    sums = {out: (F.col(f"{v}_inner") + F.col(f"{v}_outer")).cast("long") for out, v in val.items()}
+    return joined.withColumns(sums).drop(blk, *[x for v in val.values() for x in (v, f"{v}_inner", f"{v}_outer")])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalweave.functions.expr import count_where, has_text, id_part, let, slug, strip
-from evalweave.functions.scan import DEFAULT_BLOCK, blocked_scan
+from evalweave.functions.scan import DEFAULT_BLOCK, blocked_scan, blocked_scans
 
 MAX_MATERIAL_CHARS = 16_000  # fixed value: default material budget of a prompt
 TEMPLATE_VERSION = "desired-output/user-visible-only/v2"  # fixed value
@@ -42,31 +42,33 @@ def material_context(
     The exact rule is a fold, which needs the rows of an owner in order. Only rows that can still
     matter reach it: those before the budget is used up by whole texts, and behind them (a cut may
     end in blanks that are not charged) as many as could use up the rest, each charging at least
-    one character. An owner with millions of materials thus gathers a bounded list.
+    one character. Blank materials charge nothing, whatever is left, so a run of them between two
+    others is one step of the fold: its headers are joined beforehand, block by block. An owner
+    with millions of materials thus gathers a list of at most a few times ``max_chars`` items.
     """
+    body = F.coalesce("text", F.lit(""))
+    head = F.concat(F.lit("## Material: "), F.coalesce("path", F.lit("None")), F.lit(" ("), F.coalesce("status", F.lit("None")), F.lit(")"))
     rows = materials.select(
-        owner, F.col("pos").cast("long").alias("pos"), "path", "status",
-        F.length(strip(F.coalesce("text", F.lit("")))).alias("__full"),
-        F.substring(F.coalesce("text", F.lit("")), 1, max_chars).alias("text"),
+        owner, F.col("pos").cast("long").alias("pos"), head.alias("head"), F.length(strip(body)).alias("__full"), F.substring(body, 1, max_chars).alias("text")
     )
-    rows = blocked_scan(rows, [owner], "pos", F.col("__full"), "__prior", block=block)
+    rows = blocked_scans(rows, [owner], "pos", {"__prior": F.col("__full"), "__run": (F.col("__full") > 0).cast("int")}, block=block)
     late = F.col("__prior") >= max_chars
     starts = late & (F.length(strip(F.substring("text", 1, 1))) > 0)
     rows = blocked_scan(rows, [owner], "pos", F.when(starts, 1).otherwise(0), "__late", block=block)
     rows = rows.filter(~late | (F.col("__late") < max_chars))
-    lists = rows.groupBy(owner).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "path", "status", "text"))).alias("items")
-    )
+    joined = lambda at, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, text))), lambda x: x[text]), "\n\n")
+    blank = rows.filter("__full = 0").withColumn("__blk", F.floor(F.col("pos") / block))
+    pieces = blank.groupBy(owner, "__run", "__blk").agg(joined("pos", "head").alias("head"), F.min("pos").alias("pos"))
+    runs = pieces.groupBy(owner, "__run").agg(joined("__blk", "head").alias("head"), F.min("pos").alias("pos"))
+    items = rows.filter("__full > 0").select(owner, "pos", "head", "text").unionByName(runs.select(owner, "pos", "head", F.lit("").alias("text")))
+    lists = items.groupBy(owner).agg(F.array_sort(F.collect_list(F.struct("pos", "head", "text"))).alias("items"))
     start = F.struct(F.lit(max_chars).cast("long").alias("left"), F.lit("").alias("out"))
 
     def step(acc: Column, item: Column) -> Column:
-        head = F.concat(
-            F.lit("## Material: "), F.coalesce(item["path"], F.lit("None")), F.lit(" ("), item["status"], F.lit(")")
-        )
         sep = F.when(acc["out"] == "", F.lit("")).otherwise(F.lit("\n\n"))
 
         def add(cut: Column) -> Column:
-            body = F.when(cut != "", F.concat(head, F.lit("\n"), cut)).otherwise(head)
+            body = F.when(cut != "", F.concat(item["head"], F.lit("\n"), cut)).otherwise(item["head"])
             return F.when(
                 acc["left"] > 0,
                 F.struct(

@@ -7,15 +7,14 @@ text once to its candidates.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.functions.expr import col, dedupe_casefold, has_text, id_part, strip
-from evalweave.functions.joins import join_sized
+from evalweave.functions.expr import col, dedupe_casefold, has_text, id_part, let, strip
 from evalweave.functions.patterns import CJK, EVIDENCE_PATTERNS, literals
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
@@ -27,41 +26,62 @@ PRIVATE_KEYS = ["supervision", "judge", "statistics"]
 PRIVATE_PREFIX = "private_"
 
 
-def _children(node: Column) -> Column:
-    """Object members and array items of a node ``(path, key, value)`` as nodes."""
-    members = F.map_entries(F.try_variant_get(node["value"], "$", "map<string,variant>"))
-    items = F.try_variant_get(node["value"], "$", "array<variant>")
-    none = F.array().cast("array<struct<path:string,key:string,value:variant>>")
-    as_members = F.transform(
-        members,
-        lambda e: F.struct(
-            F.concat(node["path"], F.lit("."), e["key"]).alias("path"),
-            e["key"].alias("key"),
-            e["value"].alias("value"),
-        ),
-    )
-    as_items = F.transform(
-        items,
-        lambda v, i: F.struct(
-            F.concat(node["path"], F.lit("["), i.cast("string"), F.lit("]")).alias("path"),
-            F.lit("").alias("key"),
-            v.alias("value"),
-        ),
-    )
-    return F.concat(F.coalesce(as_members, none), F.coalesce(as_items, none))
+# Tokens of a JSON text that decide where a value stands: strings, brackets, commas.
+_TOKEN = r'"(?:[^"\\]++|\\.)*+"|[\[{\]},]'
+
 
+def _paths(text: Column, private: Callable[[Column], Column]) -> Column:
+    """Paths of the private keys of a valid JSON text, by one fold over its tokens.
 
-def _nesting(text: Column) -> Column:
-    """Levels of brackets and braces in a JSON text, those inside strings left out."""
-    bare = F.regexp_replace(text, r'"(?:[^"\\]++|\\.)*+"', "")
-    signs = F.regexp_extract_all(bare, F.lit(r"[\[{\]}]"), F.lit(0))
+    The fold keeps the open objects and arrays with the path of the member or item it stands at, so
+    neither the plan nor the number of passes depends on how deep the text is nested.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(f"(?s){_TOKEN}"), F.lit(0))
+    level = "struct<array:boolean,at:int,path:string,here:string>"
+    start = F.struct(
+        F.array().cast(f"array<{level}>").alias("open"),
+        F.lit(False).alias("key"),  # whether a string would be a member's name
+        F.array().cast("array<string>").alias("found"),
+    )
 
-    def step(acc: Column, sign: Column) -> Column:
-        now = acc["now"] + F.when(sign.isin("[", "{"), 1).otherwise(-1)
-        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+    def step(acc: Column, token: Column) -> Column:
+        depth = F.size(acc["open"])
+        top = F.when(depth > 0, F.element_at(acc["open"], F.greatest(depth, F.lit(1))))
+        below = F.slice(acc["open"], 1, F.greatest(depth - 1, F.lit(0)))
+        item = lambda path, at: F.concat(path, F.lit("["), at.cast("string"), F.lit("]"))
+
+        def opened(array: bool) -> Column:
+            path = F.coalesce(top["here"], F.lit("$"))
+            new = F.struct(
+                F.lit(array).alias("array"), F.lit(0).alias("at"), path.alias("path"),
+                (item(path, F.lit(0)) if array else path).alias("here"),
+            )
+            return F.struct(F.concat(acc["open"], F.array(new)).alias("open"), F.lit(not array).alias("key"), acc["found"].alias("found"))
+
+        after = F.struct(
+            top["array"].alias("array"), (top["at"] + 1).alias("at"), top["path"].alias("path"),
+            F.when(top["array"], item(top["path"], top["at"] + 1)).otherwise(top["path"]).alias("here"),
+        )
+        comma = F.struct(F.concat(below, F.array(after)).alias("open"), (~top["array"]).alias("key"), acc["found"].alias("found"))
+        closed = F.struct(below.alias("open"), F.lit(False).alias("key"), acc["found"].alias("found"))
+
+        def named(name: Column) -> Column:
+            path = F.concat(top["path"], F.lit("."), name)
+            member = F.struct(top["array"].alias("array"), top["at"].alias("at"), top["path"].alias("path"), path.alias("here"))
+            found = F.when(private(name), F.concat(acc["found"], F.array(path))).otherwise(acc["found"])
+            return F.struct(F.concat(below, F.array(member)).alias("open"), F.lit(False).alias("key"), found.alias("found"))
+
+        name = F.try_variant_get(F.try_parse_json(token), "$", "string")
+        return (
+            F.when(token == "{", opened(False))
+            .when(token == "[", opened(True))
+            .when(token.isin("}", "]"), closed)
+            .when(token == ",", comma)
+            .when(acc["key"], let(name, named))
+            .otherwise(acc)
+        )
 
-    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-    return F.aggregate(signs, zero, step, lambda acc: acc["most"])
+    return F.aggregate(tokens, start, step, lambda acc: acc["found"])
 
 
 def private_key_paths(
@@ -71,31 +91,17 @@ def private_key_paths(
     *,
     private_keys: Sequence[str] = PRIVATE_KEYS,
     prefix: str = PRIVATE_PREFIX,
-    depth: int | None = None,
 ) -> DataFrame:
-    """One row per private key found in the JSON text ``payload``, with its path.
+    """One row per private key found in the JSON text ``payload``, with its path, at any depth.
 
-    All levels are walked; their number is measured by one aggregate over the brackets of the
-    payloads. Where ``depth`` is given, a document that is nested deeper gives a row with
-    ``path = '<deeper than N levels>'``, so nothing is passed over in silence.
+    Only texts that could hold such a key, plainly or behind an escape, are read token by token.
     """
-    if depth is None:
-        depth = max(1, df.agg(F.max(_nesting(F.coalesce(col(payload), F.lit("")))).alias("d")).first().d or 0)
-    root = F.struct(
-        F.lit("$").alias("path"), F.lit("").alias("key"), F.try_parse_json(col(payload)).alias("value")
-    )
-    frame = df.select(*keys, F.array(root).alias("__n0"))
-    levels = []
-    for i in range(1, depth + 1):
-        frame = frame.withColumn(f"__n{i}", F.flatten(F.transform(f"__n{i - 1}", _children)))
-        levels.append(f"__n{i}")
-    bad = lambda n: n["key"].isin(*private_keys) | n["key"].startswith(prefix)
-    paths = [F.transform(F.filter(F.col(c), bad), lambda n: n["path"]) for c in levels]
-    deeper = F.when(
-        F.exists(f"__n{depth}", lambda n: F.size(_children(n)) > 0),
-        F.array(F.lit(f"<deeper than {depth} levels>")),
-    ).otherwise(F.array().cast("array<string>"))
-    return frame.select(*keys, F.explode(F.concat(*paths, deeper)).alias("path"))
+    text = col(payload)
+    plain = [F.contains(text, F.lit(f'"{k}"')) for k in private_keys] + [F.contains(text, F.lit(f'"{prefix}'))]
+    suspect = reduce(or_, [*plain, F.contains(text, F.lit("\\u"))])
+    valid = df.filter(suspect & F.try_parse_json(text).isNotNull())
+    bad = lambda name: name.isin(*private_keys) | F.startswith(name, F.lit(prefix))
+    return valid.select(*keys, F.explode(_paths(text, bad)).alias("path"))
 
 
 # -- E7: literals ------------------------------------------------------------------------------
@@ -124,6 +130,35 @@ def _windows(body: Column, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(body, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
+# Bits of the filter of literal windows. With more windows it lets more through; results stay the same.
+FILTER_BITS = 1 << 23
+
+
+class WindowFilter:
+    """A Bloom filter of the rows of ``heads``, by a hash of ``columns``.
+
+    It is built by aggregation, 64 bits a row, into one array of ``bits`` / 64 numbers. ``words`` is that
+    array as a scalar subquery, to stand beside the scan as column ``__words``; called with a hash, the
+    filter says whether its row may be there. Each row sets two bits.
+    """
+
+    def __init__(self, heads: DataFrame, columns: Sequence[str], bits: int = FILTER_BITS):
+        self.bits = bits
+        at = heads.select(F.explode(F.array(*self._places(F.xxhash64(*columns)))).alias("at"))
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
+        none = heads.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("set"))
+        words = at.select(F.floor(F.col("at") / 64).cast("int").alias("word"), one.alias("set")).unionByName(none)
+        words = words.groupBy("word").agg(F.bit_or("set").alias("set"))  # all words, one row each
+        self.words = words.agg(F.array_sort(F.collect_list(F.struct("word", "set"))).alias("w")).select("w.set").scalar()
+
+    def _places(self, hashed: Column) -> list[Column]:
+        return [F.pmod(hashed, F.lit(self.bits)), F.pmod(F.shiftright(hashed, 24), F.lit(self.bits))]
+
+    def __call__(self, hashed: Column) -> Column:
+        bit = lambda p: F.getbit(F.get("__words", F.floor(p / 64).cast("int")), (p % 64).cast("int")) == 1
+        return reduce(and_, [bit(p) for p in self._places(hashed)])
+
+
 def literal_matches(
     texts: DataFrame,
     train: DataFrame,
@@ -137,7 +172,8 @@ def literal_matches(
     Comparing every literal with every text of a pack would emit all pairs of a hot pack. Instead
     each literal is keyed by one of its character windows (6 long, or 3 when it is shorter): the one
     that fewest literals of its pack hold, so that a common beginning such as a scheme or an id
-    prefix keys none of them. The windows of a text travel without it; texts are joined once, by
+    prefix keys none of them. A Bloom filter of these keys stands beside the scan of the texts, so
+    only windows that it holds become rows. They travel without the text; texts are joined once, by
     ``keys``, to the candidates that are left, and ``contains`` decides.
     """
     wide = [*dict.fromkeys([*keys, *by])]
@@ -146,9 +182,12 @@ def literal_matches(
     spread = held.groupBy(*by, "window").agg(F.count("*").alias("n"))
     rarest = held.join(spread, [*by, "window"]).groupBy(*by, "literal").agg(F.min(F.struct("n", "window")).alias("rarest"))
     heads = rarest.select(*by, "literal", F.col("rarest.window").alias("window"))
+    may_hold = WindowFilter(heads, [*by, "window"])
     body = F.coalesce(F.col(text), F.lit(""))
-    exploded = texts.select(*wide, F.explode(F.concat(_windows(body, _LONG), _windows(body, _SHORT))).alias("window"))
-    hits = join_sized(exploded, heads, [*by, "window"]).select(*wide, "literal").distinct().alias("h")
+    windows = F.concat(_windows(body, _LONG), _windows(body, _SHORT))
+    near = F.filter(windows, lambda w: may_hold(F.xxhash64(*[F.col(b) for b in by], w)))
+    exploded = texts.withColumn("__words", may_hold.words).select(*wide, F.explode(near).alias("window"))
+    hits = exploded.join(heads, [*by, "window"]).select(*wide, "literal").distinct().alias("h")
     bodies = texts.select(*wide, F.col(text).alias("__text")).alias("t")
     same = [F.col(f"t.{k}").eqNullSafe(F.col(f"h.{k}")) for k in wide]
     joined = bodies.join(hits, reduce(and_, [*same, F.contains("t.__text", "h.literal")]))
@@ -162,17 +201,18 @@ def literal_leakage(
     text: str = "haystack",
     keys: Sequence[str],
     by: Sequence[str] = ("pack_id",),
-    show: int = 50,
+    show: int | None = None,
 ) -> DataFrame:
-    """E7 report per text: candidate and match counts, the first matches, a flag.
+    """E7 report per text: candidate and match counts, the matches in order, a flag.
 
-    ``show`` only shortens the printed list; the count covers all matches.
+    ``show`` shortens the list to its first entries; the count covers all matches.
     """
     wide = [*dict.fromkeys([*keys, *by])]
     hits = literal_matches(texts, train, text=text, keys=keys, by=by)
+    listed = F.array_sort(F.collect_set("literal"))
     per_text = hits.groupBy(*wide).agg(
         F.count("*").alias("matched_literal_count"),
-        F.slice(F.array_sort(F.collect_set("literal")), 1, show).alias("matched_literals"),
+        (listed if show is None else F.slice(listed, 1, show)).alias("matched_literals"),
     )
     per_pack = train.groupBy(*by).agg(F.count("*").alias("candidate_literal_count"))
     out = texts.select(*wide).join(per_text, wide, "left").join(per_pack, list(by), "left")

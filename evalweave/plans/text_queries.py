@@ -221,7 +221,7 @@ def _(spark, sf):
     hit AS (SELECT m.pack_id, m.doc_id, l.literal FROM made m JOIN lit l ON l.pack_id = m.pack_id AND contains(m.haystack, l.literal))
     SELECT m.pack_id, m.doc_id, (SELECT count(*) FROM lit WHERE lit.pack_id = m.pack_id) AS candidate_literal_count,
       count(h.literal) AS matched_literal_count,
-      coalesce(array_to_string(list_sort(list(h.literal) FILTER (h.literal IS NOT NULL))[1:50], ' | '), '') AS matched_literals,
+      coalesce(array_to_string(list_sort(list(h.literal) FILTER (h.literal IS NOT NULL)), ' | '), '') AS matched_literals,
       count(h.literal) > 0 AS has_literal_leakage
     FROM made m LEFT JOIN hit h ON h.doc_id = m.doc_id GROUP BY ALL""")
 def _(spark, sf):

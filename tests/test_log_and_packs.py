@@ -186,5 +186,42 @@ def test_stream_state_equals_batch(spark, rows, tmp_path):
     cols = ("job_id", "prompt_sha256", "seq", "status")
     want = rows(G.latest_rows(full), *cols)
     assert rows(spark.table("latest_view"), *cols) == want
-    V.upsert_stream(V.read_log_stream(spark, str(tmp_path / "log"), full.schema, files_per_trigger=1), str(tmp_path / "view"), str(tmp_path / "c"), buckets=3).awaitTermination()
-    assert rows(V.current_view(spark, str(tmp_path / "view")), *cols) == want
+    V.upsert_stream(V.read_log_stream(spark, str(tmp_path / "log"), full.schema, files_per_trigger=1), str(tmp_path / "view"), str(tmp_path / "c"), bucket_keys=2).awaitTermination()
+    assert rows(V.current_view(spark, str(tmp_path / "view"), full.schema), *cols) == want
+
+
+def files_of(folder):
+    return {str(p) for p in folder.rglob("*.parquet")}
+
+
+def test_view_opens_and_keeps_current_files_only(spark, rows, tmp_path):
+    view, names = tmp_path / "view", ("job_id", "prompt_sha256", "seq", "status")
+    schema = "job_id string, prompt_sha256 string, seq long, status string"
+    want, sizes = {}, []
+    for batch in range(9):
+        data = [(f"j{(batch * 7 + i) % (20 + 12 * batch)}", "p", batch * 100 + i // 2, f"s{batch}.{i % 3}") for i in range(30)]
+        data += [data[0]] * 3  # repeated rows of one seq
+        df = spark.createDataFrame(data, schema)
+        for _ in range(1 + batch % 2):  # every other batch runs twice, as after a failure
+            V.merge_batch(df, batch, str(view), bucket_keys=16)
+        for j, p, seq, status in data:
+            want[j, p] = max(want.get((j, p), (-1, "")), (seq, status))
+        now = V.current_view(spark, str(view), df.schema)
+        assert rows(now, *names) == sorted((j, p, *v) for (j, p), v in want.items())
+        manifest, _ = V._manifest(spark, str(view), None)
+        opened = {f.removeprefix("file://") for f in now.inputFiles()}
+        assert len({(m.home, m.slot) for m in manifest}) >= len(opened) and opened <= files_of(view)
+        sizes.append((manifest[0].buckets, len(manifest), len(files_of(view))))
+    assert sizes[0][0] < sizes[-1][0] and all(buckets >= n for buckets, n, _ in sizes)
+    # Two versions of a bucket at most, and what two doublings have left behind, emptied.
+    full = [f for f in files_of(view) if spark.read.parquet(f).count()]
+    assert len(full) <= 2 * sizes[-1][1]
+
+
+def test_blank_materials_are_gathered_in_blocks(spark):
+    n = 1_000_000
+    blanks = spark.range(n).select(F.lit("o").alias("owner_id"), (F.col("id") + 1).alias("pos"), F.lit("b").alias("path"), F.lit("x").alias("status"), F.lit("  ").alias("text"))
+    ends = spark.createDataFrame([("o", 0, "first", "x", "abc"), ("o", n + 1, "last", "x", "defgh"), ("o", n + 2, "never", "x", "z")], blanks.schema)
+    context = P.material_context(blanks.unionByName(ends), max_chars=5).first().context
+    header = "## Material: b (x)\n\n"
+    assert context == "## Material: first (x)\nabc\n\n" + header * n + "## Material: last (x)\nde"

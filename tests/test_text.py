@@ -129,10 +129,28 @@ def test_evidence_keeps_first_spelling_and_reads_the_whole_text(spark, rows):
     assert not [v for k, _, v in got if k == "capitalised" and v == "ACME"]
 
 
-def test_private_keys_with_paths_and_overflow(spark, rows):
-    df = spark.createDataFrame([(1, '{"a":[{"judge":{"private_x":1}}],"b":2}'), (2, '{"a":{"b":{"c":{"d":1}}}}'), (3, "not json")], "id long, j string")
-    assert rows(T.private_key_paths(df, "j", ["id"], depth=4), "id", "path") == [(1, "$.a[0].judge"), (1, "$.a[0].judge.private_x")]
-    assert rows(T.private_key_paths(df, "j", ["id"], depth=3), "id", "path") == [(1, "$.a[0].judge"), (1, "<deeper than 3 levels>"), (2, "<deeper than 3 levels>")]
+def test_private_keys_with_paths(spark, rows):
+    texts = ['{"a":[{"judge":{"private_x":1}}],"b":2}', '{"a":{"b":{"c":{"d":1}}}}', "not json", '[1,[2,{"judge":[]}],{"k":"judge"},{"\\u006audge":"a,b]"}]', '{"judge":1', None, '"judge"', '{"x":["judge","statistics"],"private_":{},"judge":{"judge":[[],[{"statistics":0}]]}}']
+    df = spark.createDataFrame(list(enumerate(texts, 1)), "id long, j string")
+    want = [(1, "$.a[0].judge"), (1, "$.a[0].judge.private_x"), (4, "$[1][1].judge"), (4, "$[3].judge")]
+    want += [(8, "$.judge"), (8, "$.judge.judge"), (8, "$.judge.judge[1][0].statistics"), (8, "$.private_")]
+    assert rows(T.private_key_paths(df, "j", ["id"]), "id", "path") == want
+
+
+def test_private_keys_far_down_leave_the_plan_as_it_is(spark):
+    def nested(depth):
+        text = '{"judge":1}'
+        for i in range(depth):
+            text = '{"n":%s}' % text if i % 2 else "[0,%s]" % text
+        return spark.createDataFrame([(depth, text)], "id int, j string")
+
+    plans = []
+    for depth in (2, 200):
+        out = T.private_key_paths(nested(depth), "j", ["id"])
+        plans.append(len(out._jdf.queryExecution().optimizedPlan().toString()))
+        (found,) = out.collect()
+        assert found.path.endswith(".judge") and found.path.count("[1]") == depth // 2 and found.path.count(".n") == depth // 2
+    assert max(plans) - min(plans) < 100
 
 
 def test_token_pattern_is_the_published_one(spark):
@@ -158,7 +176,7 @@ def test_private_keys_at_any_depth(spark, rows):
     assert [r.path.endswith("rubric") for r in got] == [True]
 
 
-def test_depth_is_measured_past_escapes(spark, rows):
+def test_private_keys_past_escapes(spark, rows):
     cases = []
     for depth in range(4, 13):
         for k, escaped in enumerate([r"l1\nl2", r"say \"{\" or \"", "back\\\\", r"\\\" [{", r"{"]):
@@ -167,6 +185,26 @@ def test_depth_is_measured_past_escapes(spark, rows):
                 deep = '{"x%d":"%s","y":%s}' % (i, escaped, deep)
             cases.append((depth * 10 + k, deep))
     df = spark.createDataFrame(cases, "id int, j string")
-    assert {r.id // 10 == r.d for r in df.select("id", T._nesting(F.col("j")).alias("d")).collect()} == {True}
     want = [(i, "$" + ".y" * (i // 10 - 1) + ".judge") for i, _ in cases]
     assert rows(T.private_key_paths(df, "j", ["id"]), "id", "path") == sorted(want, key=lambda t: [(False, str(x)) for x in t])
+
+
+def test_literals_of_one_site_stay_linear(spark, rows):
+    """Ten thousand addresses with one beginning: only the windows of the filter become rows."""
+    urls = [f"https://site.example/a/very/long/path/{i:05d}" for i in range(10_000)]
+    train = spark.createDataFrame([("p", u) for u in urls], "pack_id string, literal string")
+    texts = spark.createDataFrame([(i, "p", f"see {urls[i]} and https://site.example/a/very/long/path/other" if i % 2 else "nothing " * 50) for i in range(40)], "id long, pack_id string, haystack string")
+    hits = T.literal_matches(texts, train, keys=["id"])
+    assert sorted((r.id, r.literal) for r in hits.collect()) == [(i, urls[i]) for i in range(1, 40, 2)]
+    may_hold = T.WindowFilter(train.select("pack_id", F.col("literal").alias("window")), ["pack_id", "window"])
+    probe = spark.createDataFrame([("p", u) for u in urls[:2000]] + [("p", f"other {i}") for i in range(20_000)], "pack_id string, window string")
+    kept = probe.withColumn("__words", may_hold.words).filter(may_hold(F.xxhash64("pack_id", "window"))).select("window").collect()
+    assert len([r for r in kept if r.window.startswith("https")]) == 2000 and len(kept) < 2200
+
+
+def test_matched_literals_are_listed_in_full(spark):
+    words = [f"literal-{i:03d}" for i in range(120)]
+    train = spark.createDataFrame([("p", w) for w in words], "pack_id string, literal string")
+    texts = spark.createDataFrame([(1, "p", " ".join(words))], "id long, pack_id string, haystack string")
+    assert T.literal_leakage(texts, train, keys=["id"]).first().matched_literals == words
+    assert T.literal_leakage(texts, train, keys=["id"], show=3).first().matched_literals == words[:3]
