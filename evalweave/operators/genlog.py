@@ -137,21 +137,31 @@ def latest_success_by_job(log: DataFrame) -> DataFrame:
     return latest_rows(log.filter(F.col("status") == "success"), keys=["job_id"])
 
 
-def match_outputs(wanted: DataFrame, log: DataFrame, columns: Sequence[str]) -> DataFrame:
+def match_outputs(wanted: DataFrame, log: DataFrame, columns: Sequence[str], late: Sequence[str] = ()) -> DataFrame:
     """Per wanted ``(job_id, prompt_sha256)`` the exact latest row, else the job's latest row.
 
-    ``columns`` are log columns; they arrive as the struct ``out`` (null when the job never ran).
+    ``columns`` are log columns; they arrive in the struct ``out`` (null when the job never ran), with
+    ``seq``, which identifies a log row. The winners are found from one grouping of these columns; the
+    wide columns named in ``late`` are fetched for the winners alone, by ``seq``.
     """
-    cols = list(dict.fromkeys([*columns, "prompt_sha256"]))
-    rows = log.filter(id_part("job_id") != "").withColumn("out", F.struct(*cols))
-    exact = latest_rows(rows).select(*KEY, F.col("out").alias("exact"))
-    any_prompt = latest_rows(rows, keys=["job_id"]).select("job_id", F.col("out").alias("fallback"))
-    return (
+    narrow = [c for c in dict.fromkeys([*columns, "prompt_sha256"]) if c != "seq"]
+    rows = log.filter(id_part("job_id") != "").select("job_id", F.col("prompt_sha256").alias("__prompt"), F.struct("seq", *narrow).alias("out"))
+    newest = rows.groupBy("job_id", "__prompt").agg(F.max_by("out", "out.seq").alias("out"))
+    exact = newest.filter(id_part("__prompt") != "").select("job_id", F.col("__prompt").alias("prompt_sha256"), F.col("out").alias("exact"))
+    any_prompt = newest.groupBy("job_id").agg(F.max_by("out", "out.seq").alias("fallback"))
+    found = (
         wanted.join(exact, KEY, "left")
         .join(any_prompt, "job_id", "left")
         .withColumn("out", F.coalesce("exact", "fallback"))
         .drop("exact", "fallback")
     )
+    if not late:
+        return found
+    texts = log.select(F.col("seq").alias("__seq"), F.struct(*late).alias("__late"))
+    fetched = found.withColumn("__seq", F.col("out.seq")).join(texts, "__seq", "left")
+    added = [F.col("__late")[c].alias(c) for c in late]
+    out = F.when(F.col("out").isNotNull(), F.struct("out.*", *added))
+    return fetched.withColumn("out", out).drop("__seq", "__late")
 
 
 def freeze_outcomes(
@@ -165,7 +175,8 @@ def freeze_outcomes(
     found = match_outputs(
         examples.filter(id_part("job_id") != ""),
         log,
-        ["finish_reason", "desired_output", "prompt_template_version", "model"],
+        ["finish_reason", "prompt_template_version", "model"],
+        late=["desired_output"],
     )
     out = F.col("out")
     expects = lambda c: id_part(c) != ""

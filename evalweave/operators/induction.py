@@ -87,7 +87,7 @@ EVIDENCE_KEYS = ["supporting_example_ids", "supported_examples", "evidence_examp
 
 def spaced_json(compact: Column) -> Column:
     """Compact JSON with a blank after every ``,`` and ``:`` that is outside a string."""
-    parts = F.regexp_extract_all(compact, F.lit(r'"(?:[^"\\]|\\.)*"|[^"]+'), F.lit(0))
+    parts = F.regexp_extract_all(compact, F.lit(r'"(?:[^"\\]++|\\.)*+"|[^"]++'), F.lit(0))
     spread = lambda p: F.when(p.startswith('"'), p).otherwise(
         F.replace(F.replace(p, F.lit(","), F.lit(", ")), F.lit(":"), F.lit(": "))
     )

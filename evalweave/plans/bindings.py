@@ -68,6 +68,26 @@ def doc_text_by(spark: SparkSession, sf: str, rows: DataFrame, key: str) -> Data
     return rows.withColumn("__doc", F.col(key) % F.lit(n)).join(docs, "__doc", "left").drop("__doc")
 
 
+# Phrases that are planted into every ninth text, in turn: one for each leak pattern, and near misses.
+PLANTED = [
+    "a Benchmark Training Example", "PRIVATE SUPERVISION", "the construction prompt", "benchmark rubric", "judge metadata", "rubric criteria",
+    "hidden rubric", "Hidden Checklist", "grading criteria", "private  checklist", "criteria grading", "checklist groups", "teacher critique",
+    "heldout feedback", "evaluation metadata", "benchmark 评分标准", "隐藏的评分标准", "内部用评分标准", "评审提示", "隐藏 checklist", "BAILIAN_API_KEY=x",
+    "openai_api_key", "hidden rubrics", "private supervisions", "a rubric, private", "评分标准", "judge meta data", "benchmarks rubric",
+]
+
+
+def planted(text: Column, n: Column) -> Column:
+    """Where ``n`` is a multiple of nine, the text with one of the phrases behind it."""
+    phrase = F.element_at(F.array(*[F.lit(p) for p in PLANTED]), (F.floor(n / 9) % len(PLANTED) + 1).cast("int"))
+    return F.when(n % 9 == 0, F.concat(text, F.lit(" "), phrase, F.lit("."))).otherwise(text)
+
+
+def planted_sql(text: str, n: str) -> str:
+    phrases = ", ".join(f"'{p}'" for p in PLANTED)
+    return f"CASE WHEN {n} % 9 = 0 THEN {text} || ' ' || ([{phrases}])[CAST({n} // 9 % {len(PLANTED)} + 1 AS BIGINT)] || '.' ELSE {text} END"
+
+
 def generation_log(spark: SparkSession, sf: str, *, with_text: bool = False) -> DataFrame:
     k = _k()
     status = (
@@ -92,7 +112,7 @@ def generation_log(spark: SparkSession, sf: str, *, with_text: bool = False) ->
         return rows
     out = doc_text_by(spark, sf, rows, "seq")
     return out.withColumn(
-        "desired_output", F.when(F.col("status") == "success", F.col("doc_text"))
+        "desired_output", F.when(F.col("status") == "success", planted(F.col("doc_text"), F.col("seq")))
     ).drop("doc_text")
 
 

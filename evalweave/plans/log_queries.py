@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evalweave.functions.patterns import PRIVATE_LEAK_PATTERNS
 from evalweave.operators import genlog as G
 from evalweave.plans import bindings as B
 from evalweave.plans.oracle_tables import with_tables
@@ -13,12 +14,9 @@ from evalweave.streaming.log_view import latest_view
 QUERIES = {}
 ORACLE = {}
 
-# The driver texts hold mail addresses and licence words, which stand in for private phrases.
-LEAKS = [r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", r"\b(license|licensed|copyright)\b"]
-LEAK_SQL = (
-    r"regexp_matches({t}, '(?i)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}\b')",
-    r"regexp_matches({t}, '(?i)\b(license|licensed|copyright)\b')",
-)
+def leak_sql(text: str) -> list[str]:
+    """Whether each leak pattern is found."""
+    return [f"regexp_matches({text}, '(?i){p}')" for p in PRIVATE_LEAK_PATTERNS]
 
 
 def query(name, sql=None):
@@ -80,22 +78,21 @@ def _(spark, sf):
     ).select("job_id", "prompt_sha256", "seq")
 
 
-@query("D4_response_status", with_tables("generation_text job", f""",
-    r AS (SELECT g.*, CASE WHEN seq % 23 = 0 THEN 'timeout' END AS error, d.text
+@query("D4_response_status", with_tables("generation_log job", f""",
+    r AS (SELECT g.*, CASE WHEN seq % 23 = 0 THEN 'timeout' END AS error, {B.planted_sql("d.text", "g.seq")} AS text
       FROM generation_log g LEFT JOIN documents d ON d.doc_id = g.seq % (SELECT count(*) FROM documents)),
-    h AS (SELECT *, {LEAK_SQL[0].format(t='text')} AS h1, {LEAK_SQL[1].format(t='text')} AS h2 FROM r)
+    h AS (SELECT *, {" + ".join(f"CAST({x} AS BIGINT)" for x in leak_sql("text"))} AS n_hits FROM r)
     SELECT job_id, prompt_sha256, seq,
-      CASE WHEN error IS NOT NULL THEN 'error' WHEN h1 OR h2 THEN 'rejected_private_leak'
-        WHEN finish_reason <> 'stop' THEN 'rejected_incomplete_generation' ELSE 'success' END AS status,
-      CAST(h1 AS INT) + CAST(h2 AS INT) AS n_hits
-    FROM h SEMI JOIN job USING (job_id, prompt_sha256)""".replace("CAST(h1 AS INT) + CAST(h2 AS INT)", "CAST(CAST(h1 AS INT) + CAST(h2 AS INT) AS BIGINT)")))
+      CASE WHEN error IS NOT NULL THEN 'error' WHEN n_hits > 0 THEN 'rejected_private_leak'
+        WHEN finish_reason <> 'stop' THEN 'rejected_incomplete_generation' ELSE 'success' END AS status, n_hits
+    FROM h SEMI JOIN job USING (job_id, prompt_sha256)"""))
 def _(spark, sf):
     log = B.doc_text_by(spark, sf, B.generation_log(spark, sf), "seq")
     responses = log.select(
-        *G.KEY, "seq", "finish_reason", F.col("doc_text").alias("text"),
+        *G.KEY, "seq", "finish_reason", B.planted(F.col("doc_text"), F.col("seq")).alias("text"),
         F.when(F.col("seq") % 23 == 0, "timeout").alias("error"),
     )
-    out = G.classify_responses(B.job(spark, sf), responses, patterns=LEAKS)
+    out = G.classify_responses(B.job(spark, sf), responses)
     return out.select(*G.KEY, "seq", "status", F.size("leak_matches").cast("bigint").alias("n_hits"))
 
 
@@ -180,8 +177,7 @@ _OUTCOME = f""",
         WHEN desired_output IS NULL OR trim(desired_output) = '' THEN 'empty_or_non_string_desired_output'
         WHEN out_sha <> prompt_sha256 THEN 'prompt_sha256_mismatch'
         WHEN ptv <> 'v1' THEN 'prompt_template_version_mismatch'
-        WHEN {LEAK_SQL[0].format(t='desired_output')} OR {LEAK_SQL[1].format(t='desired_output')}
-          THEN 'private_leak_matches'
+        WHEN {" OR ".join(leak_sql("desired_output"))} THEN 'private_leak_matches'
         ELSE 'applied' END AS outcome FROM m)"""
 
 
@@ -189,7 +185,7 @@ def _frozen(spark, sf):
     examples = _wanted(spark, sf).select(
         "pack_id", "example_id", "job_id", "prompt_sha256", F.lit("v1").alias("prompt_template_version")
     )
-    return G.freeze_outcomes(examples, B.generation_log(spark, sf, with_text=True), patterns=LEAKS)
+    return G.freeze_outcomes(examples, B.generation_log(spark, sf, with_text=True))
 
 
 @query("D9_freeze_outcomes", with_tables("job generation_text", _WANTED + _OUTCOME + """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from evalweave.plans.bindings import planted_sql
+
 K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
 
 TABLES: dict[str, tuple[tuple[str, ...], str]] = {
@@ -34,8 +36,8 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
           'model' || CAST({K} % 3 AS VARCHAR) AS model,
           ts AS finished_at
         FROM events"""),
-    "generation_text": (("generation_log",), """
-        SELECT g.*, CASE WHEN g.status = 'success' THEN d.text END AS desired_output
+    "generation_text": (("generation_log",), f"""
+        SELECT g.*, CASE WHEN g.status = 'success' THEN {planted_sql("d.text", "g.seq")} END AS desired_output
         FROM generation_log g
         LEFT JOIN documents d ON d.doc_id = g.seq % (SELECT count(*) FROM documents)"""),
     "job": ((), """

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evalweave.functions.patterns import pattern_hits, text_content_grams
+from evalweave.functions.patterns import PRIVATE_LEAK_PATTERNS, pattern_hits, text_content_grams
 from evalweave.operators import contamination as C
 from evalweave.operators import responses as R
 from evalweave.operators import text as T
 from evalweave.plans import bindings as B
-from evalweave.plans.log_queries import LEAK_SQL, LEAKS
+from evalweave.plans.log_queries import leak_sql
 from evalweave.plans.shape import tidy
 
 QUERIES = {}
@@ -26,14 +26,17 @@ def query(name, sql=None):
     return register
 
 
+_NAMED = ", ".join(f"CASE WHEN {found} THEN 'p{i}' END" for i, found in enumerate(leak_sql("t")))
+
+
 @query("E1_private_leaks", f"""
-    SELECT doc_id, concat_ws(' && ', CASE WHEN {LEAK_SQL[0].format(t='text')} THEN 'p0' END,
-      CASE WHEN {LEAK_SQL[1].format(t='text')} THEN 'p1' END) AS hits
-    FROM documents WHERE {LEAK_SQL[0].format(t='text')} OR {LEAK_SQL[1].format(t='text')}""")
+    SELECT * FROM (SELECT doc_id, concat_ws(' && ', {_NAMED}) AS hits
+      FROM (SELECT doc_id, {B.planted_sql("text", "doc_id")} AS t FROM documents)) WHERE hits <> ''""")
 def _(spark, sf):
-    docs = B.wide_table(spark, sf, "documents").withColumn("found", pattern_hits(F.col("text"), LEAKS))
-    named = F.transform("found", lambda p: F.when(p == F.lit(LEAKS[0]), "p0").otherwise("p1"))
-    return docs.filter(F.size("found") > 0).select("doc_id", F.array_join(named, " && ").alias("hits"))
+    text = B.planted(F.col("text"), F.col("doc_id"))
+    docs = B.wide_table(spark, sf, "documents").select("doc_id", pattern_hits(text).alias("found"))
+    names = F.create_map(*[F.lit(x) for i, p in enumerate(PRIVATE_LEAK_PATTERNS) for x in (p, f"p{i}")])
+    return docs.filter(F.size("found") > 0).select("doc_id", F.array_join(F.transform("found", lambda p: names[p]), " && ").alias("hits"))
 
 
 _PAYLOAD = """'{"id":' || event_id || ',"note":{"judge_hint":1,"items":[{"k":1},{"private_k":' || props || '}]},"' ||

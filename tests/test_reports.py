@@ -286,3 +286,11 @@ def test_repeated_private_rows_do_not_multiply_worklists(spark, rows):
     private = spark.createDataFrame([("p", "e", 0), ("p", "e", 2), ("p", "e", 1)], "pack_id string, task_ref string, n_criteria int")
     got = L.audit_worklist(examples, private, scored_sources={"s": "missing"})
     assert rows(got, "example_id", "n_criteria", "state") == [("e", 2, "job")]
+
+
+def test_lesson_from_an_object_with_a_long_string(spark):
+    from evalweave.operators.induction import spaced_json
+
+    long = "x" * 100_000 + r"\n,:\"" * 30_000
+    df = spark.createDataFrame([('{"a":"%s","b":[1,2]}' % long,)], "t string")
+    assert df.select(spaced_json(F.col("t")).alias("s")).first().s == '{"a": "%s", "b": [1, 2]}' % long

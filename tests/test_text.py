@@ -208,3 +208,16 @@ def test_matched_literals_are_listed_in_full(spark):
     texts = spark.createDataFrame([(1, "p", " ".join(words))], "id long, pack_id string, haystack string")
     assert T.literal_leakage(texts, train, keys=["id"]).first().matched_literals == words
     assert T.literal_leakage(texts, train, keys=["id"], show=3).first().matched_literals == words[:3]
+
+
+def test_each_leak_pattern_has_its_phrase(spark):
+    from evalweave.functions.patterns import PRIVATE_LEAK_PATTERNS, pattern_hits
+    from evalweave.plans.bindings import PLANTED
+
+    odd = ["RUBRİC crıterıa", "CHECKLIſT grading", "hidden\n评分标准", "Hidden Rubric"]
+    df = spark.createDataFrame(list(enumerate([*PLANTED, *odd])), "i int, t string")
+    # A list that is not the fixed one takes the way of the single alternation.
+    got = df.select("i", pattern_hits(F.col("t")).alias("h"), pattern_hits(F.col("t"), [*PRIVATE_LEAK_PATTERNS, "never^"]).alias("w")).orderBy("i").collect()
+    assert all(r.h == r.w for r in got)
+    assert set().union(*(r.h for r in got)) == set(PRIVATE_LEAK_PATTERNS)
+    assert not any(r.h for r in got[len(PLANTED) - 6 : len(PLANTED)])
