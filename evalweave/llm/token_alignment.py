@@ -32,6 +32,8 @@ from evalweave.llm.tokens import SIGNS, encoder, slices
 CHUNK_BYTES = 4 << 20
 # Text bytes that are aligned at once.
 ALIGN_BYTES = 1 << 19
+# Behind a token: another of its side follows, the last of A's, the last of the group.
+SEPARATORS = [",", "|", ";"]
 # An id pair is one number: A's id times this, plus B's id.
 PAIR_BASE = 1 << 20
 
@@ -60,7 +62,8 @@ class TokenPair:
         self.b = sentencepiece.SentencePieceProcessor(model_file=b)
         self.a_bytes, self.b_bytes = byte_level_bytes(self.a.tokenizer), piece_bytes(self.b)
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
-        self.digits = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        # Each id in decimal with each separator behind it, those of B behind those of A.
+        self.shown = np.array([f"{i}{s}" for n in (len(self.a_bytes), len(self.b_bytes)) for i in range(n) for s in SEPARATORS], object)
 
 
 _PAIRS: dict[tuple[str, str], TokenPair] = {}
@@ -82,20 +85,20 @@ def diagonal_groups(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], li
     stops_b: list[int] = []
     i = j = 0
     while i < n:
-        # Probe ahead at the shift j - i, in doubling steps and then in halving ones.
-        x, y, step = i, j, 1
-        while x + step <= n and y + step <= m and ends_a[x : x + step] == ends_b[y : y + step]:
-            x, y, step = x + step, y + step, 2 * step
-        while step > 1:
-            step //= 2
-            if x + step <= n and y + step <= m and ends_a[x : x + step] == ends_b[y : y + step]:
-                x, y = x + step, y + step
-        if x > i:
+        if ends_a[i] == ends_b[j]:
+            # Probe ahead at the shift j - i, in doubling steps and then in halving ones.
+            x, y, step = i + 1, j + 1, 2
+            while x + step <= n and y + step <= m and ends_a[x : x + step] == ends_b[y : y + step]:
+                x, y, step = x + step, y + step, 2 * step
+            while step > 1:
+                step //= 2
+                if x + step <= n and y + step <= m and ends_a[x : x + step] == ends_b[y : y + step]:
+                    x, y = x + step, y + step
             stops_a.extend(range(i + 1, x + 1))
             stops_b.extend(range(j + 1, y + 1))
-        i, j = x, y
-        if i == n:
-            break
+            i, j = x, y
+            if i == n:
+                break
         # An irregular group: on to the next common end.
         a, b = ends_a[i], ends_b[j]
         while a != b:
@@ -113,10 +116,24 @@ def diagonal_groups(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], li
 
 def _links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of A and B of all pairs that overlap: one pair behind each end of either side."""
-    ends = np.unique(np.concatenate([ends_a, ends_b]))
+    at = np.searchsorted(ends_a, ends_b)
+    ends = np.sort(np.concatenate([ends_a, ends_b[ends_a[at] != ends_b]]), kind="stable")
     return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
 
 
+def _group_texts(pair: TokenPair, a_ids: np.ndarray, b_ids: np.ndarray, stops_a: np.ndarray, stops_b: np.ndarray) -> list[str]:
+    """All tokens in the order of the groups' text, each with the separator behind it."""
+    size_a, size_b = np.diff(stops_a, prepend=0), np.diff(stops_b, prepend=0)
+    codes = np.empty(len(a_ids) + len(b_ids), np.int64)
+    behind = np.zeros(len(a_ids), np.int64)
+    behind[stops_a - 1] = 1
+    codes[np.arange(len(a_ids)) + np.repeat(stops_b - size_b, size_a)] = a_ids * len(SEPARATORS) + behind
+    behind = np.zeros(len(b_ids), np.int64)
+    behind[stops_b - 1] = 2
+    codes[np.arange(len(b_ids)) + np.repeat(stops_a, size_b)] = (b_ids + len(pair.a_bytes)) * len(SEPARATORS) + behind
+    return pair.shown[codes].tolist()
+
+
 def align_texts(pair: TokenPair, texts: pa.Array) -> dict:
     """Per text ``n_a, n_b, n_groups, n_links, hashes`` (of the groups' text), and per link the id pair, text by text."""
     column = pc.fill_null(texts, "")
@@ -136,24 +153,16 @@ def align_texts(pair: TokenPair, texts: pa.Array) -> dict:
     a_ids, b_ids = np.concatenate(a_parts).astype(np.int64), np.concatenate(b_parts)
     # Ends run on over all texts, whose own ends are common ends.
     ends_a, ends_b = np.cumsum(pair.a_sizes[a_ids]), np.cumsum(pair.b_sizes[b_ids])
-    stops_a, stops_b = diagonal_groups(ends_a.tolist(), ends_b.tolist())
-    digits = pair.digits.__getitem__
-    a_text, b_text = list(map(digits, a_ids.tolist())), list(map(digits, b_ids.tolist()))
-    groups, x, y = [], 0, 0
-    for p, q in zip(stops_a, stops_b):
-        if p - x == 1 and q - y == 1:
-            groups.append(a_text[x] + "|" + b_text[y])
-        else:
-            groups.append(",".join(a_text[x:p]) + "|" + ",".join(b_text[y:q]))
-        x, y = p, q
-    at = np.concatenate([[0], np.searchsorted(np.array(stops_a, np.int64), np.cumsum(n_a), "right")])
-    left, right = _links(ends_a, ends_b)
+    stops_a, stops_b = (np.array(x, np.int64) for x in diagonal_groups(ends_a.tolist(), ends_b.tolist()))
+    shown = _group_texts(pair, a_ids, b_ids, stops_a, stops_b)
+    tokens = [0, *np.cumsum(n_a + n_b).tolist()]
+    left, right = _links(ends_a, ends_b) if len(a_ids) else (stops_a, stops_b)
     return {
         "n_a": n_a,
         "n_b": n_b,
-        "n_groups": np.diff(at),
-        "n_links": np.diff(np.searchsorted(left, np.concatenate([[0], np.cumsum(n_a)]))),
-        "hashes": [hashlib.sha256(";".join(groups[s:e]).encode()).hexdigest() if e > s else "" for s, e in zip(at[:-1].tolist(), at[1:].tolist())],
+        "n_groups": np.diff(np.searchsorted(stops_a, np.cumsum(n_a), "right"), prepend=0),
+        "n_links": np.diff(np.searchsorted(left, np.cumsum(n_a)), prepend=0),
+        "hashes": [hashlib.sha256("".join(shown[s:e])[:-1].encode()).hexdigest() if e > s else "" for s, e in zip(tokens, tokens[1:])],
         "pairs": a_ids[left] * PAIR_BASE + b_ids[right],
     }
 

@@ -1,21 +1,20 @@
 """Phrase overlap between train examples and heldout outputs.
 
-Sizes at scale: candidate texts are the big side. Their n-grams are exploded next to the scan and
-meet the train n-grams in a hash join; when the distinct train n-grams are measured to be small
-they are broadcast and the exploded side is never shuffled. Otherwise both sides shuffle on
-``(pack, gram)``, which spreads a hot pack over its grams.
+Sizes at scale: candidate texts are the big side. A Bloom filter of the train n-grams stands beside
+their scan, so only n-grams that may be in a train text become rows. These are counted and meet the
+train n-grams by ``(pack, gram)``, which spreads a hot pack over its grams.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evalweave.functions.expr import id_part
-from evalweave.functions.joins import join_sized
+from evalweave.functions.bloom import KeyFilter
+from evalweave.functions.expr import count_where, id_part, let
 from evalweave.functions.patterns import content_grams, text_content_grams, tokens
 from evalweave.functions.scan import DEFAULT_BLOCK, blocked_scan
 
@@ -87,40 +86,48 @@ def contamination_rows(
     train = chunk_grams(train_chunks, ["pack_id"], n)
     heldout = chunk_grams(heldout_chunks, ["pack_id", "task_id"], n)
     packs = train_chunks.select("pack_id").distinct()
-    known = join_sized(cells, packs, ["pack_id"], "left_semi")
+    may_hold = KeyFilter(train, ["pack_id", "gram"])
 
-    every = text_content_grams(F.col("text"), n)
-    exploded = known.select("seq", "pack_id", "task_id", F.explode(every).alias("gram"))
-    shared = (
-        join_sized(exploded, train, ["pack_id", "gram"], "left_semi")
-        .groupBy("seq", "pack_id", "task_id", "gram")
+    def counted(grams: Column) -> Column:
+        """Number of distinct grams, and those that a filter of the train grams lets through.
+
+        A text without any gets a stand-in of its own, which no train text holds.
+        """
+        near = F.filter(grams, lambda g: may_hold(F.xxhash64(F.col("pack_id"), g)))
+        none = F.array(F.concat(F.lit("\x00"), F.col("seq").cast("string")))
+        return F.struct(
+            F.size(F.array_distinct(grams)).cast("long").alias("n"), F.when(F.size(near) > 0, near).otherwise(none).alias("near")
+        )
+
+    known = cells.join(packs, "pack_id", "left_semi").withColumn("__words", may_hold.words)
+    scanned = known.select(*CELL, "seq", let(text_content_grams(F.col("text"), n), counted).alias("g"))
+    keys = [*CELL, "seq", "candidate_grams"]
+    found = (
+        scanned.select(*CELL, "seq", F.col("g.n").alias("candidate_grams"), F.explode("g.near").alias("gram"))
+        .groupBy(*keys, "gram")
         .agg(F.count("*").alias("candidate_count"))
+        .join(train.withColumn("in_train", F.lit(True)), ["pack_id", "gram"], "left")
+        .join(heldout.withColumn("in_heldout", F.lit(True)), ["pack_id", "task_id", "gram"], "left")
     )
-    matches = shared.join(heldout, ["pack_id", "task_id", "gram"], "left_anti")
+    bad = F.col("in_train").isNotNull() & F.col("in_heldout").isNull()
+    matches = found.filter(bad).select("seq", "pack_id", "task_id", "gram", "candidate_count")
 
-    sizes = known.select(
-        *CELL, "seq", F.size(F.array_distinct(every)).cast("long").alias("candidate_grams")
-    )
-    # One narrow row per candidate with a match, read twice below.
-    suspicious = matches.groupBy("seq").agg(F.count("*").alias("suspicious")).persist()
     train_n = train.groupBy("pack_id").agg(F.count("*").alias("train_grams"))
     heldout_n = heldout.groupBy("pack_id", "task_id").agg(F.count("*").alias("heldout_grams"))
+    per_row = found.groupBy(*keys).agg(count_where(bad).alias("suspicious"))
     rows = (
-        sizes.join(suspicious, "seq", "left")
-        .join(train_n, "pack_id", "left")
+        per_row.join(train_n, "pack_id", "left")
         .join(heldout_n, ["pack_id", "task_id"], "left")
-        .na.fill(0, ["suspicious", "train_grams", "heldout_grams"])
+        .na.fill(0, ["train_grams", "heldout_grams"])
         .withColumn(
             "suspicious_rate",
             F.coalesce(F.try_divide(F.col("suspicious").cast("double"), F.col("candidate_grams").cast("double")), F.lit(0.0)),
         )
     )
     base = (
-        known.filter(F.col("mode") == baseline_mode)
-        .select("pack_id", "task_id", "seq")
-        .join(suspicious, "seq", "left")
+        per_row.filter(F.col("mode") == baseline_mode)
         .groupBy("pack_id", "task_id")
-        .agg(F.max_by(F.coalesce("suspicious", F.lit(0)), "seq").alias("baseline_suspicious"))
+        .agg(F.max_by("suspicious", "seq").alias("baseline_suspicious"))
     )
     rows = rows.join(base, ["pack_id", "task_id"], "left").withColumn(
         "excess", F.col("suspicious") - F.col("baseline_suspicious")
@@ -128,10 +135,12 @@ def contamination_rows(
     return rows, matches
 
 
-def top_matches(matches: DataFrame, *, top_k: int = 20) -> DataFrame:
-    """The most frequent suspicious phrases of each candidate, ties by text."""
+def top_matches(matches: DataFrame, *, top_k: int | None = None) -> DataFrame:
+    """The suspicious phrases of each candidate, most frequent first, ties by text; ``top_k`` of them if given."""
     order = W.partitionBy("seq").orderBy(F.desc("candidate_count"), F.asc("gram"))
-    ranked = matches.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
+    ranked = matches.withColumn("rank", F.row_number().over(order))
+    if top_k is not None:
+        ranked = ranked.filter(F.col("rank") <= top_k)
     return ranked.select("seq", "rank", F.col("gram").alias("phrase"), "candidate_count")
 
 

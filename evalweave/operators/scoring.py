@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalweave.functions.expr import count_where, id_part, is_finite, label, lit_list, ratio
-from evalweave.functions.joins import sized
+from evalweave.operators.tokens import token_usage
 
 CELL = ["pack_id", "task_id", "mode"]
 SUCCESS = "success"
@@ -339,14 +339,26 @@ def paired_deltas(
 
 
 def missing_pairs(
-    rows: DataFrame, *, baseline_mode: str, expected: DataFrame, by: Sequence[str] = ()
+    rows: DataFrame, *, baseline_mode: str, expected: DataFrame | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
-    """expected pairs that lack a score on either side, with both sides' statuses."""
+    """pairs that lack a score on either side, with both sides' statuses.
+
+    With an expected matrix its pairs are looked at; without one, every task that has any score is a
+    pair task of every mode that has any.
+    """
     keys = [*by, "pack_id", "task_id"]
     pairs = paired_cells(rows, baseline_mode=baseline_mode, expected=expected, by=by)
-    gaps = pairs.filter(
-        F.col("is_pair") & (F.col("mode") != baseline_mode) & F.col("delta").isNull()
-    ).select(*keys, "mode")
+    other = F.col("mode") != baseline_mode
+    if expected is not None:
+        gaps = pairs.filter(F.col("is_pair") & other & F.col("delta").isNull()).select(*keys, "mode")
+    else:
+        scored = F.col("mode_score").isNotNull()
+        modes = F.array_sort(F.collect_set(F.when(other, F.col("mode")))).alias("modes")
+        tasks = pairs.filter(scored).select(*keys).distinct()
+        found = pairs.filter(scored).groupBy(*by).agg(modes)  # one row per group of ``by``
+        spread = tasks.join(found, list(by)) if by else tasks.withColumn("modes", found.scalar())
+        whole = pairs.filter(F.col("delta").isNotNull()).select(*keys, "mode")
+        gaps = spread.select(*keys, F.explode("modes").alias("mode")).join(whole, [*keys, "mode"], "left_anti")
     states = cell_statuses(rows, by=by)
     base = states.filter(F.col("mode") == baseline_mode).select(
         *keys, F.col("statuses").alias("baseline_statuses")
@@ -420,15 +432,12 @@ def numeric_summary(values: DataFrame, value: str, *, by: Sequence[str]) -> Data
     """
     by = list(by)
     v = F.col("__v")
-    # Three passes read the values, which may be costly to make: kept (on disk if need be) as
-    # group and number only.
-    rows = values.select(*by, F.col(value).cast("double").alias("__v")).persist()
+    rows = values.select(*by, F.col(value).cast("double").alias("__v"))
     # The sketch's rank error is n / 100,000, well inside the margin of n / 1,000.
     stats = rows.groupBy(*by).agg(
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"),
         F.percentile_approx(v, [0.499, 0.501], 100_000).alias("q"),
     )
-    stats = sized(stats)
     span = stats.select(*by, "n", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     block = F.least(F.lit(_BLOCKS - 1), F.floor(F.coalesce(F.try_divide(v - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * _BLOCKS))
     zone = F.when(v < F.col("lo"), -1).otherwise(block.cast("int"))
@@ -463,10 +472,66 @@ def expected_for_groups(expected: DataFrame, groups: DataFrame, sources: Sequenc
     return wide.join(expected, "source").drop("source").distinct()
 
 
+GROUP = ["score_bucket", "evaluator_kind", "judge_model"]
+
+
+def score_rollup(rows: DataFrame) -> DataFrame:
+    """rows, successes and scores per mode at three levels, from one shuffle.
+
+    ``rows`` carry ``path`` and the ``GROUP`` columns. ``level`` is ``file`` (path), ``evaluator`` (path and
+    evaluator) or ``group`` (bucket, evaluator and judge over all files); columns that a level leaves
+    out are null. Partial counts per finest key come first, so no level sees the rows again.
+    """
+    finest = ["path", *GROUP, "mode"]
+    good = F.coalesce(F.col("status") == SUCCESS, F.lit(False))
+    score = F.when(good & is_finite("overall_score"), F.col("overall_score"))
+    base = normalise_cells(rows).groupBy(*finest).agg(
+        F.count("*").alias("rows"), count_where(good).alias("successes"), F.count(score).alias("scored"), F.sum(score).alias("total")
+    )
+    levels = {"file": ["path", "mode"], "evaluator": ["path", "evaluator_kind", "mode"], "group": [*GROUP, "mode"]}
+    out = base.groupingSets([[F.col(c) for c in cols] for cols in levels.values()], *[F.col(c) for c in finest]).agg(
+        *[F.sum(c).alias(c) for c in ("rows", "successes", "scored", "total")],
+        F.grouping("path").alias("no_path"), F.grouping("evaluator_kind").alias("no_kind"),
+    )
+    level = F.when(F.col("no_path") == 1, "group").when(F.col("no_kind") == 1, "file").otherwise("evaluator")
+    return out.select(level.alias("level"), *finest, "rows", "successes", "scored", F.try_divide("total", "scored").alias("mean_score"))
+
+
+def group_report(rows: DataFrame, *, baseline_mode: str, expected: DataFrame | None = None) -> dict[str, DataFrame]:
+    """reports over groups of (bucket, evaluator, judge) that span result files.
+
+    ``rows`` carry ``path`` and the ``GROUP`` columns; ``expected`` carries these and the cells, the
+    matrix of each group (``expected_for_groups``). ``groups`` has one row per group with its files
+    and rows; ``duplicates`` are cells that a group holds more than once, which forbid its report
+    (hand them to ``fail_if_any``).
+    """
+    rows = rows.withColumns({c: label(c) for c in GROUP})
+    deltas = paired_deltas(rows, baseline_mode=baseline_mode, expected=expected, by=GROUP)
+    out = {
+        # Counted per file first: the list holds file names, not rows.
+        "groups": rows.groupBy(*GROUP, "path").agg(F.count("*").alias("n")).groupBy(*GROUP).agg(
+            F.array_sort(F.collect_list("path")).alias("paths"), F.sum("n").alias("row_count")
+        ),
+        "duplicates": duplicate_cells(rows, by=GROUP),
+        "mode_scores": mode_scores(rows, by=GROUP),
+        "paired_deltas": deltas,
+        "negative_transfer": negative_transfer(deltas, by=GROUP),
+    }
+    if expected is not None:
+        out["coverage"] = coverage_summary(coverage_cells(rows, expected, by=GROUP), by=GROUP)
+    return out
+
+
+def score_summary(rows: DataFrame, expected: DataFrame) -> DataFrame:
+    """per mode, coverage of the expected matrix, and count and mean of finite success scores."""
+    covered = coverage_summary(coverage_cells(rows, expected), by=["mode"])
+    return covered.join(mode_scores(rows), "mode", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def file_report(rows: DataFrame, *, baseline_mode: str, expected: DataFrame | None = None) -> dict[str, DataFrame]:
-    """the reports of F5-F8 per file and evaluator, as one table each.
+    """the reports of F5-F8 per file and evaluator, and of F13 per file, as one table each.
 
-    ``rows`` carry ``path``; ``expected`` carries ``path, evaluator_kind`` and the cell columns.
+    ``rows`` carry ``path``, and for the token report the usage columns of F13; ``expected`` carries ``path, evaluator_kind`` and the cell columns.
     """
     by = ["path", "evaluator_kind"]
     rows = rows.withColumn("evaluator_kind", label("evaluator_kind"))
@@ -481,4 +546,6 @@ def file_report(rows: DataFrame, *, baseline_mode: str, expected: DataFrame | No
         per_file = expected.select("path", *CELL).distinct()
         cells = coverage_cells(rows, per_file, require_finite=False, by=["path"])
         out["coverage"] = coverage_summary(cells, by=["path"])
+    if "judge_call_usages" in rows.columns:
+        out["tokens"] = token_usage(rows, by=["path"])
     return out

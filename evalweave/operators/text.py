@@ -14,6 +14,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalweave.functions.bloom import KeyFilter
 from evalweave.functions.expr import col, dedupe_casefold, has_text, id_part, let, strip
 from evalweave.functions.patterns import CJK, EVIDENCE_PATTERNS, literals
 
@@ -130,35 +131,6 @@ def _windows(body: Column, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(body, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
-# Bits of the filter of literal windows. With more windows it lets more through; results stay the same.
-FILTER_BITS = 1 << 23
-
-
-class WindowFilter:
-    """A Bloom filter of the rows of ``heads``, by a hash of ``columns``.
-
-    It is built by aggregation, 64 bits a row, into one array of ``bits`` / 64 numbers. ``words`` is that
-    array as a scalar subquery, to stand beside the scan as column ``__words``; called with a hash, the
-    filter says whether its row may be there. Each row sets two bits.
-    """
-
-    def __init__(self, heads: DataFrame, columns: Sequence[str], bits: int = FILTER_BITS):
-        self.bits = bits
-        at = heads.select(F.explode(F.array(*self._places(F.xxhash64(*columns)))).alias("at"))
-        one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
-        none = heads.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("set"))
-        words = at.select(F.floor(F.col("at") / 64).cast("int").alias("word"), one.alias("set")).unionByName(none)
-        words = words.groupBy("word").agg(F.bit_or("set").alias("set"))  # all words, one row each
-        self.words = words.agg(F.array_sort(F.collect_list(F.struct("word", "set"))).alias("w")).select("w.set").scalar()
-
-    def _places(self, hashed: Column) -> list[Column]:
-        return [F.pmod(hashed, F.lit(self.bits)), F.pmod(F.shiftright(hashed, 24), F.lit(self.bits))]
-
-    def __call__(self, hashed: Column) -> Column:
-        bit = lambda p: F.getbit(F.get("__words", F.floor(p / 64).cast("int")), (p % 64).cast("int")) == 1
-        return reduce(and_, [bit(p) for p in self._places(hashed)])
-
-
 def literal_matches(
     texts: DataFrame,
     train: DataFrame,
@@ -182,7 +154,7 @@ def literal_matches(
     spread = held.groupBy(*by, "window").agg(F.count("*").alias("n"))
     rarest = held.join(spread, [*by, "window"]).groupBy(*by, "literal").agg(F.min(F.struct("n", "window")).alias("rarest"))
     heads = rarest.select(*by, "literal", F.col("rarest.window").alias("window"))
-    may_hold = WindowFilter(heads, [*by, "window"])
+    may_hold = KeyFilter(heads, [*by, "window"])
     body = F.coalesce(F.col(text), F.lit(""))
     windows = F.concat(_windows(body, _LONG), _windows(body, _SHORT))
     near = F.filter(windows, lambda w: may_hold(F.xxhash64(*[F.col(b) for b in by], w)))

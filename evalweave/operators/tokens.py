@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +25,8 @@ def usage_tokens(usage: Column) -> Column:
     return F.struct(inp.alias(FIELDS[0]), out.alias(FIELDS[1]), total.cast("long").alias(FIELDS[2]))
 
 
-def usage_lines(rows: DataFrame) -> DataFrame:
-    """Evaluation rows as usage lines ``(mode, bucket, input/output/total)``.
+def usage_lines(rows: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+    """Evaluation rows as usage lines ``(by, mode, bucket, input/output/total)``.
 
     Rows carry ``generation_usage``, ``layout_plan_usage``, ``judge_usage`` structs and
     ``judge_call_usages``, an array of them that counts as judge usage.
@@ -37,10 +39,10 @@ def usage_lines(rows: DataFrame) -> DataFrame:
         item(F.col("judge_usage"), "judge"),
     )
     calls = F.transform(F.coalesce("judge_call_usages", empty), lambda u: item(u, "judge"))
-    lines = rows.select(label("mode").alias("mode"), F.explode(F.concat(own, calls)).alias("l"))
+    lines = rows.select(*by, label("mode").alias("mode"), F.explode(F.concat(own, calls)).alias("l"))
     return lines.filter(F.col("l.usage").isNotNull()).select(
-        "mode", F.col("l.bucket").alias("bucket"), usage_tokens(F.col("l.usage")).alias("t")
-    ).select("mode", "bucket", "t.*")
+        *by, "mode", F.col("l.bucket").alias("bucket"), usage_tokens(F.col("l.usage")).alias("t")
+    ).select(*by, "mode", "bucket", "t.*")
 
 
 def _averages(totals: DataFrame, attempts: DataFrame) -> DataFrame:
@@ -53,26 +55,26 @@ def _averages(totals: DataFrame, attempts: DataFrame) -> DataFrame:
     return out
 
 
-def _attempts(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(label("mode").alias("mode")).agg(
+def _attempts(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return rows.groupBy(*by, label("mode").alias("mode")).agg(
         F.count("*").alias("attempted_rows"),
         count_where(F.coalesce(F.col("status") == "success", F.lit(False))).alias("successful_rows"),
     )
 
 
-def token_usage(rows: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """per mode and bucket, token sums and averages; bucket ``combined`` is all three.
+def token_usage(rows: DataFrame, lines: DataFrame | None = None, *, by: Sequence[str] = ()) -> DataFrame:
+    """per mode and bucket (within ``by``), token sums and averages; bucket ``combined`` is all three.
 
     Tokens of failed rows count; successes only set the denominator. ``lines`` may be given when
     usage lives in a table of its own.
     """
-    lines = usage_lines(rows) if lines is None else lines
-    per_bucket = lines.groupBy("mode", "bucket").agg(*[F.sum(f).alias(f) for f in FIELDS])
-    total = per_bucket.groupBy("mode").agg(*[F.sum(f).alias(f) for f in FIELDS]).withColumn("bucket", F.lit("combined"))
+    lines = usage_lines(rows, by=by) if lines is None else lines
+    per_bucket = lines.groupBy(*by, "mode", "bucket").agg(*[F.sum(f).alias(f) for f in FIELDS])
+    total = per_bucket.groupBy(*by, "mode").agg(*[F.sum(f).alias(f) for f in FIELDS]).withColumn("bucket", F.lit("combined"))
     sums = per_bucket.unionByName(total)
     # Every mode reports every bucket, also one without tokens: a literal array, not a cross join.
-    frame = _attempts(rows).withColumn("bucket", F.explode(F.array(*[F.lit(b) for b in [*BUCKETS, "combined"]])))
-    out = frame.join(sums, ["mode", "bucket"], "left")
+    frame = _attempts(rows, by).withColumn("bucket", F.explode(F.array(*[F.lit(b) for b in [*BUCKETS, "combined"]])))
+    out = frame.join(sums, [*by, "mode", "bucket"], "left")
     for f in FIELDS:
         out = out.withColumn(f, F.coalesce(f, F.lit(0)).cast("long"))
     for f in FIELDS:

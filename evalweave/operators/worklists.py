@@ -13,6 +13,7 @@ from evalweave.functions.expr import count_where, has_text, id_part, label
 from evalweave.functions.joins import one_row
 from evalweave.operators.responses import kind
 from evalweave.operators.text import truncate_evidence
+from evalweave.sources.listing import latest_score_artifact
 
 CELL = ["pack_id", "task_id", "mode"]
 
@@ -198,6 +199,18 @@ def pattern_worklist(expected: DataFrame, candidates: DataFrame) -> DataFrame:
     return joined.withColumn("state", status)
 
 
+def pattern_rows(worklist: DataFrame, judged: DataFrame) -> DataFrame:
+    """result rows of a worklist: the judged cells, and cells without a candidate under their state.
+
+    ``judged``: cell columns, ``seq, status, overall_score``. Jobs that have not been judged give no row.
+    """
+    own = judged.join(worklist.filter("state = 'job'").select(*CELL), CELL, "left_semi").select(*CELL, "seq", "status", "overall_score")
+    none = worklist.filter("state <> 'job'").select(
+        *CELL, F.lit(0).cast("long").alias("seq"), F.col("state").alias("status"), F.lit(None).cast("double").alias("overall_score")
+    )
+    return own.unionByName(none)
+
+
 def judge_swap(expected: DataFrame, source_rows: DataFrame) -> DataFrame:
     """cells that reuse the latest source row's text; an unusable one is
     ``missing_reused_candidate``."""
@@ -265,6 +278,26 @@ def official_scores(expected: DataFrame, artifacts: DataFrame) -> DataFrame:
     )
 
 
+# Names of the artifacts in a result directory.
+SLIDES, FAILURE_FLAG = "slides", "slides_generation_failed.txt"
+
+
+def artifacts_from_listing(files: DataFrame, scores: DataFrame, *, judge_model: str | None = None) -> DataFrame:
+    """the artifacts of each cell from a listing of its result directory.
+
+    ``files``: cell columns, ``result_dir, name``. ``scores``: ``result_dir, name, score_percent`` of score
+    files that could be read. The score file is chosen by A6.
+    """
+    held = files.groupBy(*CELL, "result_dir").agg(
+        F.max(F.startswith("name", F.lit(SLIDES + "."))).alias("has_slides"), F.max(F.col("name") == FAILURE_FLAG).alias("has_failure_flag")
+    )
+    picked = latest_score_artifact(files, judge_model=judge_model)
+    read = one_row(scores.select("result_dir", "name", "score_percent"), "result_dir", "name")
+    return held.join(picked, "result_dir").join(read, ["result_dir", "name"], "left").select(
+        *CELL, "has_slides", "has_failure_flag", "pick", F.col("name").alias("score_file"), "score_percent"
+    )
+
+
 # -- F23 --------------------------------------------------------------------------------------
 
 

@@ -131,6 +131,74 @@ def _(spark, sf):
     ))
 
 
+_BUCKETED = _FILED + """,
+    bk AS (SELECT path, CASE WHEN contains(t, 'pattern_similarity') THEN 'debug_scores' WHEN contains(t, 'surrogate') THEN 'surrogate_debug_scores'
+        WHEN contains(t, 'official') THEN 'official_benchmark_scores' ELSE 'debug_scores' END AS score_bucket
+      FROM (SELECT path, lower(path || ' ' || string_agg(DISTINCT kind, ' ')) AS t FROM fr GROUP BY path)),
+    g AS (SELECT * FROM fr JOIN bk USING (path))"""
+
+
+def grouped_rows(spark, sf):
+    rows = filed_rows(spark, sf).drop("source")
+    return rows.join(L.file_buckets(rows), "path")
+
+
+def group_expected(spark, sf, rows):
+    """The matrix of each group: judge 0 saw the packs of one source, the others those of both."""
+    source = F.concat(F.lit("s"), (F.col("pack_id").cast("int") % 2).cast("string"))
+    groups = rows.select(*S.GROUP, F.when(F.col("judge_model") == "0", "s0").alias("source")).distinct()
+    return S.expected_for_groups(_expected(spark, sf).withColumn("source", source), groups, ["s0", "s1"])
+
+
+@query("F9_group_report", with_tables("expected eval_row", _BUCKETED + """,
+    k AS (SELECT score_bucket, kind, judge_model, count(DISTINCT path) AS n_paths, count(*) AS row_count FROM g GROUP BY ALL),
+    ex AS (SELECT k.*, e.* FROM k JOIN expected e ON k.judge_model <> '0' OR CAST(e.pack_id AS INT) % 2 = 0),
+    c AS (SELECT score_bucket, kind, judge_model, pack_id, task_id, mode, arg_max(overall_score, seq) FILTER (status = 'success') AS score FROM g GROUP BY ALL),
+    d AS (SELECT ex.*, c.score - b.score AS delta FROM ex LEFT JOIN c USING (score_bucket, kind, judge_model, pack_id, task_id, mode)
+        LEFT JOIN c b ON b.score_bucket = ex.score_bucket AND b.kind = ex.kind AND b.judge_model = ex.judge_model
+          AND b.pack_id = ex.pack_id AND b.task_id = ex.task_id AND b.mode = 'prompt_only' WHERE ex.mode <> 'prompt_only')
+    SELECT score_bucket, kind AS evaluator_kind, judge_model, mode, any_value(n_paths) AS n_paths, any_value(row_count) AS row_count,
+      count(*) AS expected_pairs, count(delta) AS pairs, count(*) - count(delta) AS missing_pairs, round(avg(delta), 6) AS mean_delta,
+      count(*) FILTER (delta > 0) AS wins, count(*) FILTER (delta < 0) AS losses FROM d GROUP BY score_bucket, kind, judge_model, mode"""))
+def _(spark, sf):
+    rows = grouped_rows(spark, sf)
+    report = S.group_report(rows, baseline_mode=B.BASELINE, expected=group_expected(spark, sf, rows))
+    out = report["paired_deltas"].filter("expected_pairs > 0").join(report["groups"], S.GROUP)
+    return tidy(out.select(
+        *S.GROUP, "mode", F.size("paths").cast("bigint").alias("n_paths"), "row_count", "expected_pairs", "pairs", "missing_pairs", "mean_delta", "wins", "losses"
+    ))
+
+
+@query("F9_group_duplicates", with_tables("eval_row", _BUCKETED + """
+    SELECT score_bucket, kind AS evaluator_kind, judge_model, pack_id, task_id, mode, count(*) AS n FROM g GROUP BY ALL HAVING count(*) > 1"""))
+def _(spark, sf):
+    return S.group_report(grouped_rows(spark, sf), baseline_mode=B.BASELINE)["duplicates"]
+
+
+@query("F11_score_rollup", with_tables("eval_row", _BUCKETED + """
+    SELECT CASE WHEN grouping(path) = 1 THEN 'group' WHEN grouping(kind) = 1 THEN 'file' ELSE 'evaluator' END AS level,
+      path, score_bucket, kind AS evaluator_kind, judge_model, mode, count(*) AS rows, count(*) FILTER (status = 'success') AS successes,
+      count(overall_score) FILTER (status = 'success') AS scored, round(avg(overall_score) FILTER (status = 'success'), 6) AS mean_score
+    FROM g GROUP BY GROUPING SETS ((path, mode), (path, kind, mode), (score_bucket, kind, judge_model, mode))"""))
+def _(spark, sf):
+    return tidy(S.score_rollup(grouped_rows(spark, sf)))
+
+
+@query("F11_coverage", with_tables("expected eval_row", _FILED + """,
+    ex AS (SELECT DISTINCT p.path, e.pack_id, e.task_id, e.mode FROM (SELECT DISTINCT path, pack_id FROM fr) p JOIN expected e USING (pack_id)),
+    seen AS (SELECT path, pack_id, task_id, mode, bool_or(status = 'success') AS good FROM fr GROUP BY ALL),
+    s AS (SELECT coalesce(ex.path, seen.path) AS path, CASE WHEN ex.path IS NULL THEN 'unexpected' WHEN seen.path IS NULL THEN 'missing'
+        WHEN NOT good THEN 'non_success' ELSE 'ok' END AS state FROM ex FULL JOIN seen USING (path, pack_id, task_id, mode))
+    SELECT path, count(*) FILTER (state <> 'unexpected') AS expected_cells, count(*) FILTER (state IN ('ok', 'non_success')) AS observed_cells,
+      count(*) FILTER (state = 'ok') AS successful_cells, count(*) FILTER (state = 'missing') AS missing_cells,
+      count(*) FILTER (state = 'non_success') AS non_success_cells, count(*) FILTER (state = 'unexpected') AS unexpected_cells,
+      count(*) FILTER (state IN ('missing', 'non_success')) = 0 AS complete FROM s GROUP BY path"""))
+def _(spark, sf):
+    rows = filed_rows(spark, sf).drop("source")
+    expected = rows.select("path", "evaluator_kind", "pack_id").distinct().join(_expected(spark, sf), "pack_id")
+    return S.file_report(rows, baseline_mode=B.BASELINE, expected=expected)["coverage"]
+
+
 # -- F13, F14 -----------------------------------------------------------------------------------
 
 _USAGE = "struct<prompt_tokens:bigint,input_tokens:bigint,completion_tokens:bigint,output_tokens:bigint,total_tokens:bigint>"
@@ -154,7 +222,7 @@ def usage_rows(spark, sf):
         F.when(role == "assistant", _usage(i=tok, o=F.lit(3), t=tok * 2)).otherwise(none).alias("generation_usage"),
         F.when((role == "user") & (F.col("turn") == 0), _usage(p=tok)).otherwise(none).alias("judge_usage"),
         F.when(role == "user", F.array(_usage(p=tok), _usage(c=F.lit(1), t=F.lit(7)))).otherwise(F.array().cast(f"array<{_USAGE}>")).alias("judge_call_usages"),
-        role.alias("stage"), tok.alias("tok"),
+        role.alias("stage"), tok.alias("tok"), "conv_id", "turn",
     )
 
 
@@ -182,6 +250,27 @@ def _(spark, sf):
     return tidy(T.token_usage(usage_rows(spark, sf)))
 
 
+@query("F11_tokens", """
+    WITH r AS (SELECT 'runs/u' || (conv_id % 3) AS path, 'm' || (conv_id % 5) AS mode, turn % 3 <> 0 AS ok, role, turn, greatest(1, length(text) // 4) AS tok FROM conversations),
+    l AS (SELECT path, mode, 'layout_plan' AS bucket, tok + 2 AS t FROM r WHERE role = 'system'
+      UNION ALL SELECT path, mode, 'generation', tok * 2 FROM r WHERE role = 'assistant'
+      UNION ALL SELECT path, mode, 'judge', tok + 7 + CASE WHEN turn = 0 THEN tok ELSE 0 END FROM r WHERE role = 'user'),
+    a AS (SELECT path, mode, count(*) AS n, count(*) FILTER (ok) AS s FROM r GROUP BY ALL),
+    b AS (SELECT path, mode, bucket, sum(t) AS t FROM l GROUP BY ALL UNION ALL SELECT path, mode, 'combined', sum(t) FROM l GROUP BY path, mode)
+    SELECT a.path, a.mode, k.bucket, n AS attempted_rows, s AS successful_rows, CAST(coalesce(t, 0) AS BIGINT) AS total_tokens,
+      round(coalesce(t, 0) / nullif(s, 0), 6) AS total_tokens_per_success
+    FROM a CROSS JOIN (VALUES ('layout_plan'), ('generation'), ('judge'), ('combined')) k(bucket)
+      LEFT JOIN b ON b.path = a.path AND b.mode = a.mode AND b.bucket = k.bucket""")
+def _(spark, sf):
+    n = F.col("conv_id")
+    rows = usage_rows(spark, sf).select(
+        "*", F.concat(F.lit("runs/u"), (n % 3).cast("string")).alias("path"), F.lit("e").alias("evaluator_kind"), n.cast("string").alias("pack_id"),
+        F.col("turn").cast("string").alias("task_id"), (n * 1000 + F.col("turn")).alias("seq"), F.lit(None).cast("double").alias("overall_score"),
+    )
+    out = S.file_report(rows, baseline_mode="m0")["tokens"]
+    return tidy(out.select("path", "mode", "bucket", "attempted_rows", "successful_rows", "total_tokens", "total_tokens_per_success"))
+
+
 @query("F13_generation_comparison", _USAGE_SQL + """,
     g AS (SELECT mode, unnest(['input_tokens', 'output_tokens', 'total_tokens']) AS field, unnest([i / s, o / s, t / s]) AS v FROM f WHERE bucket = 'generation')
     SELECT g.mode, g.field, round(b.v, 6) AS examples_only_avg, round(g.v, 6) AS mode_avg, round(g.v - b.v, 6) AS delta,
@@ -373,6 +462,22 @@ def _(spark, sf):
     return out.select("pack_id", "task_id", "mode", "candidate_seq", text.alias("text_or_blank"), "state")
 
 
+@query("F18_pattern_summary", with_tables("expected eval_row", _TEXTED + """,
+    la AS (SELECT DISTINCT pack_id, task_id, mode FROM tx WHERE status = 'success' AND text IS NOT NULL),
+    j AS (SELECT * FROM eval_row SEMI JOIN la USING (pack_id, task_id, mode) SEMI JOIN expected USING (pack_id, task_id, mode)),
+    c AS (SELECT pack_id, task_id, mode, bool_or(status = 'success' AND overall_score IS NOT NULL) AS good FROM j GROUP BY ALL),
+    m AS (SELECT mode, count(*) FILTER (status = 'success' AND overall_score IS NOT NULL) AS n,
+        avg(overall_score) FILTER (status = 'success') AS mean FROM j GROUP BY mode)
+    SELECT e.mode, count(*) AS expected_cells, count(*) AS observed_cells, count(*) FILTER (good) AS successful_cells, CAST(0 AS BIGINT) AS missing_cells,
+      count(*) - count(*) FILTER (good) AS non_success_cells, CAST(0 AS BIGINT) AS unexpected_cells, count(*) = count(*) FILTER (good) AS complete,
+      coalesce(any_value(m.n), 0) AS n, round(any_value(m.mean), 6) AS mean_score
+    FROM expected e LEFT JOIN c USING (pack_id, task_id, mode) LEFT JOIN m ON m.mode = e.mode GROUP BY e.mode"""))
+def _(spark, sf):
+    expected = _expected(spark, sf)
+    work = L.pattern_worklist(expected, L.latest_candidates(texted_rows(spark, sf)))
+    return tidy(S.score_summary(L.pattern_rows(work, B.eval_row(spark, sf)), expected))
+
+
 @query("F24_judge_swap", with_tables("expected eval_row", _TEXTED + """,
     la AS (SELECT pack_id, task_id, mode, max(seq) AS seq, arg_max(status = 'success' AND text IS NOT NULL, seq) AS usable FROM tx GROUP BY ALL)
     SELECT e.pack_id, e.task_id, e.mode, la.seq AS candidate_seq,
@@ -543,6 +648,47 @@ def _(spark, sf):
     return L.official_scores(_expected(spark, sf), art).select(*S.CELL, "status", "overall_score")
 
 
+def result_listing(spark, sf):
+    """Files of result directories, one directory per cell, and the score files that can be read."""
+    s = F.col("seq")
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    score = F.concat(F.when(s % 13 == 0, "j1_2026-01-").otherwise("j0_2026-01-"), two(s % 28 + 1), F.lit("_00-00-"), two(s % 60), F.lit("_score.yaml"))
+    name = F.when(s % 5 == 0, "slides.pdf").when(s % 5 == 1, "slides_generation_failed.txt").otherwise(score)
+    files = B.eval_row(spark, sf).select(*S.CELL, F.concat_ws("/", *S.CELL).alias("result_dir"), name.alias("name"), "seq")
+    scores = files.filter((s % 5 > 1) & (s % 3 != 0)).select("result_dir", "name", (s % 100).cast("double").alias("score_percent"))
+    return files.drop("seq"), scores
+
+
+_LISTED = """,
+    f AS (SELECT pack_id, task_id, mode, seq, seq % 5 > 1 AS score, CASE seq % 5 WHEN 0 THEN 'slides.pdf' WHEN 1 THEN 'slides_generation_failed.txt'
+        ELSE CASE WHEN seq % 13 = 0 THEN 'j1' ELSE 'j0' END || '_2026-01-' || lpad(CAST(seq % 28 + 1 AS VARCHAR), 2, '0') || '_00-00-' || lpad(CAST(seq % 60 AS VARCHAR), 2, '0') || '_score.yaml' END AS name
+      FROM eval_row),
+    a AS (SELECT pack_id, task_id, mode, bool_or(seq % 5 < 2) AS present, count(*) FILTER (score) AS n, count(DISTINCT name[1:2]) FILTER (score) AS js,
+        max(name[4:22] || '|' || name) FILTER (score) AS top FROM f GROUP BY ALL),
+    sc AS (SELECT pack_id, task_id, mode, name, max(seq % 100) AS v FROM f WHERE score AND seq % 3 <> 0 GROUP BY ALL),
+    o AS (SELECT e.pack_id, e.task_id, e.mode, CASE WHEN NOT coalesce(present, false) THEN 'missing_official_eval_artifacts' WHEN js > 1 THEN 'ambiguous_score_artifacts'
+        WHEN n = 0 THEN 'missing_score_artifact' WHEN v IS NULL THEN 'score_parse_error' ELSE 'success' END AS status, CAST(v AS DOUBLE) AS v
+      FROM expected e LEFT JOIN a USING (pack_id, task_id, mode)
+        LEFT JOIN sc ON sc.pack_id = e.pack_id AND sc.task_id = e.task_id AND sc.mode = e.mode AND sc.name = split_part(a.top, '|', 2))"""
+
+
+@query("F22_from_listing", with_tables("expected eval_row", _LISTED + """
+    SELECT pack_id, task_id, mode, status, CASE WHEN status = 'success' THEN v END AS overall_score FROM o"""))
+def _(spark, sf):
+    out = L.official_scores(_expected(spark, sf), L.artifacts_from_listing(*result_listing(spark, sf)))
+    return out.select(*S.CELL, "status", "overall_score")
+
+
+@query("F22_score_summary", with_tables("expected eval_row", _LISTED + """
+    SELECT mode, count(*) AS expected_cells, count(*) AS observed_cells, count(*) FILTER (status = 'success') AS successful_cells, CAST(0 AS BIGINT) AS missing_cells,
+      count(*) FILTER (status <> 'success') AS non_success_cells, CAST(0 AS BIGINT) AS unexpected_cells, count(*) = count(*) FILTER (status = 'success') AS complete,
+      count(*) FILTER (status = 'success') AS n, round(avg(v) FILTER (status = 'success'), 6) AS mean_score FROM o GROUP BY mode"""))
+def _(spark, sf):
+    expected = _expected(spark, sf)
+    scores = L.official_scores(expected, L.artifacts_from_listing(*result_listing(spark, sf)))
+    return tidy(S.score_summary(scores.withColumn("seq", F.lit(0).cast("long")), expected))
+
+
 def runtime_rows(spark, sf):
     k = F.col("k")
     meta = F.concat(

@@ -150,6 +150,22 @@ def _(spark, sf):
     return S.missing_pairs(B.eval_row(spark, sf), baseline_mode=B.BASELINE, expected=_expected(spark, sf))
 
 
+@query("F6_missing_pairs_observed", with_tables("cells", """,
+    ok AS (SELECT * FROM cells WHERE score IS NOT NULL),
+    st AS (SELECT pack_id, task_id, mode, string_agg(s || ':' || n, ',' ORDER BY s || ':' || n) AS statuses FROM
+        (SELECT pack_id, task_id, mode, status AS s, count(*) AS n FROM eval_row GROUP BY ALL) GROUP BY ALL)
+    SELECT t.pack_id, t.task_id, m.mode, coalesce(bs.statuses, 'missing') AS baseline_statuses,
+      coalesce(ms.statuses, 'missing') AS mode_statuses
+    FROM (SELECT DISTINCT pack_id, task_id FROM ok) t CROSS JOIN (SELECT DISTINCT mode FROM ok WHERE mode <> 'prompt_only') m
+      LEFT JOIN ok c ON (c.pack_id, c.task_id, c.mode) = (t.pack_id, t.task_id, m.mode)
+      LEFT JOIN ok b ON b.pack_id = t.pack_id AND b.task_id = t.task_id AND b.mode = 'prompt_only'
+      LEFT JOIN st ms ON (ms.pack_id, ms.task_id, ms.mode) = (t.pack_id, t.task_id, m.mode)
+      LEFT JOIN st bs ON bs.pack_id = t.pack_id AND bs.task_id = t.task_id AND bs.mode = 'prompt_only'
+    WHERE c.score IS NULL OR b.score IS NULL"""))
+def _(spark, sf):
+    return S.missing_pairs(B.eval_row(spark, sf), baseline_mode=B.BASELINE)
+
+
 @query("F6_negative_examples", with_tables("cells", """
     SELECT c.pack_id, c.task_id, c.mode, round(b.score, 6) AS baseline_score, round(c.score, 6) AS mode_score,
       round(c.score - b.score, 6) AS delta

@@ -191,12 +191,14 @@ def test_private_keys_past_escapes(spark, rows):
 
 def test_literals_of_one_site_stay_linear(spark, rows):
     """Ten thousand addresses with one beginning: only the windows of the filter become rows."""
+    from evalweave.functions.bloom import KeyFilter
+
     urls = [f"https://site.example/a/very/long/path/{i:05d}" for i in range(10_000)]
     train = spark.createDataFrame([("p", u) for u in urls], "pack_id string, literal string")
     texts = spark.createDataFrame([(i, "p", f"see {urls[i]} and https://site.example/a/very/long/path/other" if i % 2 else "nothing " * 50) for i in range(40)], "id long, pack_id string, haystack string")
     hits = T.literal_matches(texts, train, keys=["id"])
     assert sorted((r.id, r.literal) for r in hits.collect()) == [(i, urls[i]) for i in range(1, 40, 2)]
-    may_hold = T.WindowFilter(train.select("pack_id", F.col("literal").alias("window")), ["pack_id", "window"])
+    may_hold = KeyFilter(train.select("pack_id", F.col("literal").alias("window")), ["pack_id", "window"])
     probe = spark.createDataFrame([("p", u) for u in urls[:2000]] + [("p", f"other {i}") for i in range(20_000)], "pack_id string, window string")
     kept = probe.withColumn("__words", may_hold.words).filter(may_hold(F.xxhash64("pack_id", "window"))).select("window").collect()
     assert len([r for r in kept if r.window.startswith("https")]) == 2000 and len(kept) < 2200
