@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from evalweave.llm.scratch import documents
 from evalweave.llm.tokens import slices
@@ -255,7 +256,7 @@ def _runs(values: list[int], gap: int) -> Iterator[tuple[int, int]]:
 
 def _blocks(benchmark: DataFrame, item: str, text: str, rate: float) -> Iterator[Items]:
     """The benchmark in parts of about ``BLOCK_BYTES``; one part is on the driver at a time."""
-    rows = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text"))
+    rows = benchmark.select(F.col(f"`{item}`").alias("item"), F.col(f"`{text}`").alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 32), F.lit(0)).alias("b")).first().b
     parts = -(-int(total) // BLOCK_BYTES)
     for p in range(parts):
@@ -277,7 +278,8 @@ def find_leaks(
     """
     sc = docs.sparkSession.sparkContext
     kinds = docs.schema[doc].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
-    pairs = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
+    item_type = to_arrow_type(benchmark.schema[item].dataType)
+    pairs = docs.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").alias("text"))
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, start long, stop long"
     out = None
     for items in _blocks(benchmark, item, item_text, rate):
@@ -296,7 +298,7 @@ def find_leaks(
                         columns = list(zip(*rows))
                         keys = part.column("doc").take(pa.array(columns[0]))
                         yield pa.RecordBatch.from_arrays(
-                            [keys, pa.array(columns[1]), pa.array(columns[2], pa.int32()), *[pa.array(c, pa.int64()) for c in columns[3:]]],
+                            [keys, pa.array(columns[1], item_type), pa.array(columns[2], pa.int32()), *[pa.array(c, pa.int64()) for c in columns[3:]]],
                             ["doc_id", "item_id", "distance", "start", "stop"],
                         )
 
@@ -306,20 +308,27 @@ def find_leaks(
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = 0.1) -> DataFrame:
-    """``docs`` without the rows that hold a test item within its edit budget; no shuffle."""
+    """``docs`` without the rows that hold a test item within its edit budget; no shuffle.
+
+    Rows are judged one by one, so repeated ones go together; null and empty texts stay. Other columns
+    pass through, whatever their names. A text of any length is one row of one task.
+    """
+    names = docs.columns
+    at = f"c{names.index(text)}"
+    out = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names with dots do not pass mapInArrow
     for items in _blocks(benchmark, item, item_text, rate):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for batch in batches:
-                for part in slices(batch, text, SLICE_BYTES):
-                    norms = [normalised((t or "").encode())[0] for t in part.column(text).to_pylist()]
+                for part in slices(batch, at, SLICE_BYTES):
+                    norms = [normalised((t or "").encode())[0] for t in part.column(at).to_pylist()]
                     clean = [not (places and items.matches(n, places)) for n, places in zip(norms, items.search(norms))]
                     yield part.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        out = out.mapInArrow(run, out.schema)
+    return out.toDF(*names)
 
 
 def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,10 +24,10 @@ def _key(line: Column) -> tuple[Column, Column]:
 
 def _lines(docs: DataFrame, text: str, doc: str, site: str, min_chars: int) -> DataFrame:
     exploded = docs.select(
-        F.col(doc).alias("__doc"), F.col(site).cast("string").alias("__site"), F.posexplode(F.split(text, "\n")).alias("__pos", "__line")
-    ).withColumn("__line", F.btrim("__line", F.lit(BLANKS)))
-    one, two = _key(F.col("__line"))
-    return exploded.where(F.length("__line") >= min_chars).select("__doc", "__site", "__pos", one.alias("__h1"), two.alias("__h2"))
+        F.col(f"`{doc}`").alias("doc"), F.col(f"`{site}`").cast("string").alias("site"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("pos", "line")
+    ).withColumn("line", F.btrim("line", F.lit(BLANKS)))
+    one, two = _key(F.col("line"))
+    return exploded.where(F.length("line") >= min_chars).select("doc", "site", "pos", one.alias("h1"), two.alias("h2"))
 
 
 def strip_boilerplate(
@@ -37,65 +37,56 @@ def strip_boilerplate(
     doc: str = "doc_id",
     site: str = "source",
     min_sites: int = 5,
-    min_chars: int = 20,
+    min_chars: int = 1,
     lg_k: int = 12,
 ) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, plus ``n_lines`` and ``n_removed``.
 
     Lines end at a line feed and compare without spaces, tabs and carriage returns at their ends. A
-    line of at least ``min_chars`` characters that occurs on ``min_sites`` distinct sites is
-    boilerplate: only its occurrence with the smallest (document, position) stays. Shorter lines
-    always stay.
+    line that is not blank and occurs on ``min_sites`` distinct sites is boilerplate: only its
+    occurrence with the smallest (document, position) stays. Lines of fewer than ``min_chars``
+    characters, blank ones by default, always stay.
 
     A null text stays null, with no lines; an empty text has one line. A null site counts as no
-    site. Rows that share a document id count as one document; a null id is an id of its own, the
-    smallest. Other columns pass through, whatever their names.
+    site. Rows that share a document id count as one document, in which equal positions hold equal
+    rank: each of them keeps its line. A null id is an id of its own, the smallest. A very long text is
+    one row of one task. Without documents the result is empty. Other columns pass through, whatever their
+    names, but for ``n_lines`` and ``n_removed``, which are replaced.
     """
     spark = docs.sparkSession
     margin = max(1.0, 3 * 1.04 / math.sqrt(2**lg_k) * min_sites)
     lines = _lines(docs, text, doc, site, min_chars)
     spread = written(
-        lines.groupBy("__h1", "__h2")
-        .agg(
-            F.hll_sketch_agg("__site", lg_k).alias("__sketch"),
-            F.min(F.struct("__doc", "__pos")).alias("__first"),
-        )
-        .select("__h1", "__h2", "__first", F.hll_sketch_estimate("__sketch").alias("__sites"))
-        .where(F.col("__sites") >= min_sites - margin),
+        lines.groupBy("h1", "h2")
+        .agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.min(F.struct("doc", "pos")).alias("first"))
+        .select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites"))
+        .where(F.col("sites") >= min_sites - margin),
         "spread",
     )
     release(spark)
     # The occurrences of lines that are boilerplate or near the threshold, a small part of all.
-    found = written(lines.join(spread, ["__h1", "__h2"]), "occurrences")
+    found = written(lines.join(spread, ["h1", "h2"]), "occurrences")
     release(spark)
-    exact = (
-        found.where(F.col("__sites") <= min_sites + margin)
-        .groupBy("__h1", "__h2")
-        .agg(F.count_distinct("__site").alias("__exact"))
-        .where(F.col("__exact") >= min_sites)
-        .select("__h1", "__h2")
+    exact = found.where(F.col("sites") <= min_sites + margin).groupBy("h1", "h2").agg(F.count_distinct("site").alias("exact"))
+    over = spread.where(F.col("sites") > min_sites + margin).select("h1", "h2")
+    boilerplate = over.unionByName(exact.where(F.col("exact") >= min_sites).select("h1", "h2"))
+    # Only the places that go travel to their document. Rows that share its id may hold other lines there.
+    place = lambda pos, one, two: F.concat_ws(":", pos.cast("string"), one.cast("string"), two.cast("string"))
+    goes = found.join(boilerplate, ["h1", "h2"], "left_semi").where(~F.col("first").eqNullSafe(F.struct("doc", "pos")))
+    gone = goes.groupBy(F.col("doc").alias("gone_doc")).agg(F.collect_set(place(F.col("pos"), F.col("h1"), F.col("h2"))).alias("gone"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc}`").alias("doc"), F.split(F.col(f"`{text}`"), "\n").alias("lines"))
+    joined = rows.join(gone, F.col("doc").eqNullSafe(F.col("gone_doc")), "left")
+    places = F.transform("lines", lambda line, at: place(at, *_key(F.btrim(line, F.lit(BLANKS)))))
+    # A difference of sets takes time linear in the lines, however many of them go.
+    kept = F.transform(F.array_except(places, F.col("gone")), lambda p: F.get("lines", F.substring_index(p, ":", 1).cast("int")))
+    left = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept)
+    counted = joined.select("row", "lines", left.alias("left"))
+    columns = [F.col("row")[c].alias(c) if c != text else F.when(F.col("lines").isNotNull(), F.array_join("left", "\n")).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return counted.select(
+        *columns,
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("lines") - F.size("left"), F.lit(0)).cast("long").alias("n_removed"),
     )
-    over = spread.where(F.col("__sites") > min_sites + margin).select("__h1", "__h2")
-    stays = F.when(F.col("__first.__doc").eqNullSafe(F.col("__doc")), F.col("__first.__pos")).otherwise(F.lit(-1))
-    marks = (
-        found.join(over.unionByName(exact), ["__h1", "__h2"], "left_semi")
-        .groupBy("__doc")
-        .agg(F.collect_set(F.struct(F.col("__h1").alias("h1"), F.col("__h2").alias("h2"), stays.alias("stays"))).alias("__marks"))
-    )
-    joined = docs.join(marks, docs[doc].eqNullSafe(marks["__doc"]), "left")
-    split = F.split(docs[text], "\n")
-
-    def kept(line: Column, at: Column) -> Column:
-        one, two = _key(F.btrim(line, F.lit(BLANKS)))
-        hit = F.exists("__marks", lambda m: (m["h1"] == one) & (m["h2"] == two) & (m["stays"] != at))
-        return (F.length(F.btrim(line, F.lit(BLANKS))) < min_chars) | ~hit
-
-    left = F.when(F.col("__marks").isNull(), split).otherwise(F.filter(split, kept))
-    out = joined.select(*[docs[f"`{c}`"] for c in docs.columns], left.alias("__left"), split.alias("__all"))
-    counts = {"n_lines": F.coalesce(F.size("__all"), F.lit(0)), "n_removed": F.coalesce(F.size("__all") - F.size("__left"), F.lit(0))}
-    return out.withColumns(
-        {text: F.when(F.col("__all").isNotNull(), F.array_join("__left", "\n"))} | {k: F.greatest(v, F.lit(0)).cast("long") for k, v in counts.items()}
-    ).drop("__left", "__all")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +99,7 @@ LINES_SQL = """
     cut AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
         unnest(range(len(string_split(text, chr(10))))) AS pos FROM {docs}),
     lines AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS k FROM cut),
-    shared AS (SELECT k, min((doc_id, pos)) AS first FROM lines WHERE length(k) >= 20
+    shared AS (SELECT k, min((doc_id, pos)) AS first FROM lines WHERE length(k) >= 1
       GROUP BY k HAVING count(DISTINCT source) >= 5),
     marked AS (SELECT l.*, s.k IS NOT NULL AND s.first <> (doc_id, pos) AS gone FROM lines l LEFT JOIN shared s USING (k)),
     stripped AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,

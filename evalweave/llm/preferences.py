@@ -88,10 +88,23 @@ def preference_pairs(
     return grouped.select("pair_id", "block", *[_rendered(flat(n), list(trained_roles)).alias(n) for n in ("prompt", "chosen", "rejected")])
 
 
+def diverging(conversations: DataFrame) -> DataFrame:
+    """A rejected conversation for each: its turns from some place on come from the next conversation.
+
+    Turns below 1 + id % 4, and those without a number, stay the conversation's own; from there on they
+    are those of conversation id + 1, so both share a prefix.
+    """
+    keep = F.col("conv_id") % 4 + 1
+    own = conversations.where(F.coalesce(F.col("turn") < keep, F.lit(True)))
+    other = conversations.withColumn("conv_id", F.col("conv_id") - 1).where(F.col("turn") >= keep)
+    known = conversations.select("conv_id").distinct()
+    return own.unionByName(other.join(known, "conv_id", "left_semi"))
+
+
 def op9_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2n (chosen) and 2n+1 (rejected) form pair n."""
-    turns = documents(spark, sf_dir, "conversations").withColumn("pair_id", F.floor(F.col("conv_id") / 2).cast("long"))
-    pairs = preference_pairs(turns.where("conv_id % 2 = 0"), turns.where("conv_id % 2 <> 0"))
+    """Each conversation as chosen, and as rejected one that leaves it after some turns."""
+    turns = documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    pairs = preference_pairs(turns, diverging(turns), pair="conv_id")
     mask = lambda s: F.array_join(F.transform(f"{s}.ranges", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["stop"].cast("string"))), ",")
     return pairs.select(
         "pair_id",
@@ -108,14 +121,16 @@ def op9_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op9_preference_pairs": op9_preference_pairs}
 ORACLE = {
     "op9_preference_pairs": """
-WITH t AS (SELECT DISTINCT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(turn, -1) AS turn,
-    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+WITH s AS (SELECT conv_id AS pair_id, 0 AS side, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT conv_id, 1, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND coalesce(turn < conv_id % 4 + 1, true)
+  UNION ALL SELECT conv_id - 1, 1, turn, role, text FROM conversations WHERE turn >= (conv_id - 1) % 4 + 1 AND conv_id - 1 IN (SELECT conv_id FROM conversations)),
+t AS (SELECT DISTINCT pair_id, side, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM s),
 met AS (SELECT pair_id, turn, list((role, text) ORDER BY role, text) FILTER (side = 0) AS c,
     list((role, text) ORDER BY role, text) FILTER (side <> 0) AS r FROM t GROUP BY ALL),
 cut AS (SELECT pair_id, min(turn) FILTER (c IS DISTINCT FROM r) AS split_at FROM met GROUP BY ALL),
 parts AS (SELECT t.pair_id, turn // 1024 AS block, turn, role, text,
-    CASE WHEN turn < coalesce(split_at, 1 << 40) THEN 'p' WHEN side = 0 THEN 'c' ELSE 'r' END AS part
-  FROM t JOIN cut USING (pair_id) WHERE side = 0 OR turn >= coalesce(split_at, 1 << 40)),
+    CASE WHEN turn < coalesce(split_at, 1099511627776) THEN 'p' WHEN side = 0 THEN 'c' ELSE 'r' END AS part
+  FROM t JOIN cut USING (pair_id) WHERE side = 0 OR turn >= coalesce(split_at, 1099511627776)),
 sized AS (SELECT *, '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS shown,
     sum(length(role) + length(text) + 14) OVER (PARTITION BY pair_id, block, part ORDER BY turn, role, text) AS stop FROM parts),
 masked AS (SELECT *, (stop - length(text) - 9)::BIGINT::VARCHAR || '-' || stop::BIGINT::VARCHAR AS span FROM sized)

@@ -162,20 +162,26 @@ def fit(
 def score(docs: DataFrame, model: Neighbours, *, text: str = "text", out: str = "score", neighbours: int = 25, power: float = 8.0) -> DataFrame:
     """``docs`` with a column ``out``: 0 to 1, higher where label 1 is likelier.
 
-    Null and empty texts are scored as texts without terms. A column named ``out`` is replaced.
+    Null and empty texts are scored as texts without terms. Repeated rows get equal scores; of neighbours
+    that are equally near at the border any may vote. A very long text is counted step by step in one task.
+    A column named ``out`` is replaced, others pass through, whatever their names. Without documents the
+    result is empty.
     """
-    base = docs.drop(out)
+    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != out])
+    names = base.columns
+    at = f"c{names.index(text)}"
+    base = base.toDF(*[f"c{i}" for i in range(len(names))])  # names with dots do not pass mapInArrow
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text, SLICE_BYTES):
-                terms = term_vectors([(t or "").encode() for t in part.column(text).to_pylist()])
+            for part in slices(batch, at, SLICE_BYTES):
+                terms = term_vectors([(t or "").encode() for t in part.column(at).to_pylist()])
                 values = shared.value.scores(terms, neighbours, power)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, pa.float64())], [*part.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, pa.float64())], [*part.schema.names, "score"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(run, f"{kept}, `{out}` double")
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields)
+    return base.mapInArrow(run, f"{kept}, score double").toDF(*names, out)
 
 
 def held_out(doc: str = "doc_id"):

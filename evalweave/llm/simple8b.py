@@ -7,6 +7,8 @@ documents, so a document decodes from its own words alone.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 # Fixed values of the format: values per word and bits per value, for selectors 1 to 14.
@@ -40,11 +42,13 @@ def pack(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not fits.any():
             break  # wider words hold fewer values, so no larger count fits either
         np.maximum(best[:last], fits.view(np.int8) * np.int8(count), out=best[:last])
-    follow, starts, at = (np.arange(n) + best).tolist(), [], 0
+    # Only the places on the way are read, so the rest never become Python numbers.
+    follow, starts, at = memoryview(np.arange(n, dtype=np.int32) + best), array("i"), 0
+    add = starts.append
     while at < n:
-        starts.append(at)
+        add(at)
         at = follow[at]
-    first = np.array(starts)
+    first = np.frombuffer(starts, np.int32).astype(np.int64)
     held = best[first].astype(np.int64)
     words = np.zeros(len(first), "<u8")
     for selector in range(1, 15):

@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 
 from evalweave.llm.packing import _path
 from evalweave.llm.scratch import documents, written
-from evalweave.llm.tokens import SIGNS, encoder, slices
+from evalweave.llm.tokens import SIGNS, WordEncoder, slices
 
 # Text bytes per chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
 # Text bytes that are aligned at once.
-ALIGN_BYTES = 1 << 19
+ALIGN_BYTES = 1 << 20
+# Bytes of each half of the cache of A's pieces.
+CACHE_BYTES = 40 << 20
 # Behind a token: another of its side follows, the last of A's, the last of the group.
 SEPARATORS = [",", "|", ";"]
 # An id pair is one number: A's id times this, plus B's id.
@@ -58,8 +60,7 @@ class TokenPair:
     def __init__(self, a: str, b: str):
         import sentencepiece
 
-        self.a = encoder(a)
-        self.b = sentencepiece.SentencePieceProcessor(model_file=b)
+        self.a, self.b = WordEncoder(a, CACHE_BYTES), sentencepiece.SentencePieceProcessor(model_file=b)
         self.a_bytes, self.b_bytes = byte_level_bytes(self.a.tokenizer), piece_bytes(self.b)
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         # Each id in decimal with each separator behind it, those of B behind those of A.
@@ -87,15 +88,20 @@ def diagonal_groups(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], li
     while i < n:
         if ends_a[i] == ends_b[j]:
             # Probe ahead at the shift j - i, in doubling steps and then in halving ones.
+            # A window is compared as a whole only if its last ends are equal.
             x, y, step = i + 1, j + 1, 2
-            while x + step <= n and y + step <= m and ends_a[x : x + step] == ends_b[y : y + step]:
+            while x + step <= n and y + step <= m and ends_a[x + step - 1] == ends_b[y + step - 1] and ends_a[x : x + step] == ends_b[y : y + step]:
                 x, y, step = x + step, y + step, 2 * step
             while step > 1:
                 step //= 2
-                if x + step <= n and y + step <= m and ends_a[x : x + step] == ends_b[y : y + step]:
+                if x + step <= n and y + step <= m and ends_a[x + step - 1] == ends_b[y + step - 1] and ends_a[x : x + step] == ends_b[y : y + step]:
                     x, y = x + step, y + step
-            stops_a.extend(range(i + 1, x + 1))
-            stops_b.extend(range(j + 1, y + 1))
+            if x == i + 1:
+                stops_a.append(x)
+                stops_b.append(y)
+            else:
+                stops_a.extend(range(i + 1, x + 1))
+                stops_b.extend(range(j + 1, y + 1))
             i, j = x, y
             if i == n:
                 break
@@ -135,18 +141,20 @@ def _group_texts(pair: TokenPair, a_ids: np.ndarray, b_ids: np.ndarray, stops_a:
 
 
 def align_texts(pair: TokenPair, texts: pa.Array) -> dict:
-    """Per text ``n_a, n_b, n_groups, n_links, hashes`` (of the groups' text), and per link the id pair, text by text."""
+    """Per text ``n_a, n_b, n_groups, n_links, hashes`` (of the groups' text), and per link the id pair, text by text.
+
+    A's tokens always join to their text, for its vocabulary holds all bytes and nothing is normalised;
+    their length is compared to make sure. B's are compared in full.
+    """
     column = pc.fill_null(texts, "")
     flat, stops = pair.a.encode_column(pc.binary_join_element_wise(pa.scalar(" "), column, pa.scalar("")))
     plain = column.to_pylist()
-    coded = pair.b.encode(plain, num_threads=1)
-    bounds = [0, *stops.tolist()]
     a_parts, b_parts = [], []
-    a_of, b_of = pair.a_bytes.__getitem__, pair.b_bytes.__getitem__
-    for row, (text, b_ids) in enumerate(zip(plain, coded)):
-        a_ids = flat[bounds[row] : bounds[row + 1]]
+    b_of = pair.b_bytes.__getitem__
+    sizes = np.diff(np.concatenate([[0], np.cumsum(pair.a_sizes[flat])])[stops], prepend=0).tolist()
+    for text, size, a_ids, b_ids in zip(plain, sizes, np.split(flat, stops[:-1]), pair.b.encode(plain, num_threads=1)):
         want = (" " + text).encode()
-        same = text and b"".join(map(a_of, a_ids.tolist())) == want and b"".join(map(b_of, b_ids)) == want
+        same = text and size == len(want) and b"".join(map(b_of, b_ids)) == want
         a_parts.append(a_ids if same else a_ids[:0])
         b_parts.append(np.array(b_ids if same else [], np.int64))
     n_a, n_b = (np.array([len(p) for p in parts], np.int64) for parts in (a_parts, b_parts))

@@ -44,17 +44,88 @@ CACHE_BYTES = 64 << 20
 ENTRY_BYTES = 180
 
 
-class WordEncoder:
-    """``encode(texts)`` gives the ids of each text as little-endian unsigned 32-bit bytes.
+class PieceCache:
+    """Ids of pieces of text (little-endian unsigned 32-bit bytes), the pieces met lately from a cache.
 
-    Pieces met lately stay in a cache of two halves of ``CACHE_BYTES`` each: when the newer half is full
-    it becomes the older one, whose pieces are dropped unless they are met again. Pieces over a
-    thousandth of a half are never kept.
+    The cache has two halves of ``cache_bytes`` each: when the newer half is full it becomes the older
+    one, whose pieces are dropped unless they are met again. Pieces over a thousandth of a half are never
+    kept. ``_fresh`` gives the ids of pieces that are not there.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, cache_bytes: int):
+        self.cache_bytes = cache_bytes
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+
+    def _fresh(self, words: list[str]) -> dict[str, bytes]:
+        raise NotImplementedError
+
+    def direct(self, texts: Sequence[str]) -> list[bytes]:
+        """Ids of whole texts, without cutting."""
+        raise NotImplementedError
+
+    def _keep(self, entries: dict[str, bytes]) -> None:
+        for word, ids in entries.items():
+            size = len(word) + len(ids) + ENTRY_BYTES
+            if size * 1000 > self.cache_bytes:
+                continue
+            self.held += size
+            if self.held > self.cache_bytes:
+                self.old, self.new, self.held = self.new, {}, size
+            self.new[word] = ids
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        new, old = self.new, self.old
+        found = [new.get(w) for w in words]
+        again: dict[str, bytes] = {}
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        for i in missing:
+            if (ids := old.get(words[i])) is not None:
+                again[words[i]] = found[i] = ids
+        fresh = self._fresh([words[i] for i in missing if found[i] is None])
+        for i in missing:
+            if found[i] is None:
+                found[i] = fresh[words[i]]
+        self._keep(again | fresh)
+        return found
+
+    def encode_cut(self, lists: pa.ListArray, text: pa.Array, whole: pa.BooleanArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other (unsigned 32-bit), and each text's end in them.
+
+        ``lists`` holds the pieces of each text; where ``whole`` is set, the text is encoded as it is.
+        """
+        pieces = lists.flatten().dictionary_encode()
+        words = pieces.dictionary.to_pylist()
+        known = dict(zip(filled := [w for w in words if w], self._ids(filled)))
+        known[""] = b""
+        ids = [known[w] for w in words]
+        table = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        at = pieces.indices.to_numpy()
+        each = sizes[at]
+        stop = np.concatenate([[0], np.cumsum(each)])
+        flat = table[np.repeat((starts[at] - stop[:-1]).astype(np.int32), each) + np.arange(stop[-1], dtype=np.int32)]
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        ends = stop[offsets - offsets[0]][1:]
+        rows = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        if len(rows):
+            parts = np.split(flat, ends[:-1])
+            for row, raw in zip(rows.tolist(), self.direct(text.take(pa.array(rows)).to_pylist())):
+                parts[row] = np.frombuffer(raw, "<u4")
+            flat, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+        return flat, ends
+
+
+class WordEncoder(PieceCache):
+    """``encode(texts)`` gives the ids of each text as little-endian unsigned 32-bit bytes."""
+
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
+        super().__init__(cache_bytes)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -62,9 +133,6 @@ class WordEncoder:
         self.separator = next((c for c in SEPARATORS if self._separates(*c)), None)
         words = [" abc", "Ef", " x", "unlikelyword", " Élan", "fiancée"]
         self.writing = next((w for w in WRITINGS if self._merged(words, w) == self.direct(words)), None)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.held = 0
 
     def _separates(self, sign: str, between: str) -> bool:
         """Whether pieces joined with ``between`` keep their ids, with one id for ``sign`` between them."""
@@ -105,32 +173,6 @@ class WordEncoder:
         out.update(zip(rest, self.direct(rest)))
         return out
 
-    def _keep(self, entries: dict[str, bytes]) -> None:
-        for word, ids in entries.items():
-            size = len(word) + len(ids) + ENTRY_BYTES
-            if size * 1000 > CACHE_BYTES:
-                continue
-            self.held += size
-            if self.held > CACHE_BYTES:
-                self.old, self.new, self.held = self.new, {}, size
-            self.new[word] = ids
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct pieces."""
-        new, old = self.new, self.old
-        found = [new.get(w) for w in words]
-        again: dict[str, bytes] = {}
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        for i in missing:
-            if (ids := old.get(words[i])) is not None:
-                again[words[i]] = found[i] = ids
-        fresh = self._fresh([words[i] for i in missing if found[i] is None])
-        for i in missing:
-            if found[i] is None:
-                found[i] = fresh[words[i]]
-        self._keep(again | fresh)
-        return found
-
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other (unsigned 32-bit), and each text's end in them.
 
@@ -145,27 +187,7 @@ class WordEncoder:
         for stop in (",", "."):
             stops = pc.replace_substring(stops, stop, CUT + stop)
         lists = pc.split_pattern(pc.if_else(pc.match_substring_regex(text, SYMBOL_STOP), cut, stops), CUT)
-        pieces = lists.flatten().dictionary_encode()
-        words = pieces.dictionary.to_pylist()
-        known = dict(zip(filled := [w for w in words if w], self._ids(filled)))
-        known[""] = b""
-        ids = [known[w] for w in words]
-        table = np.frombuffer(b"".join(ids), "<u4")
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        starts = np.cumsum(sizes) - sizes
-        at = pieces.indices.to_numpy()
-        each = sizes[at]
-        stop = np.concatenate([[0], np.cumsum(each)])
-        flat = table[np.arange(stop[-1]) + np.repeat(starts[at] - stop[:-1], each)]
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        ends = stop[offsets - offsets[0]][1:]
-        rows = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
-        if len(rows):
-            parts = np.split(flat, ends[:-1])
-            for row, raw in zip(rows.tolist(), self.direct(text.take(pa.array(rows)).to_pylist())):
-                parts[row] = np.frombuffer(raw, "<u4")
-            flat, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
-        return flat, ends
+        return self.encode_cut(lists, text, whole)
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text; a null or empty one has none."""

@@ -55,13 +55,15 @@ def test_every_number_is_registered():
 # ---- line dedup -------------------------------------------------------------------------------
 
 
-def test_lines_stay_once_and_short_lines_stay(spark):
+def test_lines_stay_once(spark):
     line = "this boilerplate line is long enough"
     texts = [(i, f"own text of document number {i}\n {line}\t\n}}") for i in range(1, 8)] + [(8, None), (9, ""), (None, line)]
     got = {r.doc_id: r for r in line_dedup.strip_boilerplate(frame(spark, texts), min_sites=5).collect()}
     assert got[None].text == line and got[None].n_removed == 0  # a null id is the smallest
-    assert all(got[i].text == f"own text of document number {i}\n}}" and got[i].n_removed == 1 for i in range(1, 8))
+    assert all(got[i].text == f"own text of document number {i}" + ("\n}" if i == 1 else "") and got[i].n_removed == (1 if i == 1 else 2) for i in range(1, 8))
     assert got[8].text is None and got[8].n_lines == 0 and got[9].text == "" and got[9].n_lines == 1
+    long = line_dedup.strip_boilerplate(frame(spark, texts), min_sites=5, min_chars=20).collect()
+    assert all(r.text.endswith("\n}") and r.n_removed == 1 for r in long if r.doc_id in range(1, 8))
     few = line_dedup.strip_boilerplate(frame(spark, texts), min_sites=9).collect()
     assert sum(r.n_removed for r in few) == 0
     assert line_dedup.strip_boilerplate(frame(spark, [])).collect() == []
@@ -412,3 +414,28 @@ def test_pipeline(spark):
     assert {r.doc_id for r in packed} == ids and 0 < len(ids) < docs.count()
     assert ngram_join.similarity_classes(kept).where("doc_id <> component_id").count() == 0
     assert decontaminate.find_leaks(kept, spark.read.parquet(f"{SMALL}/benchmark.parquet")).count() == 0
+
+
+# ---- names and types of other columns -----------------------------------------------------------
+
+
+def test_clashing_and_dotted_names(spark):
+    line = "a line of many sites"
+    rows = [(i, f"own {i}\n{line}", f"s{i}", 1, 2, 3, "d") for i in range(8)] + [(3, f"own 3 again\nother\n{line}", "s3", 1, 2, 3, "d")]
+    names = ["doc_id", "text", "source", "row", "gone", "h1", "a.b"]
+    docs = spark.createDataFrame(rows, names)
+    lines = line_dedup.strip_boilerplate(docs)
+    assert lines.columns == [*names, "n_lines", "n_removed"]
+    assert sorted(r.text for r in lines.collect() if r.doc_id == 3) == ["own 3", "own 3 again\nother"]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, label int")
+    assert quality_knn.score(docs, quality_knn.fit(docs, labels)).columns == [*names, "score"]
+    items = spark.createDataFrame([(7, "own 5 and this passage of a test item"), (8, "nothing of the kind stands anywhere")], "item_id int, text string")
+    held = docs.union(spark.createDataFrame([(50, "before own 5 and this passage of a test item behind", "s", 1, 2, 3, "d")], names))
+    assert [(r.doc_id, r.item_id) for r in decontaminate.find_leaks(held, items).collect()] == [(50, 7)]
+    kept = decontaminate.drop_leaks(held, items)
+    assert kept.columns == names and kept.count() == 9
+
+
+def test_rejected_conversations_share_a_prefix(spark):
+    rows = preferences.op9_preference_pairs(spark, SMALL).collect()
+    assert sum(r.prompt_turns > 0 for r in rows) > 0.9 * len(rows) and sum(r.chosen != r.rejected for r in rows) > 0.5 * len(rows)
