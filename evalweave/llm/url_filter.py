@@ -20,6 +20,8 @@ LEXICAL = ["url_length", "host_length", "labels", "depth", "digit_ratio", "entro
 SUFFIX = ["suffix_pages", "suffix_labelled", "suffix_blocked"]
 # Weight of the overall rate in a suffix's rate of blocked urls.
 PRIOR_ROWS = 20
+# Labelled urls are dealt into folds; the trees see suffix rates from the other folds only.
+FOLDS = 5
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -73,6 +75,22 @@ def lexical_features(urls: DataFrame, url: str) -> DataFrame:
     )
 
 
+def _rate(blocks: Column, n: Column, overall: float) -> Column:
+    return (F.coalesce(blocks, F.lit(0.0)) + PRIOR_ROWS * overall) / (F.coalesce(n, F.lit(0)) + PRIOR_ROWS)
+
+
+def out_of_fold(rows: DataFrame, known: DataFrame, overall: float) -> DataFrame:
+    """``rows`` of ``known`` with ``suffix_labelled`` and ``suffix_blocked`` counted without their own fold.
+
+    A rate that counts a row's own label would tell the trees that label.
+    """
+    sums = known.groupBy("suffix", "fold").agg(F.count("*").alias("fold_n"), F.sum("label").alias("fold_blocks"))
+    every = sums.groupBy("suffix").agg(F.sum("fold_n").alias("all_n"), F.sum("fold_blocks").alias("all_blocks"))
+    n, blocks = F.col("all_n") - F.col("fold_n"), F.col("all_blocks") - F.col("fold_blocks")
+    rates = sums.join(every, "suffix").select("suffix", "fold", F.log1p(n).alias("suffix_labelled"), _rate(blocks, n, overall).alias("suffix_blocked"))
+    return rows.join(rates, ["suffix", "fold"])
+
+
 def filter_urls(
     urls: DataFrame,
     labelled: DataFrame,
@@ -87,16 +105,17 @@ def filter_urls(
     """``urls`` with ``host, path, rule, verdict, score``.
 
     ``labelled`` has urls and a 0/1 column ``blocked``. Suffix statistics count all urls and all
-    labelled urls; the trees are fitted on the ``max_training_rows`` labelled urls of the smallest
-    url hash, a bounded sample. ``score`` is the trees' probability of a block, and the verdict where
+    labelled urls, for the rows that the trees learn from those of the other folds. The trees are fitted
+    on the ``max_training_rows`` labelled urls of the smallest url hash, a bounded sample. ``score`` is the trees' probability of a block, and the verdict where
     no rule fits: block from 0.5. Without both labels the score is the overall rate of blocks, 0 where
     nothing is labelled.
 
     A null url, or one without ``://``, has an empty host and path and is scored like any other.
-    Repeated rows get equal verdicts. Columns of ``urls`` with the names of results are replaced.
+    Repeated rows get equal verdicts; a very long url is one row of one task. Without urls the result is
+    empty. Columns of ``urls`` with the names of results are replaced.
     """
     known = lexical_features(labelled.where(F.col(blocked).isNotNull()).select(url, F.col(blocked).cast("double").alias("label")), url)
-    known = written(known, "labelled-urls")
+    known = written(known.withColumn("fold", F.pmod(F.xxhash64(F.lit(FOLDS), F.col(url)), F.lit(FOLDS))), "labelled-urls")
     overall = known.agg(F.count("*").alias("n"), F.coalesce(F.avg("label"), F.lit(0.0)).alias("rate")).first()
     names = ["host", "path", "rule", "verdict", "score"]
     base = urls.drop(*[c for c in names if c in urls.columns])
@@ -110,14 +129,15 @@ def filter_urls(
             "suffix",
             F.log1p(F.coalesce("pages", F.lit(0))).alias("suffix_pages"),
             F.log1p(F.coalesce("n", F.lit(0))).alias("suffix_labelled"),
-            ((F.coalesce("blocks", F.lit(0.0)) + PRIOR_ROWS * overall.rate) / (F.coalesce("n", F.lit(0)) + PRIOR_ROWS)).alias("suffix_blocked"),
+            _rate(F.col("blocks"), F.col("n"), overall.rate).alias("suffix_blocked"),
         )
     )
     stats = written(stats, "suffixes")
     assemble = VectorAssembler(inputCols=LEXICAL + SUFFIX, outputCol="features")
     scored = inner.join(stats, "suffix")
     if 0 < overall.rate < 1:
-        sample = known.orderBy(F.xxhash64(url), url, "label").limit(max_training_rows).join(stats, "suffix")
+        sample = known.orderBy(F.xxhash64(url), url, "label").limit(max_training_rows)
+        sample = out_of_fold(sample, known, overall.rate).join(stats.select("suffix", "suffix_pages"), "suffix")
         training = written(assemble.transform(sample.select(*LEXICAL, *SUFFIX, "label")).select("features", "label"), "url-training")
         model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, cacheNodeIds=False).fit(training)
         scored = model.transform(assemble.transform(scored)).withColumn("score", vector_to_array("probability")[1])

@@ -439,3 +439,28 @@ def test_clashing_and_dotted_names(spark):
 def test_rejected_conversations_share_a_prefix(spark):
     rows = preferences.op9_preference_pairs(spark, SMALL).collect()
     assert sum(r.prompt_turns > 0 for r in rows) > 0.9 * len(rows) and sum(r.chosen != r.rejected for r in rows) > 0.5 * len(rows)
+
+
+def test_suffix_rates_leave_out_the_own_fold(spark):
+    rng = np.random.default_rng(11)
+    rows = [(f"u{i}", f"s{i % 7}", float(rng.integers(0, 2)), i % 5) for i in range(200)]
+    known = spark.createDataFrame(rows, "url string, suffix string, label double, fold int")
+    got = {r.url: (r.suffix_labelled, r.suffix_blocked) for r in url_filter.out_of_fold(known, known, 0.4).collect()}
+    for url, suffix, _, fold in rows:
+        others = [r[2] for r in rows if r[1] == suffix and r[3] != fold]
+        want = (np.log1p(len(others)), (sum(others) + 20 * 0.4) / (len(others) + 20))
+        assert np.allclose(got[url], want)
+
+
+def test_url_trees_on_held_out_labels(spark):
+    """Labels that hold for a host and for long query strings, learned from two thirds of the urls."""
+    rng = np.random.default_rng(12)
+    urls = [f"https://{h}.example.{t}/a/{i}{'?x=1&y=2&z=3' if q else ''}" for i, (h, t, q) in enumerate(zip(rng.choice(["win", "news", "shop", "blog"], 900), rng.choice(["org", "edu"], 900), rng.random(900) < 0.3))]
+    bad = [int("//win." in u or "?" in u) for u in urls]
+    df = spark.createDataFrame(list(zip(range(900), urls, bad)), "page_id long, url string, truth int")
+    known = df.where("page_id % 3 <> 0").select("url", F.col("truth").alias("blocked"))
+    out = url_filter.filter_urls(df, known, []).where("page_id % 3 = 0").collect()
+    assert np.mean([(r.verdict == "block") == bool(r.truth) for r in out]) > 0.95
+    noise = known.withColumn("blocked", (F.xxhash64("url") % 2 == 0).cast("int"))
+    scores = [r.score for r in url_filter.filter_urls(df, noise, []).collect()]
+    assert np.std(scores) < 0.3 and abs(np.mean(scores) - 0.5) < 0.1  # labels without cause teach little
