@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from evalweave.functions.expr import has_text, id_part, lit_list
 from evalweave.functions.joins import one_row
 from evalweave.functions.patterns import PRIVATE_LEAK_PATTERNS, pattern_hits
-from evalweave.operators.genlog import latest_rows
 from evalweave.operators.packs import TEMPLATE_VERSION
 from evalweave.operators.text import private_key_paths
 from evalweave.operators.violations import rule_rows, union_all, violation
@@ -196,12 +195,15 @@ def task_rules(t: FlowTables) -> list[DataFrame]:
 def output_rules(t: FlowTables) -> list[DataFrame]:
     """Frozen outputs: present, clean, and equal to their job and to the latest log row.
 
-    Examples meet jobs, split tasks and log in one chain of joins; all rules read that one row.
+    Examples meet jobs, split tasks and log in one chain of joins; all rules read that one row. Texts
+    stay beside their scans: what the rules ask of them (blank or not, leaks, SHA-256) goes on in
+    their place, so no join or aggregation carries a text.
     """
+    digest = lambda c: F.sha2(c, 256)
     entity = F.concat_ws("/", F.col("pack_id"), F.col("example_id"))
     joined = t.examples.withColumn("is_gen", F.coalesce(F.col("output_status") == "generated", F.lit(False)))
     joined = joined.withColumn("is_text", F.col("is_gen") & has_text("output"))
-    joined = joined.withColumn("leaks", pattern_hits(F.col("output"), t.patterns))  # scanned once
+    joined = joined.withColumns({"leaks": pattern_hits(F.col("output"), t.patterns), "output_digest": digest("output")}).drop("output")
     leaks = F.col("leaks")
     rules = [
         ("H2_not_frozen", "error", ~F.col("is_gen"), F.coalesce("output_status", F.lit(""))),
@@ -216,8 +218,11 @@ def output_rules(t: FlowTables) -> list[DataFrame]:
     out = []
 
     if t.jobs is not None:
-        fields = [*own, "prompt_sha256", "prompt_template_version", "prompt", "material_budget_chars"]
-        j = t.jobs.select("job_id", F.lit(True).alias("j_found"), *[F.col(c).alias(f"j_{c}") for c in fields])
+        fields = [*own, "prompt_sha256", "prompt_template_version", "material_budget_chars"]
+        j = t.jobs.select(
+            "job_id", F.lit(True).alias("j_found"), *[F.col(c).alias(f"j_{c}") for c in fields],
+            F.coalesce(has_text("prompt"), F.lit(False)).alias("j_text"), digest("prompt").alias("j_digest"), pattern_hits(F.col("prompt"), t.patterns).alias("prompt_leaks"),
+        )
         joined = joined.join(one_row(j, "job_id"), "job_id", "left")
         split_of = one_row(t.packs.select("pack_id", "split_id"), "pack_id")
         in_split = t.split_tasks.filter(F.col("role") == "train").select(
@@ -225,27 +230,26 @@ def output_rules(t: FlowTables) -> list[DataFrame]:
         ).distinct()
         joined = joined.join(split_of, "pack_id", "left").join(in_split, ["split_id", "source", "source_task_id"], "left")
         if t.replayed is not None:
-            replayed = one_row(t.replayed.select("example_id", F.col("prompt").alias("r_prompt")), "example_id")
+            replayed = one_row(t.replayed.select("example_id", digest("prompt").alias("r_digest")), "example_id")
             joined = joined.join(replayed, "example_id", "left")
         else:
-            joined = joined.withColumn("r_prompt", F.lit(None).cast("string"))
+            joined = joined.withColumn("r_digest", F.lit(None).cast("string"))
         found = frozen & F.col("j_found").isNotNull()
-        text = found & has_text("j_prompt")
+        text = found & F.col("j_text")
         is_current = F.col("j_prompt_template_version").eqNullSafe(F.lit(t.template_version))
         current = text & F.col("t_found").isNotNull() & is_current
         budget = F.coalesce(F.col("j_material_budget_chars"), F.lit(1))
-        joined = joined.withColumn("prompt_leaks", pattern_hits(F.col("j_prompt"), t.patterns))
         prompt_leaks = F.col("prompt_leaks")
         rules += [
             ("H2_job_missing", "error", frozen & F.col("j_found").isNull(), F.col("job_id")),
             *[(f"H2_job_{c}", "error", found & _differs(c, f"j_{c}"), "") for c in own],
             ("H2_job_prompt_sha256", "error", found & (id_part("prompt_sha256") != "") & _differs("prompt_sha256", "j_prompt_sha256"), ""),
             ("H2_job_template", "error", found & (id_part(template) != "") & _differs("prompt_template_version", "j_prompt_template_version"), ""),
-            ("H2_job_prompt_empty", "error", found & ~has_text("j_prompt"), ""),
+            ("H2_job_prompt_empty", "error", found & ~F.col("j_text"), ""),
             ("H2_job_budget", "error", current & (budget <= 0), ""),
-            ("H2_job_prompt_replay", "error", current & F.col("r_prompt").isNotNull() & _differs("j_prompt", "r_prompt"), ""),
+            ("H2_job_prompt_replay", "error", current & F.col("r_digest").isNotNull() & _differs("j_digest", "r_digest"), ""),
             ("H2_job_not_replayed", "warning", text & F.col("t_found").isNotNull() & ~is_current, F.col("j_prompt_template_version")),
-            ("H2_job_sha_of_prompt", "error", text & ~F.col("j_prompt_sha256").eqNullSafe(F.sha2("j_prompt", 256)), ""),
+            ("H2_job_sha_of_prompt", "error", text & _differs("j_prompt_sha256", "j_digest"), ""),
             ("H2_job_prompt_leaks", "error", text & (F.size(prompt_leaks) > 0), F.array_join(prompt_leaks, " | ")),
         ]
         used = t.examples.filter(id_part("job_id") != "").select("job_id").distinct()
@@ -253,10 +257,12 @@ def output_rules(t: FlowTables) -> list[DataFrame]:
         out.append(violation(orphans, "H2_orphan_job", "job_id", "", "warning"))
 
     if t.log is not None:
-        fields = [*own, "prompt_template_version", "status", "finish_reason", "desired_output"]
-        latest = latest_rows(t.log).select(
-            "job_id", "prompt_sha256", F.lit(True).alias("g_found"), *[F.col(c).alias(f"g_{c}") for c in fields]
-        )
+        fields = [*own, "prompt_template_version", "status", "finish_reason"]
+        narrow = [F.col(c).alias(f"g_{c}") for c in fields]
+        row = F.struct(F.lit(True).alias("g_found"), *narrow, digest("desired_output").alias("g_digest"))
+        keyed = t.log.filter((id_part("job_id") != "") & (id_part("prompt_sha256") != ""))
+        latest = keyed.select("job_id", "prompt_sha256", "seq", row.alias("g")).groupBy("job_id", "prompt_sha256").agg(F.max_by("g", "seq").alias("g"))
+        latest = latest.select("job_id", "prompt_sha256", "g.*")
         joined = joined.join(latest, ["job_id", "prompt_sha256"], "left")
         sha = id_part("prompt_sha256") != ""
         found = frozen & sha & F.col("g_found").isNotNull()
@@ -267,7 +273,7 @@ def output_rules(t: FlowTables) -> list[DataFrame]:
             ("H2_log_template", "error", found & (id_part(template) != "") & _differs("prompt_template_version", "g_prompt_template_version"), ""),
             ("H2_log_status", "error", found & ~F.col("g_status").eqNullSafe(F.lit("success")), F.col("g_status")),
             ("H2_log_finish", "error", found & ~F.col("g_finish_reason").eqNullSafe(F.lit("stop")), F.col("g_finish_reason")),
-            ("H2_log_text", "error", found & _differs("output", "g_desired_output"), ""),
+            ("H2_log_text", "error", found & _differs("output_digest", "g_digest"), ""),
         ]
     return [rule_rows(joined, entity, rules), *out]
 
