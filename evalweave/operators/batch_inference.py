@@ -21,7 +21,7 @@ def run_jobs(jobs: DataFrame, call: Callable[[str], dict[str, Any]], *, concurre
     """Call ``call(prompt)`` for each job on ``concurrency`` partitions.
 
     ``call`` returns a dict with ``text, finish_reason, model``. An exception becomes the row's
-    ``error`` (cut at 500 characters, as error messages are) and never fails the job. The result is
+    ``error`` and never fails the job. The result is
     meant to be appended to the log (A3); a rerun then starts from the pending jobs (D2), so lost
     executors only repeat calls that were not yet logged.
     """
@@ -39,7 +39,7 @@ def run_jobs(jobs: DataFrame, call: Callable[[str], dict[str, Any]], *, concurre
                     result = call(job["prompt"])
                     row.update({f: result.get(f) for f in RESULT_FIELDS})
                 except Exception as exc:  # noqa: BLE001 - one failed call is one row
-                    row["error"] = f"{type(exc).__name__}: {exc}"[:500]
+                    row["error"] = f"{type(exc).__name__}: {exc}"
                 row["duration_seconds"] = round(time.monotonic() - start, 3)
                 out.append(row)
             yield pa.RecordBatch.from_pylist(out, schema=arrow)

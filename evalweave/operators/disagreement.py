@@ -40,14 +40,19 @@ def disagreements(
     *,
     baseline_mode: str,
     modes: Sequence[str] | None = None,
-    max_output_chars: int = 2000,
+    max_output_chars: int | None = None,
 ) -> DataFrame:
     """cells where the two raters' deltas to their own baseline differ in sign.
 
     Rows carry ``overall_score``, ``judge_model`` and ``text``. Four narrow joins on scores find
-    the disagreements first; output texts and their statistics are joined for those cells only.
+    the disagreements first; output texts and their statistics are joined for those cells only. Where
+    both sides carry ``scores`` (map of criterion to an array of ``score, reason, parse_error``), the
+    packets hold them as lists by name: ``left_scores, right_scores, left_baseline_scores,
+    right_baseline_scores``. ``max_output_chars`` shortens the outputs shown; without it they are whole.
     """
     task = ["pack_id", "task_id"]
+    cut = lambda text: truncate_preview(text, max_output_chars or 0)
+    scored = "scores" in left.columns and "scores" in right.columns
 
     def scores(rows: DataFrame, side: str) -> DataFrame:
         return rater_success(rows).select(
@@ -72,9 +77,12 @@ def disagreements(
 
     def texts(rows: DataFrame, name: str, mode: Column | None) -> DataFrame:
         t = rater_success(rows)
+        wide = [F.col("text").alias(name)]
+        if scored:
+            wide.append(F.array_sort(F.map_entries("scores")).alias(name.replace("_base", "_baseline").replace("_text", "_scores")))
         if mode is None:
-            return t.select(*CELL, F.col("text").alias(name))
-        return t.filter(F.col("mode") == mode).select(*task, F.col("text").alias(name))
+            return t.select(*CELL, *wide)
+        return t.filter(F.col("mode") == mode).select(*task, *wide)
 
     base_mode = F.lit(baseline_mode)
     out = (
@@ -89,12 +97,12 @@ def disagreements(
         .withColumn("same_baseline_output", same("left_base_text", "right_base_text"))
         .withColumn("candidate_stats", text_stats("left_text"))
         .withColumn("baseline_stats", text_stats("left_base_text"))
-        .withColumn("candidate_output", truncate_preview("left_text", max_output_chars))
-        .withColumn("baseline_output", truncate_preview("left_base_text", max_output_chars))
+        .withColumn("candidate_output", cut("left_text"))
+        .withColumn("baseline_output", cut("left_base_text"))
         .withColumn("right_candidate_stats", text_stats("right_text"))
         .withColumn("right_baseline_stats", text_stats("right_base_text"))
-        .withColumn("right_candidate_output", F.when(~F.col("same_candidate_output"), truncate_preview("right_text", max_output_chars)))
-        .withColumn("right_baseline_output", F.when(~F.col("same_baseline_output"), truncate_preview("right_base_text", max_output_chars)))
+        .withColumn("right_candidate_output", F.when(~F.col("same_candidate_output"), cut("right_text")))
+        .withColumn("right_baseline_output", F.when(~F.col("same_baseline_output"), cut("right_base_text")))
         .drop("left_text", "right_text", "left_base_text", "right_base_text")
     )
 
@@ -112,32 +120,42 @@ def with_context(
     private: DataFrame | None = None,
     skills: DataFrame | None = None,
     skill_mode: Column | None = None,
-    max_chars: int = 2000,
+    materials: DataFrame | None = None,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """task, private and skill context of each packet by left joins.
 
     ``tasks``: ``pack_id, task_id, source, task_input``. ``private``: ``pack_id, task_id,
     supervision, judge``. ``skills``: ``pack_id, mode, status, seq, skill_md``, last success wins.
-    ``skill_mode`` gives the skill mode of a packet's mode.
+    ``skill_mode`` gives the skill mode of a packet's mode; where ``skills`` carries ``solver_model``, so does
+    the packet. ``materials``: ``pack_id, task_id, pos, path, text``; a packet gets its task's in order.
+    ``max_chars`` shortens texts; without it they are whole.
     """
     key = ["pack_id", "task_id"]
+    cut = lambda text: truncate_preview(text, max_chars or 0)
     if tasks is not None:
-        shown = tasks.select(*key, "source", truncate_preview("task_input", max_chars).alias("task_input"))
+        shown = tasks.select(*key, "source", cut("task_input").alias("task_input"))
         packets = packets.join(one_row(shown, *key), key, "left")
+    if materials is not None:
+        # Only materials of tasks in dispute are gathered.
+        wanted = materials.join(packets.select(*key).distinct(), key, "left_semi")
+        lists = wanted.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "path", cut("text").alias("text")))).alias("materials"))
+        packets = packets.join(lists, key, "left")
     if private is not None:
         packets = packets.join(private.select(*key, "supervision", "judge"), key, "left")
     if skills is not None and skill_mode is not None:
         ok = skills.filter(F.col("status") == "success")
         newest = ok.groupBy("pack_id", "mode").agg(F.max("seq").alias("seq"))
         last = ok.join(newest, ["pack_id", "mode", "seq"], "left_semi").select(
-            "pack_id", F.col("mode").alias("skill_mode"), F.col("skill_md").alias("__md"), F.lit(True).alias("__found")
+            "pack_id", F.col("mode").alias("skill_mode"), F.col("skill_md").alias("__md"), F.lit(True).alias("__found"),
+            *(["solver_model"] if "solver_model" in skills.columns else []),
         )
         packets = packets.withColumn("skill_mode", skill_mode).join(last, ["pack_id", "skill_mode"], "left")
         state = F.when(F.col("skill_mode").isNull(), F.lit(None)).when(F.col("__found"), "found").otherwise("missing")
         packets = (
             packets.withColumn("skill_status", state)
             .withColumn("skill_stats", text_stats("__md"))
-            .withColumn("skill_preview", truncate_preview("__md", max_chars))
+            .withColumn("skill_preview", cut("__md"))
             .drop("__md", "__found")
         )
     return packets

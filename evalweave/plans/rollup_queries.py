@@ -502,14 +502,14 @@ def rater(spark, sf, which: int):
 
 
 def _rater_sql(which: int) -> str:
-    return f"""SELECT pack_id, mode, arg_max(overall_score, seq) AS score, arg_max(status, seq) AS status FROM eval_row
+    return f"""SELECT pack_id, mode, arg_max(overall_score, seq) AS score, arg_max(status, seq) AS status, max(seq) AS seq FROM eval_row
       WHERE (seq // 4) % 2 = {which} GROUP BY ALL"""
 
 
 _DIS = f""",
     l AS (SELECT * FROM ({_rater_sql(0)}) WHERE status = 'success'), r AS (SELECT * FROM ({_rater_sql(1)}) WHERE status = 'success'),
-    b AS (SELECT pack_id, mode, l.score AS ls, r.score AS rs FROM l JOIN r USING (pack_id, mode)),
-    d AS (SELECT x.pack_id, x.mode, x.ls, x.rs, y.ls AS lb, y.rs AS rb, x.ls - y.ls AS ld, x.rs - y.rs AS rd
+    b AS (SELECT pack_id, mode, l.score AS ls, r.score AS rs, l.seq AS lq, r.seq AS rq FROM l JOIN r USING (pack_id, mode)),
+    d AS (SELECT x.pack_id, x.mode, x.ls, x.rs, y.ls AS lb, y.rs AS rb, x.ls - y.ls AS ld, x.rs - y.rs AS rd, x.lq, x.rq, y.lq AS lbq, y.rq AS rbq
       FROM b x JOIN b y ON y.pack_id = x.pack_id AND y.mode = 'prompt_only' WHERE x.mode <> 'prompt_only'),
     s AS (SELECT *, CASE WHEN ld > 1e-9 THEN 'positive' WHEN ld < -1e-9 THEN 'negative' ELSE 'tie' END AS lsig,
       CASE WHEN rd > 1e-9 THEN 'positive' WHEN rd < -1e-9 THEN 'negative' ELSE 'tie' END AS rsig FROM d),
@@ -538,6 +538,38 @@ def disagreement_query(spark, sf):
     ))
 
 
+def _criteria_sql(seq: str) -> str:
+    return f"'accuracy=' || CAST({seq} % 10 AS VARCHAR) || ';style=' || CAST({seq} % 7 AS VARCHAR) || ',' || CAST({seq} % 3 AS VARCHAR)"
+
+
+@query("F19_context", with_tables("eval_row", _DIS + f""",
+    m AS (SELECT conv_id AS pack_id, string_agg('p' || turn || ':' || length(text), ',' ORDER BY turn) AS materials FROM conversations GROUP BY conv_id)
+    SELECT CAST(pack_id AS VARCHAR) AS pack_id, mode, {_criteria_sql("lq")} AS left_scores, {_criteria_sql("rq")} AS right_scores,
+      {_criteria_sql("lbq")} AS left_baseline_scores, {_criteria_sql("rbq")} AS right_baseline_scores, coalesce(materials, '') AS materials,
+      CASE WHEN mode = 'click' AND pack_id % 3 = 0 THEN 'solver' || CAST(pack_id % 2 AS VARCHAR) END AS solver_model
+    FROM k LEFT JOIN m USING (pack_id)"""))
+def _(spark, sf):
+    one = lambda n: F.struct((F.col("seq") % n).cast("double").alias("score"), F.lit("r").alias("reason"), F.lit(None).cast("string").alias("parse_error"))
+    scores = F.create_map(F.lit("style"), F.array(one(7), one(3)), F.lit("accuracy"), F.array(one(10)))
+    packets = D.disagreements(*[rater(spark, sf, w).withColumn("scores", scores) for w in (0, 1)], baseline_mode=B.BASELINE)
+    packs = B.heldout(spark, sf).filter("task_id = '0' and cast(pack_id as int) % 3 = 0")
+    skills = packs.select(
+        "pack_id", F.lit("one").alias("mode"), F.lit("success").alias("status"), F.lit(1).alias("seq"), F.lit("# S").alias("skill_md"),
+        F.concat(F.lit("solver"), (F.col("pack_id").cast("int") % 2).cast("string")).alias("solver_model"),
+    )
+    materials = B.table(spark, sf, "conversations").select(
+        F.col("conv_id").cast("string").alias("pack_id"), F.lit("0").alias("task_id"), F.col("turn").alias("pos"),
+        F.concat(F.lit("p"), F.col("turn").cast("string")).alias("path"), "text",
+    )
+    out = D.with_context(packets, skills=skills, skill_mode=L.mapped(F.col("mode"), {"click": "one"}), materials=materials)
+    shown = lambda c: F.array_join(F.transform(c, lambda e: F.concat(e["key"], F.lit("="), F.array_join(F.transform(e["value"], lambda v: v["score"].cast("int").cast("string")), ","))), ";").alias(c)
+    texts = F.array_join(F.transform("materials", lambda x: F.concat(x["path"], F.lit(":"), F.length(x["text"]).cast("string"))), ",")
+    return out.select(
+        "pack_id", "mode", *[shown(f"{side}_scores") for side in ("left", "right", "left_baseline", "right_baseline")],
+        F.coalesce(texts, F.lit("")).alias("materials"), "solver_model",
+    )
+
+
 @query("F19_output_mismatches", with_tables("eval_row", _DIS + """
     SELECT 'F19_output_mismatch' AS rule_id, 'error' AS severity, pack_id || '::0::' || mode AS entity_id,
       'left and right rows hold different outputs' AS detail FROM k WHERE NOT same"""))
