@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalweave.llm.scratch import written
-from evalweave.llm.tokens import slices
+from evalweave.llm.tokens import drop_encoders, slices
 
 CHUNK_BYTES = 1 << 20
 BUCKET_BYTES = 16 << 20
@@ -81,6 +81,7 @@ def chunked(docs: DataFrame, text: str, doc: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoders()
         number = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in slices(batch, "text", CHUNK_BYTES):
@@ -220,6 +221,7 @@ def per_chunk(df: DataFrame, work: Callable[[int, Chunk, dict], pa.RecordBatch |
     """``work(number, chunk, answers)`` for each chunk; ``answers`` by name as lists of tuples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoders()
         for batch in batches:
             for i in range(batch.num_rows):
                 get = lambda c: batch.column(c)[i].as_py()  # noqa: B023, E731

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from evalweave.llm.scratch import documents
-from evalweave.llm.tokens import slices
+from evalweave.llm.tokens import drop_encoders, slices
 
 SLICE_BYTES = 2 << 20
 STEP = 1 << 20
@@ -286,6 +286,7 @@ def find_leaks(
         shared = sc.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            drop_encoders()
             items = shared.value
             for batch in batches:
                 for part in slices(batch, "text", SLICE_BYTES):
@@ -320,6 +321,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", ite
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            drop_encoders()
             items = shared.value
             for batch in batches:
                 for part in slices(batch, at, SLICE_BYTES):

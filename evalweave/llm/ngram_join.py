@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from evalweave.llm import chunks as C
 from evalweave.llm.components import components
 from evalweave.llm.scratch import documents, release, written
+from evalweave.llm.tokens import drop_encoders
 
 WORDS = 5
 LOWER = np.arange(256, dtype=np.uint8)
@@ -130,6 +131,7 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     """One row per representative and shingle of its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoders()
         for batch in batches:
             useful = np.asarray(batch.column("useful")).astype(np.int64)
             grams = [np.frombuffer(g, "<i8")[:u] for g, u in zip(batch.column("grams").to_pylist(), useful.tolist())]
@@ -153,6 +155,7 @@ def _tested(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoders()
         for batch in batches:
             for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
                 sides = [[np.frombuffer(g, "<u8") for g in part.column(c).to_pylist()] for c in ("grams_a", "grams_b")]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.llm.scratch import documents
-from evalweave.llm.tokens import slices
+from evalweave.llm.tokens import drop_encoders, slices
 
 TERMS = 1024
 REPEAT_WEIGHT = 2.0
@@ -118,6 +118,7 @@ class Neighbours:
 
 
 def _term_column(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drop_encoders()
     for batch in batches:
         for part in slices(batch, "text", SLICE_BYTES):
             terms = term_vectors([(t or "").encode() for t in part.column("text").to_pylist()])
@@ -174,6 +175,7 @@ def score(docs: DataFrame, model: Neighbours, *, text: str = "text", out: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoders()
         for batch in batches:
             for part in slices(batch, at, SLICE_BYTES):
                 terms = term_vectors([(t or "").encode() for t in part.column(at).to_pylist()])

@@ -10,6 +10,7 @@ characters, a special token's string) go to the tokenizer whole.
 
 from __future__ import annotations
 
+import gc
 import re
 from array import array
 from collections.abc import Iterator, Sequence
@@ -208,6 +209,14 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def drop_encoders() -> None:
+    """Frees what earlier tasks of this Python worker have left behind, for steps that encode nothing."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose ``column`` holds at most ``most_bytes`` bytes, or one row."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
