@@ -1,46 +1,10 @@
-"""Joins whose strategy depends on a measured size, and lookups with one row per key."""
+"""Lookups with one row per key."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only when it is measured to hold at most this much.
-BROADCAST_ROWS = 1_000_000
-BROADCAST_BYTES = 64 * 1024 * 1024
-
-
-def measure(df: DataFrame) -> tuple[int, int]:
-    """Rows and a byte estimate of ``df``: text lengths plus 16 bytes per other column."""
-    width = F.lit(0)
-    for field in df.schema.fields:
-        if field.dataType.simpleString() == "string":
-            width = width + F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0)) + F.lit(16)
-        else:
-            width = width + F.lit(16)
-    row = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("b")).first()
-    return row.n, row.b
-
-
-def sized(small: DataFrame) -> DataFrame:
-    """``small`` with a broadcast hint when it is measured to be within the limits, else as it is.
-
-    The side is cached while it is measured, so that the join does not compute it again; the cache
-    spills to disk and is recomputed if an executor is lost. Use it where the other side is far
-    larger (exploded text), so that not shuffling that side pays for the measurement.
-    """
-    cached = small.persist()
-    rows, size = measure(cached)
-    if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
-        return F.broadcast(cached)
-    return cached
-
-
-def join_sized(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    return big.join(sized(small), list(keys), how)
-
 
 def one_row(df: DataFrame, *keys: str) -> DataFrame:
     """One row per key. Of rows that share it the greatest by value stays, whatever the partitioning."""
