@@ -371,6 +371,103 @@ def _(spark, sf):
     return out.select("event_id", R.overall_score(F.col("report")).alias("overall_score"), "parse_error")
 
 
+def reports(spark, sf, body):
+    """Judge reports written from the events, every seventh of them no JSON at all."""
+    e = B.wide_table(spark, sf, "events").withColumn("k", B._k())
+    text = F.when(F.col("k") % 7 == 6, "no json here").otherwise(F.concat(F.lit("Report: "), body(F.col("k")), F.lit(" end")))
+    return e.select("event_id", "k", text.alias("text"))
+
+
+def _object(fields) -> F.Column:
+    """A JSON object text from names and column expressions of JSON values."""
+    parts = [F.concat(F.lit(f'"{name}": '), value if isinstance(value, F.Column) else F.lit(value)) for name, value in fields.items()]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+
+
+_E = "WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)"
+
+
+@query("E12_pattern_reports", _E + """
+    SELECT event_id, CASE WHEN k % 7 = 6 THEN 'no_json_object_found' WHEN k % 13 NOT BETWEEN 1 AND 10 THEN 'pattern_similarity_score_must_be_number_1_to_10'
+        WHEN k % 11 = 0 THEN 'style_similarity_score_must_be_number_1_to_10' WHEN k % 5 = 3 THEN 'unsupported_pattern_risk_must_be_low_medium_or_high'
+        WHEN k % 3 = 2 THEN 'missed_patterns_must_be_list' END AS parse_error,
+      CASE WHEN k % 7 <> 6 THEN CAST(k % 13 AS DOUBLE) END AS pattern_similarity_score,
+      CASE WHEN k % 7 <> 6 THEN CASE k % 5 WHEN 3 THEN 'none' ELSE 'medium' END END AS risk FROM e""")
+def _(spark, sf):
+    def body(k):
+        scores = dict.fromkeys(R.PATTERN_SCORES, "5") | {"pattern_similarity_score": (k % 13).cast("string"), "style_similarity_score": F.when(k % 11 == 0, "true").otherwise("7.5")}
+        risk = F.when(k % 5 == 3, '"none"').otherwise('"medium"')
+        return _object(scores | {"unsupported_pattern_risk": risk} | dict.fromkeys(R.PATTERN_LISTS, "[]") | {"missed_patterns": F.when(k % 3 == 2, '"x"').otherwise('["x"]')})
+
+    out = R.pattern_reports(reports(spark, sf, body))
+    return out.select("event_id", "parse_error", "pattern_similarity_score", F.col("unsupported_pattern_risk").alias("risk"))
+
+
+@query("E12_grounding_reports", _E + """
+    SELECT event_id, CASE WHEN k % 7 = 6 THEN 'no_json_object_found' ELSE nullif(concat_ws(';',
+        CASE WHEN k % 5 = 4 THEN 'grounding_score_not_numeric' WHEN k % 13 NOT BETWEEN 1 AND 10 THEN 'grounding_score_out_of_range' END,
+        CASE WHEN k % 11 NOT BETWEEN 1 AND 10 THEN 'hallucination_risk_out_of_range' END,
+        CASE WHEN k % 3 = 1 THEN 'unsupported_claim_count_not_integer' WHEN k % 6 = 0 THEN 'unsupported_claim_count_negative' END,
+        CASE WHEN k % 2 = 1 THEN 'unsupported_claims_not_list' END), '') END AS parse_error,
+      CASE WHEN k % 7 <> 6 AND k % 5 <> 4 THEN CAST(k % 13 AS DOUBLE) END AS grounding_score,
+      CASE WHEN k % 7 <> 6 AND k % 3 <> 1 THEN CAST(CASE WHEN k % 6 = 0 THEN -1 ELSE k % 4 END AS BIGINT) END AS unsupported_claim_count FROM e""")
+def _(spark, sf):
+    def body(k):
+        return _object({
+            "grounding_score": F.when(k % 5 == 4, '"high"').otherwise((k % 13).cast("string")), "hallucination_risk": (k % 11).cast("string"),
+            "unsupported_claim_count": F.when(k % 3 == 1, "1.5").when(k % 6 == 0, "-1").otherwise((k % 4).cast("string")),
+            "unsupported_claims": F.when(k % 2 == 1, "{}").otherwise('["c"]'),
+        })
+
+    out = R.grounding_reports(reports(spark, sf, body))
+    return out.select("event_id", "parse_error", "grounding_score", "unsupported_claim_count")
+
+
+@query("E12_consistency_reports", _E + """,
+    f AS (SELECT *, list_sort(list_filter([CASE WHEN k % 7 = 6 THEN 'no_json_object_found' END,
+        CASE WHEN k % 13 > 10 THEN 'leakage_penalty_must_be_number_0_to_10' END, CASE WHEN k % 5 = 2 THEN 'matched_constraints_must_be_list' END,
+        CASE WHEN k % 3 = 0 THEN 'rationale_must_be_string' END], lambda x: x IS NOT NULL)) AS errors FROM e)
+    SELECT event_id, CASE WHEN k % 7 = 6 THEN 'no_json_object_found' WHEN k % 13 > 10 THEN 'leakage_penalty_must_be_number_0_to_10'
+        WHEN k % 5 = 2 THEN 'matched_constraints_must_be_list' WHEN k % 3 = 0 THEN 'rationale_must_be_string' END AS parse_error,
+      CASE WHEN k % 7 = 6 THEN 'judge_report_must_be_object' ELSE array_to_string(errors, ',') END AS errors,
+      CASE WHEN k % 7 <> 6 THEN CAST(k % 13 AS DOUBLE) END AS leakage_penalty FROM f""")
+def _(spark, sf):
+    def body(k):
+        scores = dict.fromkeys(R.CONSISTENCY_SCORES, "4") | {"leakage_penalty": (k % 13).cast("string")}
+        lists = dict.fromkeys(R.CONSISTENCY_LISTS, "[]") | {"matched_constraints": F.when(k % 5 == 2, "null").otherwise('["m"]')}
+        return _object(scores | lists | {"rationale": F.when(k % 3 == 0, "[]").otherwise('"why"')})
+
+    out = R.consistency_reports(reports(spark, sf, body))
+    return out.select("event_id", "parse_error", F.array_join("errors", ",").alias("errors"), "leakage_penalty")
+
+
+@query("E12_plan_errors", _E + """
+    SELECT event_id, concat_ws(',', CASE WHEN k % 7 = 6 OR k % 5 = 1 THEN 'grounded_facts_not_list' END,
+        CASE WHEN k % 7 = 6 THEN 'generic_scaffolding_not_list' END, CASE WHEN k % 7 = 6 THEN 'missing_specifics_not_list' WHEN k % 3 = 1 THEN 'missing_specifics_contains_non_string' END,
+        CASE WHEN k % 7 = 6 THEN 'generation_constraints_not_list' WHEN k % 11 = 0 THEN 'generation_constraints_contains_non_string' END) AS errors FROM e""")
+def _(spark, sf):
+    def body(k):
+        return _object({
+            "grounded_facts": F.when(k % 5 == 1, '"f"').otherwise('["f"]'), "generic_scaffolding": "[]",
+            "missing_specifics": F.when(k % 3 == 1, '["s", 3]').otherwise('["s"]'), "generation_constraints": F.when(k % 11 == 0, '["c", " "]').otherwise('["c"]'),
+        })
+
+    out = R.plan_errors(reports(spark, sf, body))
+    return out.select("event_id", F.array_join("errors", ",").alias("errors"))
+
+
+@query("E12_abstract_signatures", _E + """
+    SELECT event_id, p AS pos, '{"n":' || (k + p) || '}' AS signature
+    FROM e, (VALUES (0), (1), (2)) v(p) WHERE k % 7 <> 6 AND p < k % 4""")
+def _(spark, sf):
+    def body(k):
+        item = lambda i: F.when(k % 4 > i, F.concat(F.lit('{"n":'), (k + i).cast("string"), F.lit("}")))
+        return _object({"abstract_example_signatures": F.concat(F.lit('["no object", '), F.concat_ws(", ", item(0), item(1), F.lit("7"), item(2)), F.lit("]"))})
+
+    out = R.abstract_signatures(reports(spark, sf, body), ["event_id"])
+    return out.select("event_id", "pos", F.to_json("signature").alias("signature"))
+
+
 def slide_rows(spark, sf):
     docs = B.wide_table(spark, sf, "documents")
     n = F.col("doc_id")

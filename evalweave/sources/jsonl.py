@@ -100,12 +100,17 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def merge_files(spark: SparkSession, paths: Sequence[str], *, severity: str = "error") -> tuple[DataFrame | None, DataFrame]:
-    """A4: the scans of several inputs in the given order, and a violation for each missing one."""
+    """A4: the scans of several inputs in the given order, and a violation for each missing one.
+
+    Only a path that does not exist counts as missing; any other fault of an input is raised.
+    """
     scans, missing = [], []
     for i, path in enumerate(paths):
         try:
             scans.append(scan_lines(spark, path).withColumn("file_ordinal", F.lit(i)))
-        except AnalysisException:
+        except AnalysisException as fault:
+            if fault.getCondition() != "PATH_NOT_FOUND":
+                raise
             missing.append(path)
     merged = None
     for s in scans:
