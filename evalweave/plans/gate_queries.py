@@ -85,6 +85,29 @@ def _(spark, sf):
     return H.schema_violations(e.select(F.col("event_id").alias("seq"), raw.alias("raw")), "generated_outputs")
 
 
+@query("H1_skill_rows", """
+    WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+    f AS (SELECT event_id, list_filter([
+        CASE WHEN k % 13 = 0 THEN 'unsupported schema_version: skill/v0' END, CASE WHEN k % 11 = 0 THEN 'mode must be a non-empty string' END,
+        CASE WHEN k % 7 = 0 THEN 'missing required field: model_calls' WHEN k % 7 = 1 THEN 'model_calls must be a list' END,
+        CASE WHEN k % 5 = 4 THEN 'solver_model must be a string or null' END,
+        CASE WHEN k % 3 = 0 AND k % 4 = 1 THEN 'skill_md must be a non-empty string' END,
+        CASE WHEN k % 3 = 1 AND k % 4 = 0 THEN 'missing required field: error' END,
+        CASE WHEN k % 3 = 2 THEN 'unsupported skill row status: odd' END], lambda x: x IS NOT NULL) AS fs FROM e)
+    SELECT 'H1_skills' AS rule_id, 'error' AS severity, CAST(event_id AS VARCHAR) AS entity_id, unnest(fs) AS detail FROM f""")
+def _(spark, sf):
+    e = B.wide_table(spark, sf, "events").withColumn("k", B._k())
+    k = F.col("k")
+    status = F.when(k % 3 == 0, "success").when(k % 3 == 1, "induction_error").otherwise("odd")
+    raw = F.concat(
+        F.lit('{"schema_version":"'), F.when(k % 13 == 0, "skill/v0").otherwise(H.SKILL_SCHEMA), F.lit('","status":"'), status, F.lit('","pack_id":"p","mode":"'),
+        F.when(k % 11 == 0, " ").otherwise("m"), F.lit('","skill_md":'), F.when(k % 4 == 1, '""').otherwise('"# s"'),
+        F.when(k % 7 == 0, "").when(k % 7 == 1, ',"model_calls":{}').otherwise(',"model_calls":[]'),
+        F.when(k % 5 == 4, ',"solver_model":7').when(k % 5 == 3, ',"solver_model":null').otherwise(""), F.when(k % 4 == 0, "").otherwise(',"error":"e"'), F.lit("}"),
+    )
+    return H.schema_violations(e.select(F.col("event_id").alias("seq"), raw.alias("raw")), "skills", mode="all")
+
+
 # -- H2 -----------------------------------------------------------------------------------------
 
 
