@@ -365,6 +365,36 @@ def _(spark, sf):
     )
 
 
+@query("H7_readiness_smoke", _FLOW + """,
+    c AS (SELECT o.pk, count(l.e) AS t, count(l.e) FILTER (p % 61 <> 0) AS g FROM o LEFT JOIN l ON l.pk = o.pk AND l.train GROUP BY 1),
+    hl AS (SELECT * FROM l WHERE NOT train),
+    v AS (SELECT 'H7_no_train_examples' AS rule_id, 'error' AS severity, pk AS entity_id, '' AS detail FROM c WHERE t = 0
+      UNION ALL SELECT 'H7_few_outputs', 'error', pk, CAST(g AS VARCHAR) FROM c WHERE g < 2
+      UNION ALL SELECT 'H7_not_frozen', 'error', pk, '' FROM c WHERE g < t
+      UNION ALL SELECT 'H7_' || name || '_incomplete', severity, pk || '::' || e, '' FROM hl, (VALUES ('main', 'error'), ('extra', 'warning')) n(name, severity)
+        WHERE p % 13 <> 0 AND (p % 17 = 0 OR p % 19 = 0)
+      UNION ALL SELECT 'H7_official_absent', 'warning', '', '' WHERE EXISTS (SELECT 1 FROM hl)
+      UNION ALL SELECT 'H7_model_monoculture', 'warning', 'm1', 'some rows lack model identity'
+      UNION ALL SELECT 'H1_eval', 'error', CAST(event_id AS VARCHAR), 'row must be an object' FROM events WHERE event_id % 997 = 0)
+    SELECT rule_id, severity, entity_id, detail FROM v""")
+def _(spark, sf):
+    packs, examples, held = pack_tables(spark, sf)
+    evals = eval_of_orders(spark, sf)
+    e = B.table(spark, sf, "events")
+    faults = H.schema_violations(e.filter("event_id % 997 = 0").select(F.col("event_id").alias("seq"), F.lit("[]").alias("raw")), "eval")
+    one, none = F.array(F.lit("m1")), F.array().cast("array<string>")
+    status = F.lit("success").alias("status")
+    inventory = R.model_inventory(
+        packs.select(F.when(F.substring("pack_id", 2, 20).cast("bigint") % 2 == 0, one).otherwise(none).alias("solver_models")),
+        e.select(status, one.alias("solver_models"), none.alias("judge_models")),
+    )
+    return R.readiness(
+        R.Profile(skill_modes=("s1",), eval_modes=("a", "b"), complete=False), packs=packs, examples=examples, heldout=held,
+        skills=packs.limit(0).select("pack_id", F.lit("s1").alias("mode"), status, F.lit("# s").alias("skill_md")),
+        evals={"main": (evals, "src0"), "extra": (evals, None)}, surrogate="extra", official=(evals.limit(0), None), inventory=inventory, schema_faults=[faults],
+    )
+
+
 @query("H8_source_coverage", """
     WITH d AS (SELECT CASE WHEN doc_id % 50 = 0 THEN 'unknown' ELSE source END AS source, lang, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE CAST(doc_id % 4 AS VARCHAR) END AS p, doc_id % 3 AS s FROM documents)
     SELECT source, 'source' AS facet, '' AS value, count(*) AS n FROM d GROUP BY ALL UNION ALL SELECT source, 'primary', p, count(*) FROM d WHERE p IS NOT NULL GROUP BY ALL
