@@ -31,6 +31,7 @@ RESULT = "C"
 REROLE, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
 ROLES = {"u": "user", "a": "assistant"}
 IN_ORDER = {"su", "ua", "au"}
+SIGNS = ("s", "u", "a")
 BLANKS = " \t\n\x0b\x0c\r"
 
 BLOCK_ROWS = 512
@@ -69,11 +70,15 @@ Node = tuple  # (state, node below)
 ROOT: Node = (0, None)
 
 
-@cache
 def shift(node: Node, sign: str) -> Node | None:
     """The stack after ``sign`` and all reductions that follow, or None where it can't stand."""
+    return _shift(node, sign) if sign in SIGNS else None
+
+
+@cache
+def _shift(node: Node, sign: str) -> Node | None:
     target = MOVES[node[0]].get(sign)
-    if target is None or sign not in "sua" or not sign:
+    if target is None:
         return None
     node = (target, node)
     while done := [r for r, d in STATES[node[0]] if d == len(GRAMMAR[r][1]) and GRAMMAR[r][0] != RESULT]:
@@ -91,7 +96,7 @@ def accepts(node: Node) -> bool:
 def _stacks() -> list[Node]:
     found = [ROOT]
     for node in found:  # grows while it runs
-        found.extend(n for s in "sua" if (n := shift(node, s)) is not None and n not in found)
+        found.extend(n for s in SIGNS if (n := shift(node, s)) is not None and n not in found)
     return found
 
 
@@ -183,22 +188,17 @@ class Renderer:
 # ---- Spark steps -------------------------------------------------------------------------------
 
 
-def _runs(batches: Iterator[pa.RecordBatch], key: str, most: int | None = None) -> Iterator[tuple[bool, list[dict]]]:
-    """Neighbouring rows of equal ``key``, as (whether the run begins here for sure, rows).
-
-    With ``most``, a longer run comes in parts of that many rows.
-    """
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
+    """Neighbouring rows of equal ``key``, also across batches."""
     rows: list[dict] = []
-    begins = False
     for batch in batches:
         for row in batch.to_pylist():
-            other = bool(rows) and row[key] != rows[-1][key]
-            if other or len(rows) == most:
-                yield begins, rows
-                rows, begins = [], other
+            if rows and row[key] != rows[-1][key]:
+                yield rows
+                rows = []
             rows.append(row)
     if rows:
-        yield begins, rows
+        yield rows
 
 
 def _same(left: Column, right: Column) -> Column:
@@ -254,7 +254,7 @@ def _block_moves(flagged: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[dict] = []
-        for _, rows in _runs(batches, "block"):
+        for rows in _runs(batches, "block"):
             single: list[tuple[str, bool, bool]] = []
             total = dict.fromkeys(counts, 0)
             for r in rows:
@@ -298,7 +298,7 @@ def _fold(moves: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[dict] = []
-        for _, blocks in _runs(batches, "conv"):
+        for blocks in _runs(batches, "conv"):
             # Per stack: cost, audit, and the audits of the blocks as a list linked backwards.
             tops: dict[int, tuple] = {STACKS.index(ROOT): (0, "", None)}
             total, last = dict.fromkeys(counts, 0), None
