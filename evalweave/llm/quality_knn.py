@@ -47,6 +47,24 @@ def _shapes() -> np.ndarray:
 SHAPES = _shapes()
 
 
+BLANK = (SHAPES == 0) | (SHAPES == 4) | (np.arange(256) == 0)
+
+
+def _to_blank(data: np.ndarray, at: int) -> int:
+    """The first place from ``at`` on that holds a blank, or the end."""
+    while at < len(data):
+        found = np.flatnonzero(BLANK[data[at : at + 4096]])
+        if len(found):
+            return at + int(found[0])
+        at += 4096
+    return len(data)
+
+
+def _powers(n: int) -> np.ndarray:
+    """Powers of an odd number, modulo 2**64."""
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, 0x9E3779B97F4A7C15, np.uint64)]), dtype=np.uint64)
+
+
 def term_vectors(texts: list[bytes]) -> np.ndarray:
     """Rows of unit length: square roots of hashed shape trigram counts, then the share of repeats."""
     out = np.zeros((len(texts), TERMS + 2), np.float32)
@@ -56,10 +74,12 @@ def term_vectors(texts: list[bytes]) -> np.ndarray:
     counts = np.zeros(len(texts) * TERMS, np.int64)
     repeats, words = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     last_word, last_doc = np.uint64(0), -1
-    for at in range(0, len(data), STEP):
-        # Two bytes of the next step, so that no trigram is lost between steps.
-        part = data[at : at + STEP + 2]
-        n = min(STEP, len(data) - at)
+    at = 0
+    while at < len(data):
+        # A step ends in front of a blank, so no word is cut. Two bytes of the next step follow, so that no
+        # trigram is lost between steps.
+        n = _to_blank(data, at + STEP) - at
+        part = data[at : at + n + 2]
         doc = np.searchsorted(starts, np.arange(at, at + n), "right") - 1
         shape = SHAPES[part]
         whole = np.arange(at, at + n) - starts[doc] < sizes[doc] - 10
@@ -68,20 +88,21 @@ def term_vectors(texts: list[bytes]) -> np.ndarray:
         bucket = ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)).astype(np.int64)
         keep = whole[:m]
         counts += np.bincount(doc[:m][keep] * TERMS + bucket[keep], minlength=len(counts))
-        # Words: the first eight bytes stand for a word.
-        blank = (shape[:n] == 0) | (shape[:n] == 4) | (part[:n] == 0)
-        before = np.concatenate([[at == 0 or data[at - 1] in b" \n\t\r\0"], blank[:-1]])
+        blank = BLANK[part[:n]]
+        before = np.concatenate([[at == 0 or BLANK[data[at - 1]]], blank[:-1]])
         first = np.flatnonzero(~blank & before)
         if len(first):
-            ends = np.flatnonzero(blank)
-            length = np.append(ends, n)[np.searchsorted(ends, first)] - first
-            eight = np.lib.stride_tricks.sliding_window_view(np.append(data[at : at + n + 8], np.zeros(8, np.uint8)), 8)[first]
-            word = np.where(np.arange(8) < length[:, None], eight, 0).astype(np.uint8).copy().view("<u8")[:, 0]
+            # A word's hash: a polynomial in its bytes, all of them.
+            place = np.arange(n)
+            inside = place - np.maximum.accumulate(np.where(~blank & before, place, 0))
+            value = np.where(blank, np.uint64(0), (part[:n].astype(np.uint64) + np.uint64(1)) * _powers(int(inside[~blank].max()) + 1)[np.where(blank, 0, inside)])
+            word = np.add.reduceat(value, first)
             owner = doc[first]
             same = (word == np.concatenate([[last_word], word[:-1]])) & (owner == np.concatenate([[last_doc], owner[:-1]]))
             repeats += np.bincount(owner[same], minlength=len(texts))
             words += np.bincount(owner, minlength=len(texts))
             last_word, last_doc = word[-1], owner[-1]
+        at += n
     hist = np.sqrt(counts.reshape(len(texts), TERMS))
     norm = np.linalg.norm(hist, axis=1, keepdims=True)
     out[:, :TERMS] = hist / np.maximum(norm, 1)

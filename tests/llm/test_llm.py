@@ -99,6 +99,33 @@ def test_term_vectors_do_not_depend_on_steps(monkeypatch):
     assert all(np.allclose(quality_knn.term_vectors([t])[0], w) for t, w in zip(texts, whole))
 
 
+def test_repeats_are_of_whole_words(monkeypatch):
+    texts = [b"the the cat " * 30, b"international internationally internationally x", b"", b"y" * 500, b" a\ta\n a", b"a" * 8 + b" " + b"a" * 9]
+    rows = quality_knn.term_vectors(texts)
+    for text, row in zip(texts, rows):
+        words = text.split()
+        share = sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words) - 1)
+        assert np.isclose(row[-2], share * quality_knn.REPEAT_WEIGHT)
+    for step in (7, 100):
+        monkeypatch.setattr(quality_knn, "STEP", step)
+        assert np.allclose(quality_knn.term_vectors(texts), rows)
+
+
+def test_votes_equal_plain_loops(spark, odd):
+    """Cosines and weighted votes one by one, over the model's own vectors."""
+    docs = frame(spark, [(i, t) for i, t in odd if i is not None])
+    model = quality_knn.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(1, 14)], "doc_id long, label int"))
+    texts = [(t or "").encode() for _, t in odd]
+    got = model.scores(quality_knn.term_vectors(texts), 5, 8.0)
+    for terms, score in zip(quality_knn.term_vectors(texts), got):
+        latent = model.project(terms[None])[0]
+        cosines = sorted(((float(np.dot(latent, v)), int(y)) for v, y in zip(model.vectors, model.labels)), reverse=True)
+        if abs(cosines[4][0] - cosines[5][0]) < 1e-6:
+            continue  # any of the equally near may vote
+        weights = [(max(c, 1e-9) ** 8, y) for c, y in cosines[:5]]
+        assert abs(score - sum(w * y for w, y in weights) / sum(w for w, _ in weights)) < 1e-3
+
+
 # ---- decontamination --------------------------------------------------------------------------
 
 
