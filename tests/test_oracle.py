@@ -13,7 +13,9 @@ SAMPLE = [
     "E2_private_key_paths", "E3_text_ngrams", "E7_train_literals", "E8_evidence_inventory", "E10_section_rules", "E13_pages",
     "F4_cell_scores", "F6_paired_deltas", "F6_missing_pairs", "F7_coverage_cells", "F8_negative_transfer", "F13_token_usage",
     "F15_artifact_deltas", "F19_disagreements", "F20_taxonomy_violations", "F25_worklist", "G1_rule_support", "G3_lessons",
-    "G5_anchor_context", "H1_eval_rows_all", "H5_eval_coverage", "I5_pack_audit",
+    "G5_anchor_context", "H1_eval_rows_all", "H5_eval_coverage", "I5_pack_audit", "D4_response_status", "E12_pattern_reports",
+    "F6_missing_pairs_observed", "F9_group_report", "F11_score_rollup", "F11_coverage", "F11_tokens", "F18_pattern_summary",
+    "F19_context", "F22_from_listing", "H1_skill_rows",
 ]
 
 
