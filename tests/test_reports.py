@@ -294,3 +294,44 @@ def test_lesson_from_an_object_with_a_long_string(spark):
     long = "x" * 100_000 + r"\n,:\"" * 30_000
     df = spark.createDataFrame([('{"a":"%s","b":[1,2]}' % long,)], "t string")
     assert df.select(spaced_json(F.col("t")).alias("s")).first().s == '{"a": "%s", "b": [1, 2]}' % long
+
+
+def test_flow_audit_moves_faults_not_rows_between_its_joins(spark, rows):
+    """H2 on odd tables: every rule once, roles beyond the two, empty and null ids; no join result carries both sides on."""
+    from evalweave.operators import flow_audit as X
+
+    text = "pack_id string, pos int, example_id string, source string, source_task_id string, output_status string, output string, job_id string, prompt_sha256 string, prompt_template_version string"
+    examples = spark.createDataFrame([
+        ("p1", 0, "e1", "a", "1", "generated", "t", "j1", "x", "v"), ("p1", 1, "e2", "a", "2", "generated", "t", "", "", "v"),
+        ("p2", 0, "e3", "b", "3", "generated", "t", "j3", "x", "v"), ("p3", 0, "e4", "c", "4", "generated", "t", None, None, "v"),
+    ], text)
+    heldout = spark.createDataFrame([("p1", 0, "e1", "a", "1", False)], "pack_id string, pos int, task_id string, source string, source_task_id string, has_output boolean")
+    private = spark.createDataFrame([
+        ("p1", "train", 0, "e1", "a", "1", "{}", "{}"), ("p1", "train", 1, "e1", "a", "1", "{}", "{}"), ("p1", "extra", 2, "e9", "a", "9", "{}", "{}"),
+        ("p2", "train", 0, "e3", "b", None, "{}", "{}"), ("p9", "train", 0, "e9", "b", "9", "{}", "{}"),
+    ], "pack_id string, role string, pos int, task_ref string, source string, source_task_id string, supervision string, judge string")
+    jobs = spark.createDataFrame([
+        ("j1", "p1", "e1", "a", "1", "x", "v", "prompt", 1), ("", "p", "e", "a", "1", "x", "v", "prompt", 1), ("j3", "p2", "e3", "other", "3", "y", "v", "prompt", 0),
+    ], "job_id string, pack_id string, example_id string, source string, source_task_id string, prompt_sha256 string, prompt_template_version string, prompt string, material_budget_chars int")
+    t = X.FlowTables(
+        splits=spark.createDataFrame([("s1", "a", "d"), ("s2", "b", "d")], "split_id string, source string, domain string"),
+        split_tasks=spark.createDataFrame([("s1", "train", "a", "1"), ("s1", "extra", "a", "7"), ("s2", "train", "b", "3")], "split_id string, role string, source string, source_id string"),
+        packs=spark.createDataFrame([("p1", "s1", "a", "d"), ("p2", "s2", "b", "d"), ("p3", "gone", "c", "d")], "pack_id string, split_id string, source string, domain string")
+        .selectExpr("*", "array('train_examples.desired_output.text') AS can_use", "array('x') AS must_not_use"),
+        examples=examples, heldout=heldout, private_rows=private.select("pack_id", "source").distinct().selectExpr("pack_id", "'s1' AS split_id", "source"),
+        private_tasks=private, jobs=jobs, template_version="v",
+    )
+    got = rows(X.union_all([*X.task_rules(t), *X.output_rules(t)]), "rule_id", "severity", "entity_id", "detail")
+    assert got == sorted([
+        ("H2_source_tasks_overlap", "error", "p1", "a/1"), ("H2_ids_overlap", "error", "p1", "e1"),
+        ("H2_split_tasks_differ", "error", "p1", "train"), ("H2_split_tasks_differ", "error", "p1", "heldout"), ("H2_split_tasks_differ", "error", "p1", "extra"),
+        ("H2_duplicate_task_ref", "error", "p1.train", "e1"), ("H2_private_refs_differ", "error", "p1", "train"),
+        ("H2_private_refs_differ", "error", "p1", "heldout"), ("H2_private_refs_differ", "error", "p1", "extra"), ("H2_private_source_id", "error", "p1", "extra.e9"),
+        ("H2_private_source_id", "error", "p2", "train.e3"),
+        ("H2_no_job_id", "error", "p1/e2", ""), ("H2_no_job_id", "error", "p3/e4", ""), ("H2_orphan_job", "warning", "", ""),
+        ("H2_job_sha_of_prompt", "error", "p1/e1", ""), ("H2_job_sha_of_prompt", "error", "p2/e3", ""), ("H2_job_source", "error", "p2/e3", ""),
+        ("H2_job_prompt_sha256", "error", "p2/e3", ""), ("H2_job_budget", "error", "p2/e3", ""),
+    ])
+    plan = X.output_rules(t)[0]._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join")]  # what stands over the last join
+    assert "j_pack_id" not in above and "prompt" not in above
