@@ -225,3 +225,23 @@ def test_blank_materials_are_gathered_in_blocks(spark):
     context = P.material_context(blanks.unionByName(ends), max_chars=5).first().context
     header = "## Material: b (x)\n\n"
     assert context == "## Material: first (x)\nabc\n\n" + header * n + "## Material: last (x)\nde"
+
+
+def test_texts_of_responses_and_superseded_rows_are_not_shuffled(spark, rows):
+    from evalweave.operators import genlog as G
+
+    jobs = spark.createDataFrame([("j", "x", "p", "e")], "job_id string, prompt_sha256 string, pack_id string, example_id string")
+    responses = spark.createDataFrame([
+        ("j", "x", "fine", "stop", None), ("j", "x", "a hidden rubric", "stop", None), ("j", "x", None, "stop", "timeout"), ("other", "x", "t", "stop", None),
+    ], "job_id string, prompt_sha256 string, text string, finish_reason string, error string")
+    out = G.classify_responses(jobs, responses)
+    assert rows(out, "status", "desired_output") == [("error", None), ("rejected_private_leak", None), ("success", "fine")]
+    plan = out.drop("desired_output")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.lower().index("rubric")  # judged below the join
+
+    log = spark.createDataFrame([
+        ("j", "x", 1, "success", "stop", "old"), ("j", "x", 2, "success", "stop", "new"), ("k", "x", 3, "success", "stop", "old"), ("k", "x", 4, "error", "stop", None), ("", "x", 5, "success", "stop", "t"),
+    ], "job_id string, prompt_sha256 string, seq long, status string, finish_reason string, desired_output string")
+    latest = G.latest_success(log)
+    assert rows(latest, "seq", "desired_output") == [(2, "new")]
+    assert "getbit" in latest._jdf.queryExecution().optimizedPlan().toString().lower()
