@@ -11,23 +11,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.functions.expr import col, strip
+from evalweave.functions.expr import col, let, strip
 
 _V = "variant"
 NO_JSON = "no_json_object_found"
 NOT_OBJECT = "json_root_is_not_object"
 
 
+# What stands behind a text that is tested for being one JSON value.
+_END = "__end_of_value__"
+
+
 def strict_json(text: Column) -> Column:
     """A VARIANT when the *whole* text is one JSON value, else null.
 
-    ``try_parse_json`` stops after the first value. Wrapped into an array and into an object the
-    text only parses when nothing follows it.
+    ``try_parse_json`` stops after the first value. In an array, in front of a mark that the text does
+    not hold, it yields two items and the mark last only when it is one value. A text that no value can
+    begin or end is not parsed: a parse that fails costs far more than one that succeeds.
     """
-    as_item = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    as_member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    single = F.size(F.try_variant_get(as_item, "$", "array<variant>")) == 1
-    return F.when(single & as_member.isNotNull(), F.try_variant_get(as_item, "$[0]", _V))
+    may_be = text.rlike(r'^[ \t\r\n]*+[\[{"0-9tfn-]') & text.rlike(r'[\]}"0-9el][ \t\r\n]*+\z') & ~F.contains(text, F.lit(_END))
+
+    def single(items: Column) -> Column:
+        whole = (F.size(items) == 2) & (F.try_variant_get(F.get(items, F.lit(1)), "$", "string") == _END)
+        return F.when(whole, F.get(items, F.lit(0)))
+
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]'))), "$", "array<variant>")
+    return F.when(may_be, let(items, single))
 
 
 def _braces(text: Column) -> Column:
@@ -192,28 +201,38 @@ def consistency_errors(report: Column, parse_error: Column, scores: Column | Non
 
     ``scores`` is a struct of the numeric fields when the caller has it already.
     """
-    if_object = kind(report) == "object"
-    parts = [parse_error]
+    parts = _consistency_faults(report, scores)
+    return _all_faults(report, F.array(parse_error, *parts))
+
+
+def _consistency_faults(report: Column, scores: Column | None = None) -> list[Column]:
+    """The faults of a report's own fields in their order, null where a field is as it should be."""
+    parts = []
     for f in CONSISTENCY_SCORES:
         number = field_number(report, f) if scores is None else scores[f]
         parts.append(F.when(_out_of(number, 0, 10), f"{f}_must_be_number_0_to_10"))
     for f in CONSISTENCY_LISTS:
         parts.append(F.when(field_kind(report, f) != "list", f"{f}_must_be_list"))
     parts.append(F.when(field_kind(report, "rationale") != "string", "rationale_must_be_string"))
-    all_faults = F.array_sort(F.array_distinct(F.array_compact(F.array(*parts))))
-    return F.when(if_object, all_faults).otherwise(F.array(F.lit("judge_report_must_be_object")))
+    return parts
+
+
+def _all_faults(report: Column, faults: Column) -> Column:
+    all_faults = F.array_sort(F.array_distinct(F.array_compact(faults)))
+    return F.when(kind(report) == "object", all_faults).otherwise(F.array(F.lit("judge_report_must_be_object")))
 
 
 def consistency_reports(df: DataFrame, text: str = "text") -> DataFrame:
     """Seven scores 0-10, two lists, a rationale; the first fault is the parse error."""
     out = parse_object(df, text)
     r = F.col("report")
-    own = [(_out_of(field_number(r, f), 0, 10), f"{f}_must_be_number_0_to_10") for f in CONSISTENCY_SCORES]
-    own += [(field_kind(r, f) != "list", f"{f}_must_be_list") for f in CONSISTENCY_LISTS]
-    own.append((field_kind(r, "rationale") != "string", "rationale_must_be_string"))
-    error = F.coalesce(F.col("parse_error"), _first(own))
-    scores = {f: field_number(r, f) for f in CONSISTENCY_SCORES}
-    return out.withColumns({"parse_error": error, "errors": consistency_errors(r, error), **scores})
+    # Each field is read once; error and list of errors come from the same faults.
+    out = out.withColumn("__scores", F.struct(*[field_number(r, f).alias(f) for f in CONSISTENCY_SCORES]))
+    out = out.withColumn("__own", F.array_compact(F.array(*_consistency_faults(r, F.col("__scores")))))
+    error = F.coalesce(F.col("parse_error"), F.get("__own", F.lit(0)))
+    errors = _all_faults(r, F.concat(F.array(error), "__own"))
+    scores = {f: F.col("__scores")[f] for f in CONSISTENCY_SCORES}
+    return out.withColumns({"parse_error": error, "errors": errors, **scores}).drop("__scores", "__own")
 
 
 def plan_errors(df: DataFrame, text: str = "text") -> DataFrame:

@@ -223,3 +223,24 @@ def test_each_leak_pattern_has_its_phrase(spark):
     assert all(r.h == r.w for r in got)
     assert set().union(*(r.h for r in got)) == set(PRIVATE_LEAK_PATTERNS)
     assert not any(r.h for r in got[len(PLANTED) - 6 : len(PLANTED)])
+
+
+def test_strict_json_takes_one_whole_value_and_parses_it_once(spark):
+    from evalweave.operators import responses as R
+
+    good = {"1": "1", " -2.5 ": "-2.5", "\t\n{\"a\": [1]}\r\n": '{"a":[1]}', "[]": "[]", '"x"': '"x"', "true": "true", "null": "null", "false": "false", "1e5": "100000"}
+    bad = ["", " ", "1,2", "1, 2], [3", "1] , [2", "[1", "1]", "{} {}", "{}}", "] [", "{\"a\":1},", "nul", "Report: {}", "{} end", '1,"__end_of_value__"],[', " 1", "{\"a\":1,\"a\":2}"]
+    df = spark.createDataFrame([(t,) for t in [*good, *bad]], "t string")
+    got = {r.t: r.v for r in df.select("t", F.to_json(R.strict_json(F.col("t"))).alias("v")).collect()}
+    assert {t: v for t, v in got.items() if t in bad} == dict.fromkeys(bad)
+    assert all(got[t] is not None for t in good) and got["[]"] == "[]" and got[' -2.5 '] == "-2.5"
+    plan = df.select(R.strict_json(F.col("t")).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") <= 1
+
+
+def test_wide_table_spreads_a_file_of_one_row_group(spark):
+    from evalweave.plans import bindings as B
+    from tests.conftest import SMALL
+
+    sizes = B.wide_table(spark, SMALL, "events").groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 2 * spark.sparkContext.defaultParallelism - 1
