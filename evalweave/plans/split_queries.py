@@ -172,7 +172,7 @@ def _(spark, sf):
     SELECT doc_id, CASE WHEN s = '' THEN 'item' ELSE s END AS slug FROM (
       SELECT doc_id, trim(regexp_replace(regexp_replace(trim(text, ' ' || chr(10)), '[^A-Za-z0-9._-]+', '_', 'g'), '_+', '_', 'g'), '_') AS s FROM documents)""")
 def _(spark, sf):
-    return B.table(spark, sf, "documents").select("doc_id", slug("text").alias("slug"))
+    return B.wide_table(spark, sf, "documents").select("doc_id", slug("text").alias("slug"))
 
 
 def materials(spark, sf):
