@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.functions.expr import count_where, id_part, label, let, ratio
+from evalweave.functions.expr import count_where, id_part, label, ratio
 from evalweave.operators.responses import CONSISTENCY_SCORES, consistency_errors, field_number
 from evalweave.operators.scoring import numeric_summary
 from evalweave.operators.text import section_rule_counts
@@ -102,18 +102,17 @@ def consistency_rows(rows: DataFrame) -> DataFrame:
     ``rows``: ``pack_id, mode, status, seq, judge_report`` (JSON text), ``matched_literal_count``,
     ``has_literal_leakage``.
     """
-    def check(report: Column) -> Column:
-        recorded = F.try_variant_get(report, "$.parse_error", "string")
-
-        def with_errors(n: Column) -> Column:
-            errors = F.coalesce(consistency_errors(report, recorded, n), F.array(F.lit("judge_report_must_be_object")))
-            return F.struct(errors.alias("errors"), *[n[f].alias(f) for f in CONSISTENCY_SCORES])
-
-        return let(F.struct(*[field_number(report, f).alias(f) for f in CONSISTENCY_SCORES]), with_errors)
-
-    # Bound as a variable, the report is parsed once even where a filter on `errors` is pushed down.
+    # Behind an explode of one item the parse, and then the faults, stand as columns: a filter on ``errors``
+    # is not pushed in front of them, where each row would be parsed again, and before the rows are dealt out.
     out = rows.filter(F.col("status") == "success").withColumn("mode", label("mode"))
-    return out.withColumn("c", let(F.try_parse_json("judge_report"), check)).select("*", "c.*").drop("c")
+    out = out.select("*", F.explode(F.array(F.try_parse_json("judge_report"))).alias("__report"))
+    report, scores = F.col("__report"), F.col("__scores")
+    out = out.withColumn("__scores", F.struct(*[field_number(report, f).alias(f) for f in CONSISTENCY_SCORES]))
+    recorded = F.try_variant_get(report, "$.parse_error", "string")
+    errors = F.coalesce(consistency_errors(report, recorded, scores), F.array(F.lit("judge_report_must_be_object")))
+    checked = F.struct(errors.alias("errors"), *[scores[f].alias(f) for f in CONSISTENCY_SCORES])
+    out = out.withColumn("__checked", checked)
+    return out.select(*rows.columns, F.explode(F.array("__checked")).alias("c")).select(*rows.columns, "c.*")
 
 
 def invalid_consistency_rows(checked: DataFrame) -> DataFrame:

@@ -48,16 +48,17 @@ def _parsed(candidate: Column) -> Column:
     return F.coalesce(strict_json(candidate), strict_json(_braces(candidate)))
 
 
+# The types that JSON can have, by the first letters of their names.
 _KINDS = {
-    "BIGINT": "int",
-    "DECIMAL": "number",
-    "DOUBLE": "number",
-    "FLOAT": "number",
-    "BOOLEAN": "bool",
-    "STRING": "string",
-    "ARRAY": "list",
-    "OBJECT": "object",
-    "VOID": "null",
+    "BIG": "int",
+    "DEC": "number",
+    "DOU": "number",
+    "FLO": "number",
+    "BOO": "bool",
+    "STR": "string",
+    "ARR": "list",
+    "OBJ": "object",
+    "VOI": "null",
 }
 
 
@@ -66,7 +67,7 @@ def kind(value: Column) -> Column:
 
     The type name is read once and looked up; a chain of conditions would read it once per branch.
     """
-    head = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    head = F.substring(F.schema_of_variant(value), 1, 3)
     names = F.create_map(*[x for k, v in _KINDS.items() for x in (F.lit(k), F.lit(v))])
     return F.try_element_at(names, head)
 
@@ -81,8 +82,7 @@ def field_kind(value: Column, name: str) -> Column:
 
 def field_number(value: Column, name: str) -> Column:
     """A JSON number (not a bool, not a digit string) as double."""
-    is_number = F.schema_of_variant(field(value, name)).rlike("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)")
-    return F.when(is_number, F.try_variant_get(value, f"$.{name}", "double"))
+    return F.when(field_kind(value, name).isin("int", "number"), F.try_variant_get(value, f"$.{name}", "double"))
 
 
 def parse_object(df: DataFrame, text: str = "text") -> DataFrame:

@@ -335,3 +335,18 @@ def test_flow_audit_moves_faults_not_rows_between_its_joins(spark, rows):
     plan = X.output_rules(t)[0]._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("Join")]  # what stands over the last join
     assert "j_pack_id" not in above and "prompt" not in above
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_consistency_report_is_parsed_once_and_behind_the_deal(spark, rows):
+    good = '{"%s":3,"matched_constraints":[],"missing_or_distorted_constraints":[],"rationale":"r"}' % '":3,"'.join(E.CONSISTENCY_SCORES)
+    data = [("p", "m", "success", 1, good), ("p", "m", "success", 2, "[1]"), ("p", "m", "success", 3, "{"), ("p", "m", "error", 4, good)]
+    df = spark.createDataFrame(data, "pack_id string, mode string, status string, seq long, judge_report string")
+    bad = A.invalid_consistency_rows(A.consistency_rows(df.repartition(3, "seq")))
+    assert rows(bad, "seq", "errors") == [(2, ["judge_report_must_be_object"]), (3, ["judge_report_must_be_object"])]
+    plan = plan_of(bad)
+    assert plan.count("parse_json(") + plan.count("parseJson") == 1
+    assert plan.index("arse") < plan.index("Repartition")

@@ -111,3 +111,8 @@ def test_median_equals_the_sorted_middle_on_skewed_and_tied_groups(spark, rows):
     df = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs] + [("none", None)], "g string, v double")
     got = {g: m for g, m in rows(S.numeric_summary(df, "v", by=["g"]), "g", "p50")}
     assert got == {**{g: statistics.median(xs) for g, xs in groups.items()}, "none": None}
+
+
+def test_the_group_without_a_key_has_a_median(spark, rows):
+    df = spark.createDataFrame([(None, 1.0), (None, 1.0), (None, 4.0), ("g", 2.0)], "g string, v double")
+    assert rows(S.numeric_summary(df, "v", by=["g"]), "g", "n", "p50") == [("g", 1, 2.0), (None, 3, 1.0)]
