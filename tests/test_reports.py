@@ -350,3 +350,12 @@ def test_a_consistency_report_is_parsed_once_and_behind_the_deal(spark, rows):
     plan = plan_of(bad)
     assert plan.count("parse_json(") + plan.count("parseJson") == 1
     assert plan.index("arse") < plan.index("Repartition")
+
+
+def test_schema_rules_read_each_field_once(spark):
+    df = spark.createDataFrame([(1, "{}")], "seq long, raw string")
+    for row_kind in H.RULES:
+        plan = plan_of(H.schema_violations(df, row_kind))
+        fields = H.Fields()
+        H.RULES[row_kind](fields)
+        assert plan.count("variant_get(") <= len(fields.kinds) + len(fields.texts)
