@@ -116,3 +116,25 @@ def test_median_equals_the_sorted_middle_on_skewed_and_tied_groups(spark, rows):
 def test_the_group_without_a_key_has_a_median(spark, rows):
     df = spark.createDataFrame([(None, 1.0), (None, 1.0), (None, 4.0), ("g", 2.0)], "g string, v double")
     assert rows(S.numeric_summary(df, "v", by=["g"]), "g", "n", "p50") == [("g", 1, 2.0), (None, 3, 1.0)]
+
+
+def test_matrix_by_reference_gives_the_deltas_of_the_matrix_written_out(spark, rows):
+    data = [
+        (f"j{i % 3}", f"p{i * 7 % 5}", f"t{i * 5 % 4}", ["base", "a", "b", "odd"][i * 11 % 4], "success" if i % 5 else "error", float(i % 13), i)
+        for i in range(150)
+    ]
+    df = spark.createDataFrame(data, "judge_model string, pack_id string, task_id string, mode string, status string, overall_score double, seq long")
+    df = df.withColumns({"score_bucket": F.lit("s"), "evaluator_kind": F.lit("e"), "path": F.lit("f")})
+    # p0 and p1 belong to both sources, b has no base cell in t3, c is never seen.
+    cells = [
+        (s, f"p{p}", f"t{t}", m) for s in "AB" for p in range(5) for t in range(4) for m in ("base", "a", "b", "c")
+        if (p < 2 or (p % 2 == 0) == (s == "A")) and not (t == 3 and m == "base")
+    ]
+    cells = spark.createDataFrame(cells + cells[:3], "source string, pack_id string, task_id string, mode string")
+    groups = spark.createDataFrame([("s", "e", "j0", "A"), ("s", "e", "j1", None), ("s", "e", "j9", "B")], [*S.GROUP, "source"])
+    matrix = S.GroupMatrix(cells, groups, ["A", "B"])
+    got = S.group_report(df, baseline_mode="base", expected=matrix)
+    want = S.group_report(df, baseline_mode="base", expected=matrix.rows())
+    for table in ("paired_deltas", "negative_transfer", "coverage"):
+        cols = want[table].columns
+        assert rows(got[table], *cols) == rows(want[table], *cols) != []
