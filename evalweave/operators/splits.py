@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from evalweave.functions.expr import count_where, has_text, id_part
 from evalweave.operators.responses import kind
-from evalweave.operators.violations import union_all, violation
+from evalweave.operators.violations import rule_rows, union_all, violation
 
 GROUP = ["domain1", "domain2", "lang"]
+TASK_FIELDS = ["source", "source_id", "domain", "task_input", "supervision", "judge"]  # fixed values: fields of a split task
 
 
 def _or_unknown(c: str):
@@ -132,37 +133,41 @@ def group_selection_summary(
     )
 
 
-def split_violations(splits: DataFrame, split_tasks: DataFrame) -> DataFrame:
+def split_violations(splits: DataFrame, split_tasks: DataFrame, *, partitions: int | None = None) -> DataFrame:
     """Every fault of a split table, one row per fault.
 
     ``splits``: ``split_id, source, learning_problem, domain``. ``split_tasks``: ``split_id, role,
     pos, source, source_id, domain, task_input, supervision, judge``, the last two and ``domain``
-    as JSON text.
+    as JSON text. Nearly every row is a group of its own, so rows are dealt out as they are and grouped
+    behind the deal; ``partitions`` is over how many tasks, for tables too large for the session's number.
     """
     t = split_tasks
     where = F.concat_ws(".", F.col("split_id"), F.concat(F.col("role"), F.lit("["), F.col("pos").cast("string"), F.lit("]")))
-    rules = [violation(splits.limit(1).agg(F.count("*").alias("n")).filter("n = 0"), "B6_empty", F.lit(""), "split file is empty")]
-    for f in ("split_id", "source", "learning_problem", "domain"):
-        rules.append(violation(splits.filter(F.col(f).isNull()), "B6_missing_split_field", "split_id", f))
-    for f in ("source", "source_id", "domain", "task_input", "supervision", "judge"):
-        rules.append(violation(t.filter(F.col(f).isNull()), "B6_missing_task_field", where, f))
-    rules.append(violation(t.filter(F.col("task_input").isNotNull() & ~has_text("task_input")), "B6_blank_task_input", where))
-    for f in ("domain", "supervision", "judge"):
-        is_object = F.coalesce(kind(F.try_parse_json(F.col(f).cast("string"))) == "object", F.lit(False))
-        rules.append(violation(t.filter(F.col(f).isNotNull() & ~is_object), "B6_not_an_object", where, f))
-    roles = t.groupBy("split_id").agg(
+    error = lambda rule_id, cond, detail="": (rule_id, "error", cond, detail)
+    deal = lambda df, *keys: df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
+    is_object = lambda f: F.coalesce(kind(F.try_parse_json(F.col(f).cast("string"))) == "object", F.lit(False))
+    roles = deal(t.select("split_id", "role"), "split_id").groupBy("split_id").agg(
         count_where(F.col("role") == "train").alias("train"), count_where(F.col("role") == "heldout").alias("heldout")
     )
-    sized = splits.join(roles, "split_id", "left").na.fill(0, ["train", "heldout"])
-    for role in ("train", "heldout"):
-        rules.append(violation(sized.filter(F.col(role) == 0), "B6_empty_role", "split_id", role))
+    ids = deal(splits.select("split_id"), "split_id")  # one deal for the join and for repeated ids
+    sized = ids.join(roles, "split_id", "left").na.fill(0, ["train", "heldout"])
     task = F.concat_ws("/", F.col("source"), F.col("source_id").cast("string"))
-    rules.append(violation(splits.groupBy("split_id").agg(F.count("*").alias("n")).filter("n > 1"), "B6_duplicate_split_id", "split_id"))
-    uses = t.groupBy("source", "source_id", "split_id").agg(F.count("*").alias("n"))
-    rules.append(violation(uses.filter("n > 1"), "B6_duplicate_in_split", "split_id", task))
+    keys = ["source", "source_id", "split_id"]
+    uses = deal(t.select(*keys), "source_id", "split_id").groupBy(*keys).agg(F.count("*").alias("n"))
     across = uses.groupBy("source", "source_id").agg(F.count("*").alias("n")).filter("n > 1")
-    rules.append(violation(across, "B6_duplicate_across_splits", task, F.col("n").cast("string")))
-    return union_all(rules)
+    return union_all([
+        violation(splits.limit(1).agg(F.count("*").alias("n")).filter("n = 0"), "B6_empty", F.lit(""), "split file is empty"),
+        rule_rows(splits, "split_id", [
+            error("B6_missing_split_field", F.col(f).isNull(), f) for f in ("split_id", "source", "learning_problem", "domain")
+        ]),
+        *[violation(t.filter(F.col(f).isNull()), "B6_missing_task_field", where, f) for f in TASK_FIELDS],
+        violation(t.filter(F.col("task_input").isNotNull() & ~has_text("task_input")), "B6_blank_task_input", where),
+        *[violation(t.filter(F.col(f).isNotNull() & ~is_object(f)), "B6_not_an_object", where, f) for f in ("domain", "supervision", "judge")],
+        rule_rows(sized, "split_id", [error("B6_empty_role", F.col(role) == 0, role) for role in ("train", "heldout")]),
+        violation(ids.groupBy("split_id").agg(F.count("*").alias("n")).filter("n > 1"), "B6_duplicate_split_id", "split_id"),
+        violation(uses.filter("n > 1"), "B6_duplicate_in_split", "split_id", task),
+        violation(across, "B6_duplicate_across_splits", task, F.col("n").cast("string")),
+    ])
 
 
 def split_totals(splits: DataFrame, split_tasks: DataFrame) -> DataFrame:

@@ -157,7 +157,7 @@ _FAULTY = """
         FROM t GROUP BY source, source_id HAVING count(DISTINCT split_id) > 1)
     SELECT rule_id, 'error' AS severity, entity_id, detail FROM v""")
 def _(spark, sf):
-    return X.split_violations(*faulty_splits(spark, sf))
+    return X.split_violations(*faulty_splits(spark, sf), partitions=B.many_tasks(spark, sf, "lineitem"))
 
 
 @query("B7_split_totals", f"""

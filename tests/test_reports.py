@@ -359,3 +359,17 @@ def test_schema_rules_read_each_field_once(spark):
         fields = H.Fields()
         H.RULES[row_kind](fields)
         assert plan.count("variant_get(") <= len(fields.kinds) + len(fields.texts)
+
+
+def test_split_ids_and_tasks_are_grouped_behind_the_deal(spark, rows):
+    s = spark.createDataFrame([(i, "A", "p", "{}") for i in ("s", "s", "u")], "split_id string, source string, learning_problem string, domain string")
+    t = spark.createDataFrame([(i, r, p, "A", "1", "{}", "x", "{}", "{}") for i in "su" for r, p in (("train", 0), ("heldout", 1))],
+                              "split_id string, role string, pos long, source string, source_id string, domain string, task_input string, supervision string, judge string")
+    found = split_violations(s, t.filter("split_id = 's' or role = 'train'"), partitions=7)
+    assert rows(found, "rule_id", "entity_id", "detail") == [
+        ("B6_duplicate_across_splits", "A/1", "2"), ("B6_duplicate_in_split", "s", "A/1"), ("B6_duplicate_split_id", "s", ""), ("B6_empty_role", "u", "heldout"),
+    ]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # No grouping by split has a shuffle of its own, whose parts would be as many as the session says.
+    own = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "split_id" in x and "REPARTITION_BY_NUM" not in x]
+    assert own == [] and "REPARTITION_BY_NUM" in plan
