@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from evalweave.functions.expr import slug
-from evalweave.functions.patterns import STOPWORDS, literals, pattern_hits, text_content_grams
+from evalweave.functions.patterns import LITERAL_PATTERNS, STOPWORDS, literals, pattern_hits, text_content_grams
 from evalweave.operators import contamination as C
 from evalweave.operators import text as T
 
@@ -244,3 +244,37 @@ def test_wide_table_spreads_a_file_of_one_row_group(spark):
 
     sizes = B.wide_table(spark, SMALL, "events").groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) >= 2 * spark.sparkContext.defaultParallelism - 1
+
+
+def test_long_runs_of_names_take_no_stack(spark):
+    plain = r"\b(?:[A-Z][A-Za-z0-9&.-]+(?:\s+|[-:])){2,}[A-Z][A-Za-z0-9&.-]+\b"
+    short = [
+        "see Acme Corp Ltd.", "Acme-Corp-Ltd", "Acme-Corp Ltd", "Acme X. Corp-a B. C. d", "Ab Cd E.é", "Ab Cd Ef G.H_", "Ab Cd E.F_", "A. B. Cd",
+        "Ab: Cd Ef", "Ab:Cd:Ef-gh_", "Ab Cd", "Ab\n\nCd \tEf-.", "Ab Cd ef Gh Ij Kl", "xAb Cd Ef Gh",
+    ]
+    extract = lambda t, p: F.regexp_extract_all(t, F.lit(p), F.lit(0))
+    df = spark.createDataFrame([(t,) for t in short], "t string").select(extract("t", plain).alias("want"), extract("t", LITERAL_PATTERNS[8]).alias("got"))
+    assert all(r.got == r.want for r in df.collect())
+    assert one(spark, "Anen. " * 30_000 + "end", literals) == [("Anen. " * 30_000).strip(". ")]
+
+
+def test_literals_across_chunks_of_windows_and_short_ones(spark):
+    from evalweave.functions.byte_windows import CHUNK
+
+    lits = ["1日é", "12%", "naïve Straße 報告", "x" * 5_000 + "y", "abcd", "Zürich"]
+    texts = [(0, "p", "z" * (CHUNK - 3) + "naïve Straße 報告" + "z" * CHUNK + "Zürich"), (1, "p", "é" * (CHUNK // 2) + "1日é"), (2, "p", ""), (3, "p", None),
+             (4, "q", "12% abcd"), (5, "p", "x" * 6_000 + "y12%"), (6, "p", "ab" + "cdé12")]
+    train = spark.createDataFrame([("p", x) for x in lits] + [("q", "abcd"), ("q", None)], "pack_id string, literal string")
+    df = spark.createDataFrame(texts, "id long, pack_id string, haystack string").coalesce(1)
+    got = sorted((r.id, r.literal) for r in T.literal_matches(df, train, keys=["id"]).collect())
+    assert got == sorted((i, x) for i, p, t in texts for x in (lits if p == "p" else ["abcd"]) if t and x in t)
+    counts = {r.id: r.candidate_literal_count for r in T.literal_leakage(df, train, keys=["id"]).collect()}
+    assert counts[0] == 6 and counts[4] == 2
+
+
+def test_the_filter_of_windows_grows_with_its_keys(spark):
+    from evalweave.functions.byte_windows import WindowFilter
+
+    keys = spark.range(1 << 20).select(F.lit("p").alias("pack_id"), (F.shiftleft(F.lit(6).cast("long"), 56) + F.col("id") * 268435399).alias("key"))
+    texts = spark.range(40).select("id", F.lit("p").alias("pack_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(500)), lambda i: F.sha1((F.col("id") * 1000 + i).cast("string"))), "").alias("t"))
+    assert WindowFilter(keys, ["pack_id"]).windows(texts, "t", ["id", "pack_id"], ["pack_id"]).count() < 0.01 * 3 * 40 * 20_000
