@@ -491,3 +491,17 @@ def test_url_trees_on_held_out_labels(spark):
     noise = known.withColumn("blocked", (F.xxhash64("url") % 2 == 0).cast("int"))
     scores = [r.score for r in url_filter.filter_urls(df, noise, []).collect()]
     assert np.std(scores) < 0.3 and abs(np.mean(scores) - 0.5) < 0.1  # labels without cause teach little
+
+
+def test_pieces_are_looked_up_once_with_the_empty_one_among_them():
+    small = WordEncoder(_path("byte_bpe_50k.json"), cache_bytes=20_000)
+    words = ["", *(f" word{chr(97 + i % 26)}{'x' * (i % 7)}" for i in range(180)), " Élan", ","]
+    words = list(dict.fromkeys(words))
+    for _ in range(3):  # fresh, from the newer half, from the older half
+        assert small._ids(words) == [b"", *small.direct(words[1:])]
+        assert small._ids(words[::-1]) == [*small.direct(words[:0:-1]), b""]
+    asked = []
+    small._ids = lambda pieces: asked.append(pieces) or WordEncoder._ids(small, pieces)
+    texts = ["a b", "", None, "b a, a"]
+    assert small.encode(texts) == [b"" if not t else small.direct([t])[0] for t in texts]
+    assert len(asked) == 1 and len(set(asked[0])) == len(asked[0])
