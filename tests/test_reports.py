@@ -1,6 +1,7 @@
 """Parsed responses, tokens, artifacts, disagreement, induction, gates, threads."""
 
 import json
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -373,3 +374,19 @@ def test_split_ids_and_tasks_are_grouped_behind_the_deal(spark, rows):
     # No grouping by split has a shuffle of its own, whose parts would be as many as the session says.
     own = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "split_id" in x and "REPARTITION_BY_NUM" not in x]
     assert own == [] and "REPARTITION_BY_NUM" in plan
+
+
+def test_coverage_issues_take_one_shuffle_and_follow_coverage(spark):
+    data = [(p, t, m, s) for p in ("p", "q", "") for t in ("t", "u", None) for m, s in [("a", "success"), ("b", None if t == "u" else "success"), ("a", "success"), ("", "x")]]
+    data += [("r", "t", "a", "success"), ("s", "t", "z", "success"), ("v", "t", "a", "success"), ("v", "t", "b", "success"), ("v", "t", "c", "error")]
+    rows = spark.createDataFrame(data, "pack_id string, task_id string, mode string, status string")
+    want = spark.createDataFrame([("p", "t"), ("p", "t"), ("q", "w"), ("gone", "t"), ("s", "t")], "pack_id string, task_id string")
+    for complete in (True, False):
+        out = reduce(lambda a, b: a.unionByName(b), R.coverage_issues(rows, want, required=("a", "b"), name="n", severity="error", complete=complete))
+        cov = R.eval_coverage(rows, required=("a", "b"))
+        faults = {("H7_n_incomplete", f"{r.pack_id}::{r.task_id}") for r in cov.filter("not ready").collect()}
+        if complete:
+            faults |= {("H7_n_missing", "q::w"), ("H7_n_missing", "gone::t")}
+        assert sorted((r.rule_id, r.entity_id) for r in out.collect()) == sorted(faults)
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert "Join" not in plan and "collect_" not in plan and plan.count("HashAggregate") == 2, plan
