@@ -175,11 +175,8 @@ class WordEncoder(PieceCache):
         out.update(zip(rest, self.direct(rest)))
         return out
 
-    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other (unsigned 32-bit), and each text's end in them.
-
-        A null or empty text has no ids.
-        """
+    def cut(self, column: pa.Array) -> tuple[pa.ListArray, pa.Array, pa.BooleanArray]:
+        """Pieces of each text, the texts, and which are not cut but encoded whole; of these one empty piece."""
         text = pc.fill_null(column, "")
         whole = pc.match_substring_regex(text, self.whole)
         cut = pc.if_else(whole, "", text)
@@ -188,8 +185,14 @@ class WordEncoder(PieceCache):
         stops = cut
         for stop in (",", "."):
             stops = pc.replace_substring(stops, stop, CUT + stop)
-        lists = pc.split_pattern(pc.if_else(pc.match_substring_regex(text, SYMBOL_STOP), cut, stops), CUT)
-        return self.encode_cut(lists, text, whole)
+        return pc.split_pattern(pc.if_else(pc.match_substring_regex(text, SYMBOL_STOP), cut, stops), CUT), text, whole
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other (unsigned 32-bit), and each text's end in them.
+
+        A null or empty text has no ids.
+        """
+        return self.encode_cut(*self.cut(column))
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text; a null or empty one has none."""

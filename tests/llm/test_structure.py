@@ -3,10 +3,12 @@
 import hashlib
 import html
 import itertools
+import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -318,6 +320,33 @@ def test_alignment_of_odd_texts(spark):
     assert token_alignment.align(none, a=_path("byte_bpe_50k.json"), b=_path("piece_bpe_32k.model"), doc="doc.id").collect() == []
 
 
+def test_pieces_give_the_figures_of_whole_texts(monkeypatch):
+    signs = ["a", "St", "the", "x²", "3", "é", "漢", "🙂", "_", "-", "▁", " ", " ", " ", "\n", ".", ",", "...", "́", "\t", "<s>", "</s>", "<0x0A>", "\x00", "\u00a0"]
+    draw = random.Random(5)
+    texts = ["".join(draw.choices(signs, k=draw.randint(0, 9))) for _ in range(1500)]
+    texts += ["".join(draw.choices(signs[:16], k=draw.randint(5, 60))) for _ in range(300)] + ["x². y", "a 3². b", "one,two.\nthree, "]
+    pair = token_alignment.token_pair(_path("byte_bpe_50k.json"), _path("piece_bpe_32k.model"))
+    want = [(*w[:4], w[6]) for w in plain_alignment(texts)]
+    for ids in (token_alignment.ALIGN_IDS, 7):
+        monkeypatch.setattr(token_alignment, "ALIGN_IDS", ids)
+        got = token_alignment.align_texts(pair, pa.array(texts, pa.string()))
+        names = ["n_a", "n_b", "n_groups", "n_links", "hashes"]
+        assert list(zip(*(list(got[c]) for c in names))) == want
+
+
+def test_repeated_pieces_are_aligned_once(monkeypatch):
+    met, plain = [], token_alignment.diagonal_groups
+
+    def counted(ends_a, ends_b):
+        met.append(len(ends_a))
+        return plain(ends_a, ends_b)
+
+    monkeypatch.setattr(token_alignment, "diagonal_groups", counted)
+    pair = token_alignment.token_pair(_path("byte_bpe_50k.json"), _path("piece_bpe_32k.model"))
+    found = token_alignment.align_texts(pair, pa.array(["Unlikely wordings, repeated." + " Unlikely wordings, repeated." * 99] * 20))
+    assert sum(found["n_a"]) > 10_000 and sum(met) < 100
+
+
 def test_a_text_beyond_a_chunk(spark):
     text = "The quick brown fox, 12 times. " * 160_000
     df = spark.createDataFrame([(1, text), (2, text[:31])], "doc_id long, text string")
