@@ -1,38 +1,10 @@
-"""Tables written to the shared folder, which cut lineage and survive lost executors."""
+"""Tables written to the shared folder, and the tables of a data set."""
 
 from __future__ import annotations
 
-import gc
-import time
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from evalweave.functions.session import checkpoint_dir
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``, which all executors share."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, *, codec: str = "snappy") -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of steps whose results are written.
-
-    They otherwise stay until the driver happens to collect its garbage. Drop your own references
-    to the frames of those steps first.
-    """
-    for _ in range(2):  # references from Python go first
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+from evalweave.functions.scratch import release, scratch_path, written  # noqa: F401
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:

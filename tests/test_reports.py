@@ -390,3 +390,31 @@ def test_coverage_issues_take_one_shuffle_and_follow_coverage(spark):
         assert sorted((r.rule_id, r.entity_id) for r in out.collect()) == sorted(faults)
         plan = out._jdf.queryExecution().sparkPlan().toString()
         assert "Join" not in plan and "collect_" not in plan and plan.count("HashAggregate") == 2, plan
+
+
+def test_flow_audit_holds_the_shuffles_of_one_part_at_a_time(spark, rows):
+    """What is left of the audit when it is read has no join or grouping; its violations are those of the lazy rules."""
+    t = flow(spark)
+    t |= {"heldout": t["heldout"].withColumn("source_task_id", F.lit("1")), "jobs": t["jobs"].withColumn("prompt", F.lit("other")),
+          "log": t["log"].withColumn("status", F.lit("error")), "packs": t["packs"].unionByName(t["packs"])}
+    tables = X.FlowTables(**t)
+    columns = "rule_id", "severity", "entity_id", "detail"
+    lazy = union_all([*X.table_rules(tables), *X.pack_rules(tables), *X.task_rules(tables), *X.output_rules(tables), *X.private_rules(tables)])
+    audit = X.audit_flow(tables)
+    assert rows(audit, *columns) == rows(lazy, *columns) and len(rows(audit, *columns)) > 6
+    assert "Join" not in plan_of(audit) and "Aggregate" not in plan_of(audit)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
+
+
+def test_pairs_with_one_name_overlap_and_are_yet_compared_by_their_parts(spark, rows):
+    t = flow(spark)
+    t |= {
+        "split_tasks": spark.createDataFrame([("s", "train", "a/b", "c"), ("s", "heldout", "a", "b/c"), ("s", None, "x", "y"), ("s", "extra", "x", "y")], t["split_tasks"].schema),
+        "examples": t["examples"].withColumn("source", F.lit("a")).withColumn("source_task_id", F.lit("b/c")),
+        "heldout": t["heldout"].withColumn("source", F.lit("a")).withColumn("source_task_id", F.lit("b/c")),
+    }
+    pairs = X.task_rules(X.FlowTables(**t))[0]
+    assert rows(pairs, "rule_id", "entity_id", "detail") == [
+        ("H2_source_tasks_overlap", "p", "a/b/c"), ("H2_split_tasks_differ", "p", "extra"), ("H2_split_tasks_differ", "p", "train"),
+    ]
+    assert "collect_list" not in plan_of(pairs)
