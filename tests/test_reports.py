@@ -418,3 +418,18 @@ def test_pairs_with_one_name_overlap_and_are_yet_compared_by_their_parts(spark,
         ("H2_source_tasks_overlap", "p", "a/b/c"), ("H2_split_tasks_differ", "p", "extra"), ("H2_split_tasks_differ", "p", "train"),
     ]
     assert "collect_list" not in plan_of(pairs)
+
+
+def test_jobs_and_log_meet_in_one_grouping_whatever_the_hash(spark, rows):
+    good = "0123456789abcdef" * 4
+    keys = [good, good.upper(), good[:-1], "=" * 33, "é" * 16, "bad", good[:-1] + "g"]
+    jobs = spark.createDataFrame([("j", k) for k in keys] + [("j", good), ("", good), ("k", None)], "job_id string, prompt_sha256 string")
+    log = spark.createDataFrame(
+        [("j", good, 1, "error"), ("j", good, 2, "success"), ("j", "bad", 5, None), ("j", keys[1], None, "success"), ("l", "é", 1, "late"), ("l", good, 1, "success")],
+        "job_id string, prompt_sha256 string, seq int, status string")
+    found = R.job_log_differences(jobs, log)
+    without = [("H8_job_without_log", f"j/{k}", "") for k in keys if k not in (good, "bad")]
+    assert rows(found, "rule_id", "entity_id", "detail") == sorted([
+        *without, ("H8_latest_not_success", "j/bad", ""), ("H8_latest_not_success", "l/é", "late"), ("H8_log_without_job", "l/é", ""), ("H8_log_without_job", f"l/{good}", ""),
+    ])
+    assert "Join" not in plan_of(found)
