@@ -37,6 +37,8 @@ from evalweave.llm.tokens import JOINT, SIGNS, PieceCache, WordEncoder, slices
 
 # Text bytes per chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
+# Chunks of a row group and of a partition of the join; either is held by one task.
+GROUP_CHUNKS, TASK_CHUNKS = 2, 4
 # Ids that are aligned at once; those of one piece always are.
 ALIGN_IDS = 1 << 19
 # Bytes of each half of the cache of pieces.
@@ -334,13 +336,15 @@ def align(docs: DataFrame, *, a: str, b: str, text: str = "text", doc: str = "do
     long text is a chunk of its own and held whole by one task. Other columns are not read.
     """
     key = docs.schema[doc].dataType.simpleString()
-    chunks = written(_chunks(docs, a, b, text, doc), "aligned-chunks", codec="zstd")
+    chunks = written(_chunks(docs, a, b, text, doc), "aligned-chunks", codec="zstd", group_rows=GROUP_CHUNKS)
+    # The join has as many partitions as its chunks need, however few partitions the session has.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chunks.count() // TASK_CHUNKS))
     held = chunks.select("chunk", F.posexplode(F.arrays_zip("pairs", "holders")).alias("place", "p")).select("chunk", "place", "p.pairs", "p.holders")
     totals = held.groupBy("pairs").agg(F.sum("holders").alias("count"))
     # At most one row per id of B stands under an id of A.
     highest = F.max("count").over(W.partitionBy(F.floor(F.col("pairs") / PAIR_BASE)))
     totals = totals.withColumn("best", F.col("count") == highest)
-    returned = held.drop("holders").join(totals, "pairs").groupBy("chunk").agg(F.collect_list(F.struct("place", "count", "best")).alias("known"))
+    returned = held.drop("holders").join(totals, "pairs").repartition(parts, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("place", "count", "best")).alias("known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -357,7 +361,7 @@ def align(docs: DataFrame, *, a: str, b: str, text: str = "text", doc: str = "do
                 columns = [row[c].flatten() for c in ("docs", "n_a", "n_b", "n_groups", "n_links")] + sums + [row["hashes"].flatten()]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
-    joined = chunks.drop("pairs", "holders").join(returned, "chunk", "left")
+    joined = chunks.drop("pairs", "holders").repartition(parts, "chunk").join(returned, "chunk", "left")
     joined = joined.withColumn("known", F.coalesce("known", F.array().cast("array<struct<place:int,count:bigint,best:boolean>>")))
     return joined.mapInArrow(run, f"doc_id {key}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 

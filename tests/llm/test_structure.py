@@ -352,3 +352,25 @@ def test_a_text_beyond_a_chunk(spark):
     df = spark.createDataFrame([(1, text), (2, text[:31])], "doc_id long, text string")
     rows = {r.doc_id: r for r in token_alignment.align(df, a=_path("byte_bpe_50k.json"), b=_path("piece_bpe_32k.model")).collect()}
     assert rows[1].n_links == rows[1].n_a + rows[1].n_b - rows[1].n_groups and rows[1].count_sum >= rows[1].n_links
+
+
+def test_a_task_of_the_alignment_holds_few_chunks(spark, monkeypatch):
+    """Row groups hold few chunks, and the join has as many partitions as its chunks need, not as the session has."""
+    import glob
+    import os
+
+    import pyarrow.parquet as pq
+
+    from evalweave.functions.session import checkpoint_dir
+
+    monkeypatch.setattr(token_alignment, "CHUNK_BYTES", 2000)
+    texts = [f"Chunk {i} of the corpus, with words. " * 30 for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found = token_alignment.align(df, a=_path("byte_bpe_50k.json"), b=_path("piece_bpe_32k.model"))
+    folder = max(glob.glob(f"{checkpoint_dir(spark).removeprefix('file://')}/llm/aligned-chunks-*"), key=os.path.getmtime)
+    footers = [pq.ParquetFile(f).metadata for f in glob.glob(f"{folder}/*.parquet")]
+    groups = [m.row_group(i).num_rows for m in footers for i in range(m.num_row_groups)]
+    assert sum(groups) == 60 and max(groups) <= token_alignment.GROUP_CHUNKS
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(rf"RepartitionByExpression \[chunk#\d+L?\], {-(-60 // token_alignment.TASK_CHUNKS)}\b", plan)) == 2
+    assert found.count() == 60
